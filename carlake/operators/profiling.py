@@ -150,15 +150,27 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
-
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
-def vector_topk(df: DataFrame, query: Column | Sequence[float], k: int = 3, vector: str = "embedding", tie: str = "vec_id") -> DataFrame:
-    """The ``k`` rows closest to one query vector, which is a literal or a scalar subquery.
 
-    Each partition keeps its own best ``k``; nothing else is exchanged."""
-    if not isinstance(query, Column):
-        query = F.array(*[F.lit(float(x)) for x in query])
-    scored = df.withColumn("score", cosine(F.col(vector), query))
-    return scored.orderBy(F.desc_nulls_last("score"), F.asc(tie)).limit(k)
+def cosine(a: Column, b: Column) -> Column:
+    return F.try_divide(_dot(a, b), norm(a) * norm(b))
+
+
+def vector_topk(
+    df: DataFrame, query: DataFrame | Sequence[float], k: int = 3, vector: str = "embedding", tie: str = "vec_id"
+) -> DataFrame:
+    """The ``k`` rows closest by cosine to one query vector: a list, or a DataFrame of one row and column.
+
+    The query is brought to unit length once, in a scalar subquery. Each partition keeps its own best
+    ``k``; nothing else is exchanged."""
+    if isinstance(query, DataFrame):
+        given = query.select(F.col(query.columns[0]).alias("q"))
+    else:
+        given = df.sparkSession.range(1).select(F.array(*[F.lit(float(x)) for x in query]).alias("q"))
+    length = norm(F.col("q"))
+    unit = given.select("q", length.alias("l")).select(F.transform("q", lambda x: x.cast("double") / F.col("l")))
+    scored = df.withColumn("_query", unit.scalar())
+    scored = scored.withColumn("score", F.try_divide(_dot(F.col(vector), F.col("_query")), norm(F.col(vector))))
+    return scored.drop("_query").orderBy(F.desc_nulls_last("score"), F.asc(tie)).limit(k)

@@ -56,7 +56,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,15 @@ def read_tsv(
     return rows if nrows is None else rows.limit(nrows)
 
 
-def read_zip(
-    spark: SparkSession, path, pattern: str = r".*\.(txt|csv)$", charset: str = "ISO-8859-1", batch: int = 20000
+def read_zip(spark: SparkSession, path, pattern: str = r".*\.(txt|csv)$", charset: str = "ISO-8859-1") -> DataFrame:
+    """Lines of the text files inside ZIP archives: (archive, member, line_no, line)."""
+    return unzip_lines(spark.read.format("binaryFile").load(path).select("path", "content"), pattern, charset)
+
+
+def unzip_lines(
+    archives: DataFrame, pattern: str = r".*\.(txt|csv)$", charset: str = "ISO-8859-1", batch: int = 20000
 ) -> DataFrame:
-    """Lines of the text files inside ZIP archives: (archive, member, line_no, line).
+    """Unpacks a column ``content`` of ZIP archives into lines.
 
     A ZIP archive cannot be split, so it is one task; members are unpacked as a stream and handed on in
     batches, so a task holds the packed archive and one batch. Archives are read in parallel."""
@@ -44,29 +50,19 @@ def read_zip(
         for part in parts:
             for archive, content in zip(part["path"], part["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as packed:
-                    for member in packed.namelist():
-                        if not wanted.match(member):
-                            continue
-                        with io.TextIOWrapper(packed.open(member), encoding=charset, newline="") as text:
-                            lines: list[str] = []
-                            done = 0
-                            for line in text:
-                                lines.append(line.rstrip("\r\n"))
-                                if len(lines) == batch:
-                                    yield _frame(archive, member, done, lines)
-                                    done += len(lines)
-                                    lines = []
-                            if lines:
-                                yield _frame(archive, member, done, lines)
-
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+                    for member in filter(wanted.match, packed.namelist()):
+                        with io.TextIOWrapper(packed.open(member), encoding=charset, newline="") as lines:
+                            yield from _batches(archive, member, lines, batch)
+
     return archives.mapInPandas(unpack, "archive string, member string, line_no long, line string")
 
 
-def _frame(archive: str, member: str, start: int, lines: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"archive": archive, "member": member, "line_no": range(start, start + len(lines)), "line": lines}
-    )
+def _batches(archive: str, member: str, lines: Iterable[str], size: int) -> Iterator[pd.DataFrame]:
+    numbered = enumerate(line.rstrip("\r\n") for line in lines)
+    while chunk := list(islice(numbered, size)):
+        yield pd.DataFrame(
+            {"archive": archive, "member": member, "line_no": [n for n, _ in chunk], "line": [x for _, x in chunk]}
+        )
 
 
 def read_json(spark: SparkSession, path, schema: StructType | str, multi_line: bool = True) -> DataFrame:

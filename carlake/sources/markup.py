@@ -15,13 +15,27 @@ def _text(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+VEHICLE_SCHEMA = ", ".join(f"`{tag}` string" for tag in rules.VEHICLE_TAGS)
+
+
+def _vehicle_columns(prefix: str = "") -> list[Column]:
+    return [
+        F.coalesce(_text(F.col(f"{prefix}`{tag}`")), F.lit(default)).alias(name)
+        for tag, (name, default) in rules.VEHICLE_TAGS.items()
+    ]
+
+
 def read_vehicle_xml(spark: SparkSession, path) -> DataFrame:
-    """One row per ``vehicle`` element with the 31 known tags, each with its default when empty."""
-    schema = ", ".join(f"`{tag}` string" for tag in rules.VEHICLE_TAGS)
-    raw = spark.read.format("xml").option("rowTag", "vehicle").schema(schema).load(path)
-    return raw.select(
-        *[F.coalesce(_text(F.col(tag)), F.lit(default)).alias(name) for tag, (name, default) in rules.VEHICLE_TAGS.items()]
-    )
+    """One row per ``vehicle`` element of XML files: the 31 known tags, each with its default when empty."""
+    raw = spark.read.format("xml").option("rowTag", "vehicle").schema(VEHICLE_SCHEMA).load(path)
+    return raw.select(*_vehicle_columns())
+
+
+def parse_vehicle_xml(df: DataFrame, xml_col: str) -> DataFrame:
+    """The same columns where every row holds one vehicle document, as responses are stored; such
+    files are split by line, so one large file is read by many tasks."""
+    parsed = df.select(F.from_xml(F.col(xml_col), VEHICLE_SCHEMA).alias("v"))
+    return parsed.select(*_vehicle_columns("v."))
 
 
 def explode_menu(df: DataFrame, xml_col: str) -> DataFrame:

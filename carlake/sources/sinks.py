@@ -30,7 +30,9 @@ def csv_path(parquet_path: str) -> str:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Header CSV. ``single_file`` gathers everything in one task, so it is for small exports only."""
     flat = _flat(df)
-    (flat.coalesce(1) if single_file else flat).write.mode("overwrite").option("header", True).csv(path)
+    writer = (flat.coalesce(1) if single_file else flat).write.mode("overwrite").option("header", True)
+    # spaces at the ends of a text belong to it
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def safe_overwrite(df: DataFrame, path: str) -> None:

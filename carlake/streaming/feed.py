@@ -14,15 +14,18 @@ from carlake.schemas import ARTICLE_DDL, RAW_ARTICLE_DDL
 SEQUENCE = "_seq"
 
 
-def _in_file_order(df: DataFrame) -> DataFrame:
-    """A batch order that a rerun repeats: file time, file name, then place in the file."""
-    return df.withColumn(
-        SEQUENCE,
-        F.struct(
-            F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p"),
-            F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"),
-        ),
-    )
+FILE = ["_file_time", "_file_path", "_file_block"]
+
+
+def _with_file(df: DataFrame) -> DataFrame:
+    meta = ["file_modification_time", "file_path", "file_block_start"]
+    return df.select("*", *[F.col(f"_metadata.{m}").alias(name) for m, name in zip(meta, FILE)])
+
+
+def _in_file_order(batch: DataFrame) -> DataFrame:
+    """A row order that a rerun of the batch repeats: file time, file name, then place in the file."""
+    order = F.struct(*FILE, F.monotonically_increasing_id().alias("_row"))
+    return batch.withColumn(SEQUENCE, order).drop(*FILE)
 
 
 def run_feed(
@@ -36,7 +39,7 @@ def run_feed(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        tagged = tag_articles(batch, as_of, keep=[SEQUENCE])
+        tagged = tag_articles(_in_file_order(batch), as_of, keep=[SEQUENCE])
         current = read_snapshot(session, target, before=batch_id + 1)
         if current is None:
             current = session.createDataFrame([], ARTICLE_DDL)
@@ -48,7 +51,7 @@ def run_feed(
         .json(landing)
     )
     query = (
-        _in_file_order(lines)
+        _with_file(lines)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(merge)

@@ -1 +1,415 @@
-"""Placeholder."""
+"""T operators: rules over text."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from carlake import rules
+from carlake.functions import text as T
+from carlake.plans import news
+from checks import sqlparts as S
+from checks.inputs import text as lit
+from checks.registry import query
+
+AS_OF = datetime(2026, 1, 1)
+
+
+def joined(c):
+    return F.array_join(c, "|")
+
+
+# --- complaint sentiment ------------------------------------------------------------------
+
+TOKENS = """list_filter(string_split_regex(lower(regexp_replace(CDESCR, '[^a-zA-Z'' ]', ' ', 'g')), ' +'),
+    lambda w: w <> '')"""
+WEIGHT = "CASE w " + " ".join(f"WHEN {lit(w)} THEN {n}" for w, n in rules.lexicon().items()) + " ELSE 0 END"
+NEGATORS = S.in_list(rules.NEGATORS)
+SENTIMENT = f"""
+WITH tok AS (SELECT CMPLID, CDESCR, {TOKENS} AS t FROM {{complaints_raw}}),
+signed AS (SELECT *, list_transform(t, lambda w, i: ({WEIGHT}) * CASE WHEN (i > 1 AND t[i - 1] IN {NEGATORS})
+    OR (i > 2 AND t[i - 2] IN {NEGATORS}) THEN -1 ELSE 1 END) AS s FROM tok),
+sums AS (SELECT *, CASE WHEN s IS NULL THEN NULL ELSE CAST(coalesce(list_sum(list_filter(s, lambda x: x > 0)), 0) AS INTEGER) END AS p,
+    CASE WHEN s IS NULL THEN NULL ELSE CAST(coalesce(-list_sum(list_filter(s, lambda x: x < 0)), 0) AS INTEGER) END AS n FROM signed)
+"""
+
+
+@query(
+    "T01_sentiment",
+    SENTIMENT
+    + """SELECT CMPLID, CDESCR, CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE (p - n) / CAST(p + n AS DOUBLE) END AS sentiment_score,
+    CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' WHEN p = n THEN 'neutral' END AS sentiment_label,
+    (p + n) / CAST(p + n + 3 AS DOUBLE) AS sentiment_confidence FROM sums""",
+)
+def _(t):
+    return T.with_sentiment(t("complaints_raw").select("CMPLID", "CDESCR"), "CDESCR").drop(
+        "negation_count", "safety_keyword_count"
+    )
+
+
+@query(
+    "T02_negation_count",
+    f"""SELECT CMPLID, CAST(len(list_filter({TOKENS}, lambda w: w IN {NEGATORS})) AS INTEGER) AS negation_count
+    FROM {{complaints_raw}}""",
+)
+def _(t):
+    return t("complaints_raw").select(
+        "CMPLID", T.count_terms(T.tokens(F.col("CDESCR")), rules.NEGATORS).alias("negation_count")
+    )
+
+
+@query(
+    "T03_safety_word_count",
+    f"""SELECT CMPLID, CAST(len(list_filter({TOKENS}, lambda w: w IN {S.in_list(rules.SAFETY_WORDS)})) AS INTEGER) AS safety_words
+    FROM {{complaints_raw}}""",
+)
+def _(t):
+    return t("complaints_raw").select(
+        "CMPLID", T.count_terms(T.tokens(F.col("CDESCR")), rules.SAFETY_WORDS).alias("safety_words")
+    )
+
+
+@query("T04_embed_text", "SELECT doc_id, 768 AS dim, 1.0::DOUBLE AS norm FROM documents")
+def _(t):
+    df = T.embed_text(t("documents").select("doc_id", "text"), "text", 768)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return df.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(squares), 4).alias("norm"))
+
+
+# --- news ---------------------------------------------------------------------------------
+
+ARTICLE = "(SELECT article_id, title, summary, title || ' ' || summary AS x, lower(title || ' ' || summary) AS low FROM {articles_raw})"
+
+
+def article(t):
+    df = t("articles_raw").select("article_id", F.concat_ws(" ", "title", "summary").alias("x"))
+    return df.select("*", F.lower("x").alias("low"))
+
+
+def weights(groups) -> str:
+    return " + ".join(
+        f"CASE WHEN contains(low, {lit(w)}) THEN {n} ELSE 0 END" for n, words in groups for w in words
+    )
+
+
+NEWS_SENTIMENT = f"""CASE WHEN ({weights(rules.NEGATIVE_WORDS)}) > ({weights(rules.POSITIVE_WORDS)}) + 1 THEN 'negative'
+    WHEN ({weights(rules.POSITIVE_WORDS)}) > ({weights(rules.NEGATIVE_WORDS)}) + 1 THEN 'positive' ELSE 'neutral' END"""
+NEWS_CATEGORY = (
+    "CASE " + " ".join(f"WHEN {S.any_word('low', words)} THEN '{name}'" for name, words in rules.NEWS_CATEGORIES)
+    + " ELSE 'general' END"
+)
+BREAKING = S.any_word("low", rules.BREAKING_WORDS)
+IMPORTANCE = f"""least(10, 5 + CASE WHEN {NEWS_CATEGORY} IN ('recalls', 'executive', 'financial') THEN 2 ELSE 0 END
+    + CASE WHEN {S.any_word('low', rules.URGENT_WORDS)} THEN 2 ELSE 0 END
+    + CASE WHEN {S.any_word('low', rules.IMPACT_WORDS)} THEN 1 ELSE 0 END + CASE WHEN {BREAKING} THEN 1 ELSE 0 END)"""
+CRITICAL = S.any_word("low", rules.SAFETY_CRITICAL_WORDS)
+
+
+@query("T05_news_sentiment", f"SELECT article_id, {NEWS_SENTIMENT} AS sentiment FROM {ARTICLE}")
+def _(t):
+    return article(t).select("article_id", T.news_sentiment(F.col("low")).alias("sentiment"))
+
+
+@query("T06_news_category", f"SELECT article_id, {NEWS_CATEGORY} AS category FROM {ARTICLE}")
+def _(t):
+    return article(t).select("article_id", T.news_category(F.col("low")).alias("category"))
+
+
+@query("T07_importance", f"SELECT article_id, {IMPORTANCE} AS importance_score FROM {ARTICLE}")
+def _(t):
+    low = F.col("low")
+    score = T.importance(low, T.news_category(low), T.is_breaking(low))
+    return article(t).select("article_id", score.alias("importance_score"))
+
+
+@query(
+    "T08_news_flags",
+    f"""SELECT article_id, {BREAKING} AS is_breaking_news, {NEWS_CATEGORY} = 'recalls' AS is_recall_related,
+    {CRITICAL} AS is_safety_critical FROM {ARTICLE}""",
+)
+def _(t):
+    low = F.col("low")
+    return article(t).select(
+        "article_id", T.is_breaking(low).alias("is_breaking_news"),
+        (T.news_category(low) == "recalls").alias("is_recall_related"),
+        T.is_safety_critical(low).alias("is_safety_critical"),
+    )
+
+
+def found(pattern: str, any_case: bool = False, x: str = "x") -> str:
+    return f"regexp_extract_all({x}, {lit(('(?i)' if any_case else '') + pattern)}, 1)"
+
+
+def without(lst: str, stop) -> str:
+    return f"list_filter({lst}, lambda m: m NOT IN {S.in_list(stop)})"
+
+
+def first_sorted(lists, n: int) -> str:
+    return f"array_to_string(list_sort(list_distinct(flatten([{', '.join(lists)}])))[1:{n}], '|')"
+
+
+def makers(x: str = "x") -> str:
+    stop = rules.MAKER_STOP_WORDS
+    return first_sorted(
+        [
+            found(rules.MAKER_COMPANY, x=x),
+            without(found(rules.MAKER_VERB, x=x), stop),
+            without(found(rules.MAKER_TITLE, True, x), stop),
+            f"list_filter({without(found(rules.MAKER_PLACE, x=x), stop)}, lambda m: length(m) > 2)",
+            without(found(rules.MAKER_OWNER, x=x), stop),
+            f"CASE WHEN regexp_matches({x}, {lit('(?i)' + rules.VEHICLE_CONTEXT)}) THEN "
+            f"{without(found(rules.MAKER_ACRONYM, x=x), rules.ACRONYM_STOP_WORDS)} ELSE [] END",
+        ],
+        10,
+    )
+
+
+PREFIXES = " OR ".join(f"starts_with(lower(m), {lit(p)})" for p in rules.MODEL_NOT_PREFIXES)
+MODELS = first_sorted(
+    [found(p) for p in rules.MODEL_PATTERNS]
+    + [f"list_filter({found(rules.MODEL_HYPHEN)}, lambda m: NOT ({PREFIXES}))"],
+    5,
+)
+PEOPLE = first_sorted(
+    [
+        found(rules.PERSON_TITLED), found(rules.PERSON_APPOSITION, True),
+        f"list_filter({found(rules.PERSON_SPEAKS)}, lambda m: split_part(m, ' ', 1) NOT IN {S.in_list(rules.PERSON_NOT_FIRST)})",
+    ],
+    3,
+)
+PLACES = first_sorted([found(p) for p in rules.PLACE_PATTERNS], 5)
+
+
+@query("T09_extract_makers", f"SELECT article_id, {makers()} AS makers FROM {ARTICLE}")
+def _(t):
+    return article(t).select("article_id", joined(T.extract_makers(F.col("x"))).alias("makers"))
+
+
+@query("T10_extract_models", f"SELECT article_id, {MODELS} AS models FROM {ARTICLE}")
+def _(t):
+    return article(t).select("article_id", joined(T.extract_models(F.col("x"))).alias("models"))
+
+
+@query("T11_extract_people", f"SELECT article_id, {PEOPLE} AS people FROM {ARTICLE}")
+def _(t):
+    return article(t).select("article_id", joined(T.extract_people(F.col("x"))).alias("people"))
+
+
+@query("T12_extract_places", f"SELECT article_id, {PLACES} AS places FROM {ARTICLE}")
+def _(t):
+    return article(t).select("article_id", joined(T.extract_places(F.col("x"))).alias("places"))
+
+
+EVENT_PLACE = "coalesce(" + ", ".join(
+    f"nullif(regexp_extract(block_text, {lit(p)}, 1), '')" for p in rules.EVENT_PLACE_PATTERNS
+) + ")"
+
+
+@query("T12_event_place", f"SELECT event_id, block_text, {EVENT_PLACE} AS place FROM {{blurbs}}")
+def _(t):
+    return t("blurbs").select("event_id", "block_text", T.event_place(F.col("block_text")).alias("place"))
+
+
+@query(
+    "T12_tag_articles",
+    f"""SELECT a.title, a.url, a.published_date, a.source, a.author, left(a.summary, 500) AS summary, {NEWS_CATEGORY} AS category,
+    {NEWS_SENTIMENT} AS sentiment, {IMPORTANCE} AS importance_score, {makers()} AS mentioned_manufacturers,
+    {MODELS} AS mentioned_models, {PEOPLE} AS mentioned_executives, {PLACES} AS mentioned_locations,
+    {BREAKING} AS is_breaking_news, {NEWS_CATEGORY} = 'recalls' AS is_recall_related, {CRITICAL} AS is_safety_critical,
+    TIMESTAMP '2026-01-01 00:00:00' AS scraped_at
+    FROM {{articles_raw}} a JOIN {ARTICLE} b USING (article_id)""",
+)
+def _(t):
+    df = news.tag_articles(t("articles_raw"), AS_OF)
+    lists = ["mentioned_manufacturers", "mentioned_models", "mentioned_executives", "mentioned_locations"]
+    return df.select(*[joined(c).alias(c) if c in lists else F.col(c) for c in df.columns])
+
+
+# --- trade events -------------------------------------------------------------------------
+
+EVENT = "(SELECT *, title || ' ' || block_text AS x, lower(title || ' ' || block_text) AS low FROM {blurbs})"
+
+
+def event(t):
+    df = t("blurbs").select("*", F.concat_ws(" ", "title", "block_text").alias("x"))
+    return df.select("*", F.lower("x").alias("low"))
+
+
+EVENT_TYPE = (
+    "CASE " + " ".join(f"WHEN {S.any_word('low', words)} THEN '{name}'" for name, words in rules.EVENT_TYPES)
+    + " ELSE 'event' END"
+)
+TOPICS = "list_filter([" + ", ".join(
+    f"CASE WHEN {S.any_word('low', words)} THEN '{name}' END" for name, words in rules.EVENT_TOPICS
+) + "], lambda v: v IS NOT NULL)"
+
+
+@query("T13_event_type", f"SELECT event_id, {EVENT_TYPE} AS event_type FROM {EVENT}")
+def _(t):
+    return event(t).select("event_id", T.event_type(F.col("low")).alias("event_type"))
+
+
+@query("T14_event_topics", f"SELECT event_id, array_to_string({TOPICS}, '|') AS topics FROM {EVENT}")
+def _(t):
+    return event(t).select("event_id", joined(T.event_topics(F.col("low"))).alias("topics"))
+
+
+def month(c: str) -> str:
+    cases = " ".join(
+        f"WHEN {c} IN ('{m}', '{m[:3]}') THEN '{i:02d}'" for i, m in enumerate(rules.MONTHS, 1)
+    )
+    return f"CASE {cases} END"
+
+
+def dates(x: str) -> tuple[str, str]:
+    body = f"regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), {lit('(?i)' + rules.DATE_PREFIX)}, '')"
+
+    def g(pattern: str, i: int) -> str:
+        return f"regexp_extract({body}, {lit(pattern)}, {i})"
+
+    def day(y: str, m: str, d: str) -> str:
+        return f"CAST(try_strptime({y} || '-' || {m} || '-' || lpad({d}, 2, '0'), '%Y-%m-%d') AS DATE)"
+
+    span, one = rules.DATE_RANGE, rules.DATE_SINGLE
+    span_month, one_month = month(g(span, 1)), month(g(one, 1))
+    start = f"""CASE WHEN ({span_month}) IS NOT NULL THEN {day(g(span, 4), f'({span_month})', g(span, 2))}
+        WHEN ({one_month}) IS NOT NULL THEN {day(g(one, 3), f'({one_month})', g(one, 2))}
+        WHEN {g(rules.DATE_YEAR, 1)} <> '' THEN {day(g(rules.DATE_YEAR, 1), "'01'", "'01'")} END"""
+    end = f"CASE WHEN ({span_month}) IS NOT NULL THEN {day(g(span, 4), f'({span_month})', g(span, 3))} END"
+    return start, end
+
+
+START, END = dates("date_text")
+B_START, B_END = dates("block_text")
+
+
+@query("T15_event_dates", f"SELECT event_id, date_text, {START} AS date_start, {END} AS date_end FROM {{date_texts}}")
+def _(t):
+    start, end = T.event_dates(F.col("date_text"))
+    return t("date_texts").select("event_id", "date_text", start.alias("date_start"), end.alias("date_end"))
+
+
+RELEVANCE = f"""(SELECT *, least(CAST(0.5 AS DOUBLE) + CASE WHEN d IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END
+    + CAST(0.1 AS DOUBLE) * len(topics) + CASE WHEN place IS NOT NULL THEN CAST(0.1 AS DOUBLE) ELSE 0 END, 1) AS r FROM
+    (SELECT event_id, {B_START} AS d, {TOPICS} AS topics, {EVENT_PLACE} AS place FROM {EVENT}))"""
+
+
+@query(
+    "T16_event_relevance",
+    f"""SELECT event_id, round(r, 2) AS relevance_score, CASE WHEN r > CAST(0.7 AS DOUBLE) THEN 'high'
+    WHEN r > 0.5 THEN 'medium' ELSE 'low' END AS strategic_importance FROM {RELEVANCE}""",
+)
+def _(t):
+    start, _ = T.event_dates(F.col("block_text"))
+    score = T.relevance(start, T.event_topics(F.col("low")), T.event_place(F.col("block_text")))
+    df = event(t).select("event_id", score.alias("r"))
+    return df.select(
+        "event_id", F.round("r", 2).alias("relevance_score"), T.strategic_importance(F.col("r")).alias("strategic_importance")
+    )
+
+
+VIRTUAL = S.any_word("lower(block_text)", rules.VIRTUAL_WORDS)
+
+
+@query("T17_is_virtual", f"SELECT event_id, {VIRTUAL} AS is_virtual FROM {{blurbs}}")
+def _(t):
+    return t("blurbs").select("event_id", T.is_virtual(F.lower("block_text")).alias("is_virtual"))
+
+
+@query(
+    "T17_tag_events",
+    f"""SELECT e.title, e.url, {EVENT_TYPE} AS event_type, '' AS description, {B_START} AS date_start, {B_END} AS date_end,
+    left(block_text, 100) AS date_raw, {EVENT_PLACE} AS location, {VIRTUAL} AS is_virtual,
+    array_to_string({TOPICS}, '|') AS key_topics, {makers()} AS participating_manufacturers,
+    round(r, 2) AS relevance_score, CASE WHEN r > CAST(0.7 AS DOUBLE) THEN 'high' WHEN r > 0.5 THEN 'medium' ELSE 'low' END
+    AS strategic_importance, 'events_page' AS source, TIMESTAMP '2026-01-01 00:00:00' AS scraped_at
+    FROM {EVENT} e JOIN (SELECT event_id, r FROM {RELEVANCE}) USING (event_id)""",
+)
+def _(t):
+    df = news.tag_events(t("blurbs"), AS_OF)
+    lists = ["key_topics", "participating_manufacturers"]
+    return df.select(*[joined(c).alias(c) if c in lists else F.col(c) for c in df.columns])
+
+
+# --- questions and answers ------------------------------------------------------------------
+
+WORDS = "[" + ", ".join(lit(w) for w in rules.SCOPE_WORDS) + "]"
+
+
+@query(
+    "T18_scope_words",
+    f"""SELECT question_id, array_to_string(words, '|') AS words, len(words) > 0 AS in_scope FROM (SELECT question_id,
+    list_filter({WORDS}, lambda w: contains(lower(question), w)) AS words FROM {{questions}})""",
+)
+def _(t):
+    df = t("questions").select("question_id", T.scope_words(F.lower("question")).alias("words"))
+    return df.select("question_id", joined("words").alias("words"), (F.size("words") > 0).alias("in_scope"))
+
+
+@query(
+    "T18_scope_whole_words",
+    f"""SELECT question_id, array_to_string(list_filter({WORDS}, lambda w: contains(' ' || regexp_replace(lower(question),
+    '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || w || ' ')), '|') AS words FROM {{questions}}""",
+)
+def _(t):
+    words = T.scope_words(F.lower("question"), word_boundary=True)
+    return t("questions").select("question_id", joined(words).alias("words"))
+
+
+OUTSIDE = lit("(?i)" + "|".join(rules.OUTSIDE_KNOWLEDGE))
+SENTENCES = "list_filter(list_transform(string_split(answer, '.'), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(
+    "T19_drop_sentences",
+    f"""SELECT answer_id, CASE WHEN good = '' THEN '' ELSE good || '.' END AS clean_text, removed FROM (SELECT answer_id,
+    array_to_string(list_filter({SENTENCES}, lambda s: NOT regexp_matches(s, {OUTSIDE})), '. ') AS good,
+    array_to_string(list_filter({SENTENCES}, lambda s: regexp_matches(s, {OUTSIDE})), '|') AS removed FROM {{answers}})""",
+)
+def _(t):
+    df = T.with_sentences_dropped(t("answers"), "answer")
+    return df.select("answer_id", "clean_text", joined("removed").alias("removed"))
+
+
+ITEMS = "list_filter(list_transform(string_split(i, '.'), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(
+    "T19_keep_items",
+    f"""SELECT answer_id, array_to_string(list_transform(list_filter(string_split(answer, '. '),
+      lambda i: len({ITEMS}) > 0 AND len(list_filter({ITEMS}, lambda s: regexp_matches(s, {OUTSIDE}))) = 0),
+      lambda i: array_to_string({ITEMS}, '. ') || '.'), '|') AS items FROM {{answers}}""",
+)
+def _(t):
+    items = T.keep_items(F.split("answer", r"\. "))
+    return t("answers").select("answer_id", joined(items).alias("items"))
+
+
+@query(
+    "T20_article_record",
+    """SELECT article_id, left(title, 100) AS headline, coalesce(nullif(summary, ''), 'No summary available') AS situation,
+    'Neutral' AS sentiment, CAST(0.7 AS DOUBLE) AS confidence, 5 AS severity, 0 AS key_figures, false AS recall_related
+    FROM (SELECT article_id, title, CASE WHEN article_id % 5 = 0 THEN '' ELSE summary END AS summary FROM {articles_raw})""",
+)
+def _(t):
+    df = t("articles_raw").withColumn("summary", F.when(F.col("article_id") % 5 == 0, "").otherwise(F.col("summary")))
+    df = df.select("article_id", T.article_record(F.col("title"), F.col("summary")).alias("r"))
+    return df.select(
+        "article_id", "r.executive_summary.headline", "r.executive_summary.situation", "r.classification.sentiment",
+        "r.classification.confidence", "r.impact_assessment.severity",
+        F.size("r.executive_summary.key_figures").alias("key_figures"), "r.impact_flags.recall_related",
+    )
+
+
+@query(
+    "T21_event_record",
+    """SELECT event_id, coalesce(nullif(description, ''), 'No description available') AS summary, 'Tier 2' AS tier,
+    'Medium' AS importance_level, 'Unknown' AS attendance_recommendation, 0 AS participants FROM {trade_events}""",
+)
+def _(t):
+    df = t("trade_events").select("event_id", T.event_record(F.col("description")).alias("r"))
+    return df.select(
+        "event_id", "r.analyst_brief.summary", "r.event_profile.tier", "r.strategic_importance.importance_level",
+        "r.analyst_brief.attendance_recommendation", F.size("r.expected_coverage.participants").alias("participants"),
+    )
