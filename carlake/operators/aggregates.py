@@ -95,8 +95,11 @@ def matched_names(names: Sequence[str], *texts: Column) -> Column:
 
 
 def since(df: DataFrame, date: str, as_of: datetime, **back: int) -> DataFrame:
-    """Rows not older than ``back`` before ``as_of``; a literal bound, so it reaches the scan."""
-    return df.filter(F.col(date) >= F.lit(as_of - timedelta(**back)))
+    """Rows not older than ``back`` before ``as_of``.
+
+    The bound is a literal of the column's own type, so the filter reaches the scan."""
+    bound = F.lit(as_of - timedelta(**back)).cast(df.schema[date].dataType)
+    return df.filter(F.col(date) >= bound)
 
 
 def sentiment_mix(df: DataFrame, names: Sequence[str], days: int, as_of: datetime) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carlake.functions.derived import any_of
+
 ARTICLE_FROZEN = ["source", "author"]
 
 
@@ -35,23 +37,22 @@ def upsert(
 ) -> DataFrame:
     """The target after the batch: matched rows take the batch's values except the frozen columns.
 
-    With ``null_safe`` the last key matches NULL to NULL; without it a NULL key never matches, so each
-    such row is inserted. After the fold both sides have one row per key, so no key is hot in the join."""
+    With ``null_safe`` NULL matches NULL; without it a NULL key never matches, so each such row is inserted.
+    After the fold both sides have one row per key, so no key is hot in the join."""
     columns = target.columns
-    loose: DataFrame | None = None
-    if not null_safe:
-        has_null = F.lit(False)
-        for k in keys:
-            has_null = has_null | F.col(k).isNull()
-        loose = updates.filter(has_null).select(*columns)
-        updates = updates.filter(~has_null)
-    batch = fold_batch(updates, keys, sequence, frozen)
-    t, b = target.alias("t"), batch.withColumn("_in_batch", F.lit(True)).alias("b")
+    if null_safe:
+        batch = fold_batch(updates, keys, sequence, frozen)
+    else:
+        # rows with a NULL key stay apart from each other through their place in the batch
+        apart = F.when(any_of([F.col(k).isNull() for k in keys]), F.col(sequence))
+        batch = fold_batch(updates.withColumn("_apart", apart), [*keys, "_apart"], sequence, frozen)
+    b = batch.withColumn("_in_batch", F.lit(True)).alias("b")
+    t = target.withColumn("_in_target", F.lit(True)).alias("t")
     on = F.lit(True)
     for k in keys:
         same = F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"b.{k}")
         on = on & same
-    joined = t.withColumn("_in_target", F.lit(True)).alias("t").join(b, on, "full_outer")
+    joined = t.join(b, on, "full_outer")
     matched, new = F.col("b._in_batch"), F.col("t._in_target").isNull()
 
     def merged(c: str):
@@ -59,8 +60,7 @@ def upsert(
             return F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
         return F.when(matched, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
 
-    result = joined.select(*[merged(c) for c in columns])
-    return result if loose is None else result.unionByName(loose)
+    return joined.select(*[merged(c) for c in columns])
 
 
 def upsert_articles(target: DataFrame, updates: DataFrame, sequence: str) -> DataFrame:

@@ -29,7 +29,7 @@ def tag_articles(df: DataFrame, as_of: datetime, keep: Sequence[str] = ()) -> Da
         "is_breaking_news",
         (F.col("category") == "recalls").alias("is_recall_related"),
         T.is_safety_critical(low).alias("is_safety_critical"),
-        F.lit(as_of).cast("timestamp").alias("scraped_at"),
+        F.lit(as_of).cast("timestamp_ntz").alias("scraped_at"),
         *keep,
     )
 
@@ -51,5 +51,5 @@ def tag_events(df: DataFrame, as_of: datetime, source: str = "events_page") -> D
         T.extract_makers(F.col("_text")).alias("participating_manufacturers"),
         F.round("_relevance", 2).alias("relevance_score"),
         T.strategic_importance(F.col("_relevance")).alias("strategic_importance"),
-        F.lit(source).alias("source"), F.lit(as_of).cast("timestamp").alias("scraped_at"),
+        F.lit(source).alias("source"), F.lit(as_of).cast("timestamp_ntz").alias("scraped_at"),
     )

@@ -21,15 +21,15 @@ SERIES_RAW = text_schema(["date", "value", "series_id", "series_name"])
 RECALLS_RAW = text_schema(["recall_id", "make", "model", "year", "summary", "document_type", "document_url"])
 
 ARTICLE_DDL = (
-    "title string, url string, published_date timestamp, source string, author string, summary string, "
+    "title string, url string, published_date timestamp_ntz, source string, author string, summary string, "
     "category string, sentiment string, importance_score int, mentioned_manufacturers array<string>, "
     "mentioned_models array<string>, mentioned_executives array<string>, mentioned_locations array<string>, "
-    "is_breaking_news boolean, is_recall_related boolean, is_safety_critical boolean, scraped_at timestamp"
+    "is_breaking_news boolean, is_recall_related boolean, is_safety_critical boolean, scraped_at timestamp_ntz"
 )
-RAW_ARTICLE_DDL = "title string, url string, published_date timestamp, source string, author string, summary string"
+RAW_ARTICLE_DDL = "title string, url string, published_date timestamp_ntz, source string, author string, summary string"
 EVENT_DDL = (
     "title string, url string, event_type string, description string, date_start date, date_end date, "
     "date_raw string, location string, is_virtual boolean, key_topics array<string>, "
     "participating_manufacturers array<string>, relevance_score double, strategic_importance string, "
-    "source string, scraped_at timestamp"
+    "source string, scraped_at timestamp_ntz"
 )

@@ -58,7 +58,7 @@ def rss_articles(items: DataFrame, as_of: datetime, source: str = "rss") -> Data
     summary = F.coalesce(F.trim(F.regexp_replace("description", "<[^>]+>", "")), F.lit(""))
     shaped = items.select(
         title.alias("title"), url.alias("url"),
-        F.coalesce(stamp, F.lit(as_of).cast("timestamp")).alias("published_date"),
+        F.coalesce(stamp.cast("timestamp_ntz"), F.lit(as_of).cast("timestamp_ntz")).alias("published_date"),
         F.lit(source).alias("source"), _text(F.col("creator")).alias("author"),
         summary.alias("full_summary"),
     )

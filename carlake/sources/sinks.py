@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 NESTED = ("array", "struct", "map")
+# Text formats that keep microseconds, which the default ones cut off.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:
@@ -30,7 +35,7 @@ def csv_path(parquet_path: str) -> str:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Header CSV. ``single_file`` gathers everything in one task, so it is for small exports only."""
     flat = _flat(df)
-    writer = (flat.coalesce(1) if single_file else flat).write.mode("overwrite").option("header", True)
+    writer = (flat.coalesce(1) if single_file else flat).write.mode("overwrite").options(header=True, **TIME_FORMATS)
     # spaces at the ends of a text belong to it
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
@@ -43,7 +48,7 @@ def safe_overwrite(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.write.mode("overwrite").options(ignoreNullFields=False, **TIME_FORMATS).json(path)
 
 
 def load_table(df: DataFrame, name: str, path: str | None = None) -> dict[str, int]:

@@ -370,7 +370,7 @@ def _(t):
     df = t("articles_raw").select("article_id", "title", "url", "published_date", "source", "author", "summary")
     for delivery in range(3):
         part = df.filter(F.col("article_id") % 3 == delivery).drop("article_id")
-        part.write.mode("append").json(f"{root}/landing")
+        part.write.mode("append").options(**sinks.TIME_FORMATS).json(f"{root}/landing")
         run_feed(t.spark, f"{root}/landing", f"{root}/articles", f"{root}/checkpoint", AS_OF)
     table = U.read_snapshot(t.spark, f"{root}/articles")
     return table.select("url", "title", "summary", "published_date", "source", "author", "category", "sentiment")

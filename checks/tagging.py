@@ -7,7 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from carlake import rules
+from carlake.functions import cleaning as C
+from carlake.functions import derived as D
 from carlake.functions import text as T
+from carlake.operators.filters import keep_names
 from carlake.plans import news
 from checks import sqlparts as S
 from checks.inputs import text as lit
@@ -48,6 +51,30 @@ def _(t):
     )
 
 
+@query(
+    "N08_worst_sentiment",
+    SENTIMENT
+    + f""", named AS (SELECT CMPLID, coalesce({S.names('MAKETXT')}, {S.names('MFR_NAME')}) AS make FROM {{complaints_raw}}),
+    scored AS (SELECT CMPLID, CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE (p - n) / CAST(p + n AS DOUBLE) END AS s FROM sums),
+    one AS (SELECT CMPLID, any_value(s) AS s FROM scored GROUP BY 1), many AS (SELECT CMPLID, make FROM named)
+    SELECT make, round(avg(s), 3) AS avg_sentiment, count(*) AS n, count(*) FILTER (s < -0.5) AS very_negative
+    FROM many JOIN one USING (CMPLID) WHERE make IN {S.MAKERS} GROUP BY make""",
+)
+def _(t):
+    maker = C.first_name(C.standardize_name(F.col("MAKETXT")), C.standardize_name(F.col("MFR_NAME")))
+    rows = keep_names(t("complaints_raw").select(maker.alias("make"), "CDESCR"), "make")
+    scored = T.with_sentiment(rows, "CDESCR")
+    category = D.sentiment_band(F.col("sentiment_score"))
+    return (
+        scored.groupBy("make")
+        .agg(
+            F.round(F.avg("sentiment_score"), 3).alias("avg_sentiment"), F.count("*").alias("n"),
+            F.count_if(category == "VERY_NEGATIVE").alias("very_negative"),
+        )
+        .orderBy("avg_sentiment", "make")
+    )
+
+
 @query(
     "T02_negation_count",
     f"""SELECT CMPLID, CAST(len(list_filter({TOKENS}, lambda w: w IN {NEGATORS})) AS INTEGER) AS negation_count
