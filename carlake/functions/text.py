@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from carlake import rules
 from carlake.functions.derived import any_of, first_match
+from carlake.session import spread
 
 # Regular expressions see Unicode letters, digits and spaces, and only \n ends a line.
 UNICODE = "(?U)"
@@ -37,8 +38,8 @@ def _weight_sum(low: Column, groups: Sequence[tuple[int, Sequence[str]]]) -> Col
 
 
 def tokens(c: Column) -> Column:
-    letters = F.regexp_replace(c, r"[^a-zA-Z' ]", " ")
-    return F.array_remove(F.split(F.lower(letters), " +"), "")
+    """Lower-case words: runs of letters and apostrophes."""
+    return F.array_remove(F.split(F.lower(c), r"[^a-z']+"), "")
 
 
 def count_terms(toks: Column, terms: Sequence[str]) -> Column:
@@ -53,8 +54,9 @@ def _signed_weights(toks: Column, lexicon: dict[str, int], negators: Sequence[st
         return before[0] | before[1]
 
     def weigh(token: Column, i: Column) -> Column:
-        weight = F.try_element_at(weights, token)
-        return F.when(weight.isNull(), 0).when(negated(i), -weight).otherwise(weight)
+        # most words have no weight: a hash lookup sorts them out before the map is searched
+        weight = F.element_at(weights, token)
+        return F.when(~token.isin(list(lexicon)), 0).when(negated(i), -weight).otherwise(weight)
 
     return F.transform(toks, weigh)
 
@@ -73,7 +75,7 @@ def with_sentiment(
     Tokens and weights are separate projections so that each is computed once per row."""
     lexicon = lexicon or rules.lexicon()
     kept = list(df.columns)
-    df = df.select("*", tokens(F.col(text)).alias("_tokens"))
+    df = spread(df).select("*", tokens(F.col(text)).alias("_tokens"))
     df = df.select("*", _signed_weights(F.col("_tokens"), lexicon, negators).alias("_weights"))
 
     def total(sign: int) -> Column:
@@ -96,7 +98,7 @@ def with_sentiment(
 
 def embed_text(df: DataFrame, text: str, dim: int = 768, out: str = "embedding") -> DataFrame:
     """A unit-length hashed bag of words per row; it stands in for a trained encoder."""
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = spread(df).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     df = Tokenizer(inputCol="_text", outputCol="_words").transform(df)
     df = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(df)
     df = Normalizer(inputCol="_tf", outputCol="_unit").transform(df)
@@ -180,9 +182,11 @@ def extract_people(c: Column, n: int = 3) -> Column:
         _all(c, rules.PERSON_SPEAKS),
         lambda m: ~F.element_at(F.split(m, r"\s+"), 1).isin(rules.PERSON_NOT_FIRST),
     )
-    return _first_sorted(
-        [_all(c, rules.PERSON_TITLED), _all(c, rules.PERSON_APPOSITION, UNICODE_ANY_CASE), speakers], n
-    )
+    # a title word is much cheaper to look for than a pair of names before it
+    titled = F.when(
+        c.rlike(UNICODE_ANY_CASE + rules.PERSON_TITLE_WORD), _all(c, rules.PERSON_APPOSITION, UNICODE_ANY_CASE)
+    ).otherwise(F.array().cast("array<string>"))
+    return _first_sorted([_all(c, rules.PERSON_TITLED), titled, speakers], n)
 
 
 def extract_places(c: Column, n: int = 5) -> Column:
@@ -220,38 +224,46 @@ def _iso_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year, month, F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
-def event_dates(c: Column) -> tuple[Column, Column]:
-    """(start, end) from a date range, else a single date, else a bare year; else NULL.
+def with_event_dates(df: DataFrame, text: str) -> DataFrame:
+    """Adds date_start and date_end from a date range, else a single date, else a bare year; else NULL.
 
-    Only the first match of a pattern counts; a month name outside the list falls through."""
-    text = F.regexp_replace(
-        F.regexp_replace(c, UNICODE + r"^\s+|\s+$", ""), UNICODE_ANY_CASE + rules.DATE_PREFIX, ""
+    Only the first match of a pattern counts; a month name outside the list falls through. Every pattern
+    runs once over the text; its parts are then taken from the short match."""
+    kept = df.columns
+    body = F.regexp_replace(
+        F.regexp_replace(text, UNICODE + r"^\s+|\s+$", ""), UNICODE_ANY_CASE + rules.DATE_PREFIX, ""
     )
-    span = F.regexp_extract(text, UNICODE + rules.DATE_RANGE, 0)
-    single = F.regexp_extract(text, UNICODE + rules.DATE_SINGLE, 0)
-    year = F.regexp_extract(text, UNICODE + rules.DATE_YEAR, 1)
+    df = spread(df).select("*", body.alias("_body"))
+
+    def found(pattern: str, group: int) -> Column:
+        return F.regexp_extract("_body", UNICODE + pattern, group)
 
-    def part(found: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract(found, UNICODE + pattern, group)
+    df = df.select(
+        "*", found(rules.DATE_RANGE, 0).alias("_span"), found(rules.DATE_SINGLE, 0).alias("_single"),
+        found(rules.DATE_YEAR, 1).alias("_year"),
+    )
 
-    span_month = _month_number(part(span, rules.DATE_RANGE, 1))
-    single_month = _month_number(part(single, rules.DATE_SINGLE, 1))
+    def part(match: str, pattern: str, group: int) -> Column:
+        return F.regexp_extract(match, UNICODE + pattern, group)
+
+    df = df.select(
+        "*", _month_number(part("_span", rules.DATE_RANGE, 1)).alias("_span_month"),
+        _month_number(part("_single", rules.DATE_SINGLE, 1)).alias("_single_month"),
+    )
+    span_year, span_month = part("_span", rules.DATE_RANGE, 4), F.col("_span_month")
+    in_span = span_month.isNotNull()
     start = (
-        F.when(
-            span_month.isNotNull(),
-            _iso_date(part(span, rules.DATE_RANGE, 4), span_month, part(span, rules.DATE_RANGE, 2)),
-        )
+        F.when(in_span, _iso_date(span_year, span_month, part("_span", rules.DATE_RANGE, 2)))
         .when(
-            single_month.isNotNull(),
-            _iso_date(part(single, rules.DATE_SINGLE, 3), single_month, part(single, rules.DATE_SINGLE, 2)),
+            F.col("_single_month").isNotNull(),
+            _iso_date(
+                part("_single", rules.DATE_SINGLE, 3), F.col("_single_month"), part("_single", rules.DATE_SINGLE, 2)
+            ),
         )
-        .when(year != "", _iso_date(year, F.lit("01"), F.lit("01")))
+        .when(F.col("_year") != "", _iso_date(F.col("_year"), F.lit("01"), F.lit("01")))
     )
-    end = F.when(
-        span_month.isNotNull(),
-        _iso_date(part(span, rules.DATE_RANGE, 4), span_month, part(span, rules.DATE_RANGE, 3)),
-    )
-    return start, end
+    end = F.when(in_span, _iso_date(span_year, span_month, part("_span", rules.DATE_RANGE, 3)))
+    return df.select(*kept, start.alias("date_start"), end.alias("date_end"))
 
 
 def relevance(start: Column, topics: Column, place: Column) -> Column:
@@ -274,11 +286,18 @@ def is_virtual(low: Column) -> Column:
 
 
 def scope_words(low: Column, words: Sequence[str] = rules.SCOPE_WORDS, word_boundary: bool = False) -> Column:
-    """Domain words in a question; by default as substrings, optionally as whole words only."""
-    if word_boundary:
-        low = F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9]+", " "), F.lit(" "))
-        return F.array_compact(F.array(*[F.when(low.contains(f" {w} "), F.lit(w)) for w in words]))
-    return words_found(low, words)
+    """Domain words in a question, in list order; by default as substrings, optionally as whole words.
+
+    The list is one array literal that is filtered per row: a chain of conditions of this length would
+    make generated code too large to be compiled."""
+    if not word_boundary:
+        return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+    single = [w for w in words if " " not in w]
+    parts = F.split(low, "[^a-z0-9]+")
+    joined = F.concat(F.lit(" "), F.array_join(parts, " "), F.lit(" "))
+    phrases = [F.when(joined.contains(f" {w} "), F.lit(w)) for w in words if " " in w]
+    found = F.concat(F.array_intersect(F.array(*[F.lit(w) for w in single]), parts), F.array_compact(F.array(*phrases)))
+    return F.array_sort(found)
 
 
 def split_sentences(c: Column) -> Column:
@@ -292,7 +311,7 @@ def with_sentences_dropped(
     """Adds ``clean_text`` without the sentences that match a pattern, and the list ``removed``."""
     joined = UNICODE_ANY_CASE + "|".join(patterns)
     kept = df.columns
-    df = df.select("*", split_sentences(F.col(text)).alias("_sentences"))
+    df = spread(df).select("*", split_sentences(F.col(text)).alias("_sentences"))
     good = F.array_join(F.filter("_sentences", lambda s: ~s.rlike(joined)), ". ")
     df = df.select("*", good.alias("_good"))
     return df.select(

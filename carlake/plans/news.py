@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carlake.functions import text as T
+from carlake.session import spread
 
 
 def tag_articles(df: DataFrame, as_of: datetime, keep: Sequence[str] = ()) -> DataFrame:
     """Article records from title, url, published_date, source, author and the full summary."""
-    df = df.select("*", F.concat_ws(" ", F.col("title"), F.coalesce("summary", F.lit(""))).alias("_text"))
+    df = spread(df).select("*", F.concat_ws(" ", F.col("title"), F.coalesce("summary", F.lit(""))).alias("_text"))
     df = df.select("*", F.lower("_text").alias("_low"))
     low, text = F.col("_low"), F.col("_text")
     df = df.select("*", T.news_category(low).alias("category"), T.is_breaking(low).alias("is_breaking_news"))
@@ -36,12 +37,10 @@ def tag_articles(df: DataFrame, as_of: datetime, keep: Sequence[str] = ()) -> Da
 
 def tag_events(df: DataFrame, as_of: datetime, source: str = "events_page") -> DataFrame:
     """Trade-event records from title, url and block_text."""
-    df = df.select("*", F.concat_ws(" ", "title", "block_text").alias("_text"))
+    df = T.with_event_dates(df, "block_text").select("*", F.concat_ws(" ", "title", "block_text").alias("_text"))
     df = df.select("*", F.lower("_text").alias("_low"))
-    start, end = T.event_dates(F.col("block_text"))
     df = df.select(
-        "*", start.alias("date_start"), end.alias("date_end"),
-        T.event_place(F.col("block_text")).alias("location"), T.event_topics(F.col("_low")).alias("key_topics"),
+        "*", T.event_place(F.col("block_text")).alias("location"), T.event_topics(F.col("_low")).alias("key_topics"),
     )
     df = df.select("*", T.relevance(F.col("date_start"), F.col("key_topics"), F.col("location")).alias("_relevance"))
     return df.select(

@@ -134,6 +134,7 @@ MODEL_HYPHEN = r"\b([A-Za-z]+-[A-Za-z0-9]+)\b"
 MODEL_NOT_PREFIXES = ["self-", "all-", "full-", "high-", "low-", "non-", "pre-", "co-"]
 PERSON_TITLED = r"(?:CEO|Chief\s+\w+\s+Officer|President|Chairman)\s+([A-Z][a-z]+\s+[A-Z][a-z]+)"
 PERSON_APPOSITION = r"([A-Z][a-z]+\s+[A-Z][a-z]+),?\s+(?:the\s+)?(?:CEO|chief|president|chairman)"
+PERSON_TITLE_WORD = r"CEO|chief|president|chairman"
 PERSON_SPEAKS = r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s+(?:said|announced|told|added|noted)"
 PERSON_NOT_FIRST = ["The", "This", "That", "They"]
 PLACE_PATTERNS = [

@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
     "spark.sql.sources.partitionOverwriteMode": "static",
+    # the JVM compiles no method above 8000 bytes; beyond it Spark shall split the code instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -59,6 +61,21 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads an input of few, large splits over all cores before costly work on each row.
+
+    A file is read in as many tasks as it has row groups, so a small table may keep one core busy. An
+    input with enough splits for the cores is returned as it is: nothing is shuffled at scale."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = plan_bytes(df)
+    if size >= cores * split // 2:
+        return df
+    splits = max(len(df.inputFiles()), size // split + 1)
+    return df.repartition(cores) if splits * 2 <= cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where the estimated size is within the limit.
 

@@ -12,6 +12,7 @@ from carlake.functions import derived as D
 from carlake.functions import text as T
 from carlake.operators.filters import keep_names
 from carlake.plans import news
+from carlake.session import spread
 from checks import sqlparts as S
 from checks.inputs import text as lit
 from checks.registry import query
@@ -25,8 +26,7 @@ def joined(c):
 
 # --- complaint sentiment ------------------------------------------------------------------
 
-TOKENS = """list_filter(string_split_regex(lower(regexp_replace(CDESCR, '[^a-zA-Z'' ]', ' ', 'g')), ' +'),
-    lambda w: w <> '')"""
+TOKENS = """list_filter(string_split_regex(lower(CDESCR), '[^a-z'']+'), lambda w: w <> '')"""
 WEIGHT = "CASE w " + " ".join(f"WHEN {lit(w)} THEN {n}" for w, n in rules.lexicon().items()) + " ELSE 0 END"
 NEGATORS = S.in_list(rules.NEGATORS)
 SENTIMENT = f"""
@@ -81,7 +81,7 @@ def _(t):
     FROM {{complaints_raw}}""",
 )
 def _(t):
-    return t("complaints_raw").select(
+    return spread(t("complaints_raw").select("CMPLID", "CDESCR")).select(
         "CMPLID", T.count_terms(T.tokens(F.col("CDESCR")), rules.NEGATORS).alias("negation_count")
     )
 
@@ -92,7 +92,7 @@ def _(t):
     FROM {{complaints_raw}}""",
 )
 def _(t):
-    return t("complaints_raw").select(
+    return spread(t("complaints_raw").select("CMPLID", "CDESCR")).select(
         "CMPLID", T.count_terms(T.tokens(F.col("CDESCR")), rules.SAFETY_WORDS).alias("safety_words")
     )
 
@@ -110,7 +110,7 @@ ARTICLE = "(SELECT article_id, title, summary, title || ' ' || summary AS x, low
 
 
 def article(t):
-    df = t("articles_raw").select("article_id", F.concat_ws(" ", "title", "summary").alias("x"))
+    df = spread(t("articles_raw").select("article_id", F.concat_ws(" ", "title", "summary").alias("x")))
     return df.select("*", F.lower("x").alias("low"))
 
 
@@ -259,7 +259,7 @@ EVENT = "(SELECT *, title || ' ' || block_text AS x, lower(title || ' ' || block
 
 
 def event(t):
-    df = t("blurbs").select("*", F.concat_ws(" ", "title", "block_text").alias("x"))
+    df = spread(t("blurbs")).select("*", F.concat_ws(" ", "title", "block_text").alias("x"))
     return df.select("*", F.lower("x").alias("low"))
 
 
@@ -313,8 +313,7 @@ B_START, B_END = dates("block_text")
 
 @query("T15_event_dates", f"SELECT event_id, date_text, {START} AS date_start, {END} AS date_end FROM {{date_texts}}")
 def _(t):
-    start, end = T.event_dates(F.col("date_text"))
-    return t("date_texts").select("event_id", "date_text", start.alias("date_start"), end.alias("date_end"))
+    return T.with_event_dates(t("date_texts"), "date_text")
 
 
 RELEVANCE = f"""(SELECT *, least(CAST(0.5 AS DOUBLE) + CASE WHEN d IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END
@@ -328,9 +327,8 @@ RELEVANCE = f"""(SELECT *, least(CAST(0.5 AS DOUBLE) + CASE WHEN d IS NOT NULL T
     WHEN r > 0.5 THEN 'medium' ELSE 'low' END AS strategic_importance FROM {RELEVANCE}""",
 )
 def _(t):
-    start, _ = T.event_dates(F.col("block_text"))
-    score = T.relevance(start, T.event_topics(F.col("low")), T.event_place(F.col("block_text")))
-    df = event(t).select("event_id", score.alias("r"))
+    score = T.relevance(F.col("date_start"), T.event_topics(F.col("low")), T.event_place(F.col("block_text")))
+    df = T.with_event_dates(event(t), "block_text").select("event_id", score.alias("r"))
     return df.select(
         "event_id", F.round("r", 2).alias("relevance_score"), T.strategic_importance(F.col("r")).alias("strategic_importance")
     )
@@ -370,18 +368,18 @@ WORDS = "[" + ", ".join(lit(w) for w in rules.SCOPE_WORDS) + "]"
     list_filter({WORDS}, lambda w: contains(lower(question), w)) AS words FROM {{questions}})""",
 )
 def _(t):
-    df = t("questions").select("question_id", T.scope_words(F.lower("question")).alias("words"))
+    df = spread(t("questions")).select("question_id", T.scope_words(F.lower("question")).alias("words"))
     return df.select("question_id", joined("words").alias("words"), (F.size("words") > 0).alias("in_scope"))
 
 
 @query(
     "T18_scope_whole_words",
-    f"""SELECT question_id, array_to_string(list_filter({WORDS}, lambda w: contains(' ' || regexp_replace(lower(question),
-    '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || w || ' ')), '|') AS words FROM {{questions}}""",
+    f"""SELECT question_id, array_to_string(list_sort(list_filter({WORDS}, lambda w: contains(' ' ||
+    regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || w || ' '))), '|') AS words FROM {{questions}}""",
 )
 def _(t):
     words = T.scope_words(F.lower("question"), word_boundary=True)
-    return t("questions").select("question_id", joined(words).alias("words"))
+    return spread(t("questions")).select("question_id", joined(words).alias("words"))
 
 
 OUTSIDE = lit("(?i)" + "|".join(rules.OUTSIDE_KNOWLEDGE))
