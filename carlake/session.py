@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +41,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return builder.getOrCreate()
 
 
+@cache
+def _test_dir() -> str:
+    return tempfile.mkdtemp(prefix="carlake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it; a local one only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    local = os.environ.get("CARLAKE_TEST_DIR") or tempfile.mkdtemp(prefix="carlake-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return named.rstrip("/") if named else _test_dir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -27,23 +27,25 @@ def joined(c):
 # --- complaint sentiment ------------------------------------------------------------------
 
 TOKENS = """list_filter(string_split_regex(lower(CDESCR), '[^a-z'']+'), lambda w: w <> '')"""
+TOKENS_OF = """list_filter(string_split_regex(lower({}), '[^a-z'']+'), lambda w: w <> '')"""
 WEIGHT = "CASE w " + " ".join(f"WHEN {lit(w)} THEN {n}" for w, n in rules.lexicon().items()) + " ELSE 0 END"
 NEGATORS = S.in_list(rules.NEGATORS)
-SENTIMENT = f"""
-WITH tok AS (SELECT CMPLID, CDESCR, {TOKENS} AS t FROM {{complaints_raw}}),
-signed AS (SELECT *, list_transform(t, lambda w, i: ({WEIGHT}) * CASE WHEN (i > 1 AND t[i - 1] IN {NEGATORS})
+SUMS = f"""signed AS (SELECT *, list_transform(t, lambda w, i: ({WEIGHT}) * CASE WHEN (i > 1 AND t[i - 1] IN {NEGATORS})
     OR (i > 2 AND t[i - 2] IN {NEGATORS}) THEN -1 ELSE 1 END) AS s FROM tok),
 sums AS (SELECT *, CASE WHEN s IS NULL THEN NULL ELSE CAST(coalesce(list_sum(list_filter(s, lambda x: x > 0)), 0) AS INTEGER) END AS p,
     CASE WHEN s IS NULL THEN NULL ELSE CAST(coalesce(-list_sum(list_filter(s, lambda x: x < 0)), 0) AS INTEGER) END AS n FROM signed)
 """
+SENTIMENT = f"WITH tok AS (SELECT CMPLID, CDESCR, {TOKENS} AS t FROM {{complaints_raw}}), {SUMS}"
+SCORE = "CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE (p - n) / CAST(p + n AS DOUBLE) END"
+LABEL = "CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' WHEN p = n THEN 'neutral' END"
+CONFIDENCE = "(p + n) / CAST(p + n + 3 AS DOUBLE)"
 
 
 @query(
     "T01_sentiment",
     SENTIMENT
-    + """SELECT CMPLID, CDESCR, CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE (p - n) / CAST(p + n AS DOUBLE) END AS sentiment_score,
-    CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' WHEN p = n THEN 'neutral' END AS sentiment_label,
-    (p + n) / CAST(p + n + 3 AS DOUBLE) AS sentiment_confidence FROM sums""",
+    + f"""SELECT CMPLID, CDESCR, {SCORE} AS sentiment_score, {LABEL} AS sentiment_label,
+    {CONFIDENCE} AS sentiment_confidence FROM sums""",
 )
 def _(t):
     return T.with_sentiment(t("complaints_raw").select("CMPLID", "CDESCR"), "CDESCR").drop(
