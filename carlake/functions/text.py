@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import chain
 
@@ -24,9 +24,10 @@ def has_any(low: Column, words: Sequence[str]) -> Column:
     return any_of([low.contains(w) for w in words])
 
 
-def words_found(low: Column, words: Sequence[str]) -> Column:
-    """The words that occur as substrings, in list order."""
-    return F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words]))
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once per row. A lambda over an array would compute an
+    expression from outside again for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
 def _weight_sum(low: Column, groups: Sequence[tuple[int, Sequence[str]]]) -> Column:
@@ -291,7 +292,8 @@ def scope_words(low: Column, words: Sequence[str] = rules.SCOPE_WORDS, word_boun
     The list is one array literal that is filtered per row: a chain of conditions of this length would
     make generated code too large to be compiled."""
     if not word_boundary:
-        return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+        listed = F.array(*[F.lit(w) for w in words])
+        return bind(low, lambda text: F.filter(listed, lambda w: text.contains(w)))
     single = [w for w in words if " " not in w]
     parts = F.split(low, "[^a-z0-9]+")
     joined = F.concat(F.lit(" "), F.array_join(parts, " "), F.lit(" "))
@@ -311,29 +313,27 @@ def with_sentences_dropped(
     """Adds ``clean_text`` without the sentences that match a pattern, and the list ``removed``."""
     joined = UNICODE_ANY_CASE + "|".join(patterns)
     kept = df.columns
-    df = spread(df).select("*", split_sentences(F.col(text)).alias("_sentences"))
-    good = F.array_join(F.filter("_sentences", lambda s: ~s.rlike(joined)), ". ")
+    marked = F.transform(
+        split_sentences(F.col(text)), lambda s: F.struct(s.alias("text"), s.rlike(joined).alias("bad"))
+    )
+    df = spread(df).select("*", marked.alias("_sentences"))
+    good = F.array_join(F.filter("_sentences", lambda s: ~s["bad"])["text"], ". ")
     df = df.select("*", good.alias("_good"))
     return df.select(
         *kept,
         F.when((F.col("_good") != "") & ~F.col("_good").endswith("."), F.concat("_good", F.lit(".")))
         .otherwise(F.col("_good"))
         .alias("clean_text"),
-        F.filter("_sentences", lambda s: s.rlike(joined)).alias("removed"),
+        F.filter("_sentences", lambda s: s["bad"])["text"].alias("removed"),
     )
 
 
 def keep_items(items: Column, patterns: Sequence[str] = rules.OUTSIDE_KNOWLEDGE) -> Column:
     """List items in which no sentence matches a pattern and some text is left, ended with a full stop."""
     joined = UNICODE_ANY_CASE + "|".join(patterns)
-
-    def sentences_of(item: Column) -> Column:
-        return split_sentences(item)
-
-    clean = F.filter(
-        items, lambda i: (F.size(sentences_of(i)) > 0) & ~F.exists(sentences_of(i), lambda s: s.rlike(joined))
-    )
-    return F.transform(clean, lambda i: F.concat(F.array_join(sentences_of(i), ". "), F.lit(".")))
+    as_sentences = F.transform(items, split_sentences)
+    clean = F.filter(as_sentences, lambda i: (F.size(i) > 0) & ~F.exists(i, lambda s: s.rlike(joined)))
+    return F.transform(clean, lambda i: F.concat(F.array_join(i, ". "), F.lit(".")))
 
 
 # --- default analysis records -------------------------------------------------------

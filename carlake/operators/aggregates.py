@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carlake.functions.text import bind
+
 
 def distribution(df: DataFrame, *cols: str) -> DataFrame:
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
@@ -83,15 +85,10 @@ def having(df: DataFrame, condition: Column) -> DataFrame:
 
 def matched_names(names: Sequence[str], *texts: Column) -> Column:
     """The names that occur in any of the texts, ignoring case."""
-    low = [F.lower(t) for t in texts]
-
-    def found(name: str) -> Column:
-        hit = F.lit(False)
-        for text in low:
-            hit = hit | F.coalesce(text.contains(name.lower()), F.lit(False))
-        return F.when(hit, F.lit(name))
-
-    return F.array_compact(F.array(*[found(n) for n in names]))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n.lower()).alias("low")) for n in names])
+    # the texts are joined by a line break, which no name contains
+    text = F.lower(F.concat_ws("\n", *texts))
+    return bind(text, lambda t: F.filter(listed, lambda n: t.contains(n["low"])))["name"]
 
 
 def since(df: DataFrame, date: str, as_of: datetime, **back: int) -> DataFrame:

@@ -123,13 +123,15 @@ def screen_sql(df: DataFrame, sql: str) -> DataFrame:
 
 def advise_sql(df: DataFrame, sql: str) -> DataFrame:
     """Adds the list of style advices for a query text."""
-    up = F.upper(sql)
+    df = df.select("*", F.upper(sql).alias("_upper"))
+    up = F.col("_upper")
     advice = [
         (up.contains("SELECT") & ~up.contains("LIMIT") & ~up.contains("COUNT(*)"), "NO LIMIT"),
         (up.rlike(r"\bSELECT\s+\*"), "SELECT *"),
         (up.contains("WHERE") & up.rlike(r"LIKE\s+'%"), "LEADING WILDCARD"),
     ]
-    return df.select("*", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in advice])).alias("advice"))
+    found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in advice]))
+    return df.select("*", found.alias("advice")).drop("_upper")
 
 
 TABLE_REFERENCE = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){0,2})"

@@ -334,15 +334,15 @@ COMPLAINT_FACTS = f"""
 WITH named AS (SELECT * EXCLUDE (MFR_NAME, MAKETXT, YEARTXT), coalesce({S.names('MAKETXT')}, {S.names('MFR_NAME')}) AS make,
     {S.year('YEARTXT')} AS year FROM {{complaints_raw}}),
 one AS {first_row(f"(SELECT * FROM named WHERE make IN {S.MAKERS} AND year BETWEEN 2020 AND 2025)", "CMPLID", COMPLAINT_REST)},
-typed AS (SELECT *, {S.clean('MODELTXT')} AS model, {S.clean('CDESCR')} AS body, {S.yn('CRASH')} AS crash, {S.yn('FIRE')} AS fire,
+typed AS (SELECT *, {S.clean('MODELTXT')} AS model, {S.clean('CDESCR')} AS body, {S.yn('CRASH')} AS cr, {S.yn('FIRE')} AS fr,
     {S.count('INJURED')} AS inj, {S.count('DEATHS')} AS dead FROM one),
 tok AS (SELECT *, {T.TOKENS_OF.format('body')} AS t FROM typed),
 {T.SUMS}, scored AS (SELECT *, CASE WHEN s IS NOT NULL THEN {T.SCORE} END AS score FROM sums)
 SELECT sha256(CMPLID) AS complaint_id, CMPLID AS nhtsa_complaint_id, {S.key('make', 'model', 'year')} AS vehicle_id, make, model,
   year, {S.date8('FAILDATE')} AS fail_date, {S.date8('DATEA')} AS date_added, {S.clamp('MILES', 0, 500000)} AS mileage,
-  {S.clamp('VEH_SPEED', 0, 200)} AS vehicle_speed, COMPDESC AS component_description, crash AS crash_flag, fire AS fire_flag,
-  inj AS injured, dead AS deaths, coalesce(crash OR fire OR inj > 0 OR dead > 0, false) AS has_incident,
-  {S.severity('dead', 'inj', 'crash', 'fire')} AS severity_level, body AS complaint_description, score AS sentiment_score,
+  {S.clamp('VEH_SPEED', 0, 200)} AS vehicle_speed, COMPDESC AS component_description, cr AS crash_flag, fr AS fire_flag,
+  inj AS injured, dead AS deaths, coalesce(cr OR fr OR inj > 0 OR dead > 0, false) AS has_incident,
+  {S.severity('dead', 'inj', 'cr', 'fr')} AS severity_level, body AS complaint_description, score AS sentiment_score,
   {T.LABEL} AS sentiment_label, {T.CONFIDENCE} AS sentiment_confidence,
   CASE WHEN score < -0.5 THEN 'VERY_NEGATIVE' WHEN score < -0.2 THEN 'NEGATIVE' WHEN score < 0.2 THEN 'NEUTRAL'
     WHEN score < 0.5 THEN 'POSITIVE' WHEN score >= 0.5 THEN 'VERY_POSITIVE' END AS sentiment_category,
