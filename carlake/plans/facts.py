@@ -146,45 +146,43 @@ def clean_ratings(
     )
     rows = dedup(keep_names(rows, "make", makers), list(keys))
 
-    def stars(name: str) -> Column:
-        return C.clean_star(_col(rows, name))
-
-    def feature(name: str) -> Column:
-        return C.feature_flag(_col(rows, name))
-
-    def weight(name: str) -> Column:
-        return C.clamp_null(_col(rows, name), 1000, 15000)
-
-    staged = rows.select(
-        "*",
-        _vehicle_key().alias("vehicle_id"),
-        D.row_mean([stars(c) for c in rules.STAR_FIELDS]).alias("average_star_rating"),
-        D.count_true([feature(c) for c in rules.ADVANCED_FEATURES]).alias("advanced_safety_count"),
+    stars = {
+        "OVERALL_STARS": "overall_stars", "OVERALL_FRNT_STARS": "overall_front_stars",
+        "OVERALL_SIDE_STARS": "overall_side_stars", "ROLLOVER_STARS": "rollover_stars",
+        "FRNT_DRIV_STARS": "front_driver_stars", "FRNT_PASS_STARS": "front_passenger_stars",
+        "SIDE_DRIV_STARS": "side_driver_stars", "SIDE_PASS_STARS": "side_passenger_stars",
+        "SIDE_BARRIER_STAR": "_side_barrier", "SIDE_POLE_STARS": "_side_pole",
+    }
+    features = {
+        "ABS": "has_abs", "NHTSA_ESC": "has_esc", "BLIND_SPOT_DETECTION": "has_blind_spot_detection",
+        "NHTSA_BACKUP_CAMERA": "has_backup_camera", "FRNT_COLLISION_WARNING": "has_front_collision_warning",
+        "LANE_DEPARTURE_WARNING": "has_lane_departure_warning", "CRASH_IMMINENT_BRAKE": "has_crash_imminent_brake",
+        "DYNAMIC_BRAKE_SUPPORT": "has_dynamic_brake_support", "ADAPTIVE_CRUISE_CONTROL": "has_adaptive_cruise_control",
+    }
+    weights = ["CURB_WEIGHT", "MIN_GROSS_WEIGHT", "MAX_GROSS_WEIGHT"]
+    # typed values first, so that each is computed once for its own column, the mean and the count
+    typed = rows.select(
+        "make", "model", "year", _vehicle_key().alias("vehicle_id"),
+        C.norm_label(_col(rows, "BODY_STYLE")).alias("body_style"),
+        C.upper_trim(_col(rows, "VEHICLE_CLASS")).alias("vehicle_class"),
+        _col(rows, "DRIVE_TRAIN").alias("drive_train"), _col(rows, "NUM_OF_SEATING").alias("num_of_seating"),
+        *[C.clamp_null(_col(rows, c), 1000, 15000).alias(c.lower()) for c in weights],
+        *[C.clean_star(_col(rows, c)).alias(name) for c, name in stars.items()],
+        *[C.feature_flag(_col(rows, c)).alias(name) for c, name in features.items()],
+    )
+    staged = typed.select(
+        "*", D.row_mean([F.col(c) for c in stars.values()]).alias("average_star_rating"),
+        D.count_true([F.col(features[c]) for c in rules.ADVANCED_FEATURES]).alias("advanced_safety_count"),
     )
     mean = F.col("average_star_rating")
+    shown = [c for c in stars.values() if not c.startswith("_")]
     spec = [
-        ("rating_id", D.surrogate_key([F.col("vehicle_id"), _col(rows, "DRIVE_TRAIN")])),
-        ("vehicle_id", "vehicle_id"), ("make", "make"), ("model", "model"), ("year", "year"),
-        ("body_style", C.norm_label(_col(rows, "BODY_STYLE"))),
-        ("vehicle_class", C.upper_trim(_col(rows, "VEHICLE_CLASS"))),
-        ("drive_train", _col(rows, "DRIVE_TRAIN")), ("num_of_seating", _col(rows, "NUM_OF_SEATING")),
-        ("curb_weight", weight("CURB_WEIGHT")), ("min_gross_weight", weight("MIN_GROSS_WEIGHT")),
-        ("max_gross_weight", weight("MAX_GROSS_WEIGHT")),
-        ("overall_stars", stars("OVERALL_STARS")), ("overall_front_stars", stars("OVERALL_FRNT_STARS")),
-        ("overall_side_stars", stars("OVERALL_SIDE_STARS")), ("rollover_stars", stars("ROLLOVER_STARS")),
-        ("front_driver_stars", stars("FRNT_DRIV_STARS")), ("front_passenger_stars", stars("FRNT_PASS_STARS")),
-        ("side_driver_stars", stars("SIDE_DRIV_STARS")), ("side_passenger_stars", stars("SIDE_PASS_STARS")),
-        ("average_star_rating", mean), ("safety_tier", D.safety_tier(mean)),
-        ("has_abs", feature("ABS")), ("has_esc", feature("NHTSA_ESC")),
-        ("has_blind_spot_detection", feature("BLIND_SPOT_DETECTION")),
-        ("has_backup_camera", feature("NHTSA_BACKUP_CAMERA")),
-        ("has_front_collision_warning", feature("FRNT_COLLISION_WARNING")),
-        ("has_lane_departure_warning", feature("LANE_DEPARTURE_WARNING")),
-        ("has_crash_imminent_brake", feature("CRASH_IMMINENT_BRAKE")),
-        ("has_dynamic_brake_support", feature("DYNAMIC_BRAKE_SUPPORT")),
-        ("has_adaptive_cruise_control", feature("ADAPTIVE_CRUISE_CONTROL")),
-        ("has_advanced_safety", F.col("advanced_safety_count") >= 2),
-        ("advanced_safety_count", "advanced_safety_count"),
+        ("rating_id", D.surrogate_key([F.col("vehicle_id"), F.col("drive_train")])),
+        *[(c, c) for c in ("vehicle_id", "make", "model", "year", "body_style", "vehicle_class", "drive_train")],
+        ("num_of_seating", "num_of_seating"), *[(c.lower(), c.lower()) for c in weights],
+        *[(c, c) for c in shown], ("average_star_rating", mean), ("safety_tier", D.safety_tier(mean)),
+        *[(c, c) for c in features.values()],
+        ("has_advanced_safety", F.col("advanced_safety_count") >= 2), ("advanced_safety_count", "advanced_safety_count"),
         ("missing_critical_data", D.missing_any([F.col("make"), F.col("year")])),
         ("has_test_data", mean.isNotNull()),
     ]

@@ -73,6 +73,8 @@ def spread(df: DataFrame) -> DataFrame:
     size = plan_bytes(df)
     if size >= cores * split // 2:
         return df
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # a shuffle has spread it already
     splits = max(len(df.inputFiles()), size // split + 1)
     return df.repartition(cores) if splits * 2 <= cores else df
 

@@ -86,9 +86,13 @@ def test_broadcast_only_when_small(spark):
     assert broadcast_if_small(small, limit=1) is small
 
 
-def test_spread_leaves_large_or_split_inputs_alone(spark):
-    already = spark.range(0, 100, 1, 64)
-    assert "RoundRobin" not in plan(already) and spread(spark.range(10**10)) is not None
+def test_spread_only_where_it_helps(spark):
+    path = new_path(spark, "one")
+    spark.range(100).coalesce(1).write.parquet(path)
+    small = spark.read.parquet(path)
+    assert spread(small).rdd.getNumPartitions() == 4
+    shuffled = small.groupBy("id").count()
+    assert spread(shuffled) is shuffled
     big = spark.range(10**10)
     assert spread(big) is big
 
