@@ -38,13 +38,19 @@ def clean_year(c: Column, lo: int = 1990, hi: int = 2030, sentinels: Sequence[in
 
 
 def parse_yyyymmdd(c: Column) -> Column:
-    return F.when(F.length(c) == 8, F.try_to_date(c, "yyyyMMdd"))
+    """Date from eight digits. The parser throws and catches an exception for each bad text, so texts that
+    cannot be a date are sorted out first."""
+    plausible = c.rlike(r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$")
+    return F.when(plausible & (F.length(c) == 8), F.try_to_date(c, "yyyyMMdd"))
 
 
 def clean_date(c: Column, fmt: str = "yyyyMMdd", min_year: int = 1990) -> Column:
     """Eight characters that form a date not before ``min_year``; sentinels and anything else give NULL."""
-    usable = (F.length(c) == 8) & ~c.isin(rules.DATE_SENTINELS)
-    parsed = F.when(usable, F.try_to_date(c, fmt))
+    if fmt == "yyyyMMdd":
+        parsed = parse_yyyymmdd(c)
+    else:
+        parsed = F.when(F.length(c) == 8, F.try_to_date(c, fmt))
+    parsed = F.when(~c.isin(rules.DATE_SENTINELS), parsed)
     return F.when(F.year(parsed) >= min_year, parsed)
 
 

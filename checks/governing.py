@@ -217,19 +217,23 @@ def _(t):
 # --- profiles and charts ------------------------------------------------------------------
 
 
-def role_rows(table: str, roles: dict[str, str]) -> str:
+def role_rows(table: str, kinds: dict[str, str]) -> str:
+    """kinds: column -> 'number', 'text', 'time', or '' for a column without a role."""
+    few = "count(DISTINCT {c}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END <= 10 AND count(*) > 50"
+    roles = {"number": f"CASE WHEN {few} THEN 'Cat' ELSE 'Quant' END", "text": "'Cat'", "time": "'Time'"}
     return " UNION ALL ".join(
-        f"SELECT {i} AS position, '{c.upper()}' AS column_name, '{r}' AS role, count(DISTINCT {c}) AS n_distinct FROM {table}"
-        for i, (c, r) in enumerate(roles.items()) if r
+        f"SELECT {i} AS position, '{c.upper()}' AS column_name, {roles[k].format(c=c)} AS role, "
+        f"count(DISTINCT {c}) AS n_distinct FROM {table}"
+        for i, (c, k) in enumerate(kinds.items()) if k
     )
 
 
 LINE_ROLES = {
-    "l_orderkey": "Quant", "l_partkey": "Quant", "l_suppkey": "Quant", "l_linenumber": "Cat", "l_quantity": "Quant",
-    "l_extendedprice": "Quant", "l_discount": "Quant", "l_tax": "Cat", "l_returnflag": "Cat", "l_linestatus": "Cat",
-    "l_shipdate": "Time",
+    "l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number",
+    "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text",
+    "l_shipdate": "time",
 }
-EVENT_ROLES = {"event_id": "", "ts": "Time", "user_id": "", "event_type": "Cat", "value": "Quant", "props": "Cat"}
+EVENT_ROLES = {"event_id": "", "ts": "time", "user_id": "", "event_type": "text", "value": "number", "props": "text"}
 
 
 @query("M01_column_roles", role_rows("lineitem", LINE_ROLES))
