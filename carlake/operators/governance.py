@@ -147,6 +147,20 @@ def sql_tables(df: DataFrame, sql: str) -> DataFrame:
 # --- approval ---------------------------------------------------------------------------
 
 
+def two_decimals(c: Column) -> Column:
+    """Text with two decimals, rounded by the exact binary value (8.065 is stored below 8.065, so 8.06).
+
+    Java's formatting rounds the shortest decimal text instead, which differs at such halves. For values
+    from 1 on the fraction is a whole number of 2^-52, so the cents follow in integer arithmetic."""
+    unit = 2**52
+    scaled = ((c - F.floor(c)) * F.lit(float(unit))).cast("bigint") * 100
+    cents, rest = F.shiftright(scaled, 52), F.pmod(scaled, F.lit(unit))
+    up = (rest > unit // 2) | ((rest == unit // 2) & (cents % 2 == 1))
+    total = F.floor(c) * 100 + cents + F.when(up, 1).otherwise(0)
+    low = F.pmod(total, F.lit(100))
+    return F.concat(((total - low) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad(low.cast("string"), 2, "0"))
+
+
 def approval_needed(df: DataFrame, limits=rules.APPROVAL_LIMITS) -> DataFrame:
     """Adds whether a person must approve the query, and why.
 
@@ -158,8 +172,9 @@ def approval_needed(df: DataFrame, limits=rules.APPROVAL_LIMITS) -> DataFrame:
     reasons = [
         (
             F.col("estimated_cost") > F.col("max_cost"),
-            F.format_string(
-                "Estimated cost $%.2f exceeds $%.2f limit for %s", "estimated_cost", "max_cost", tier
+            F.concat(
+                F.lit("Estimated cost $"), two_decimals(F.col("estimated_cost")), F.lit(" exceeds $"),
+                F.format_string("%.2f", "max_cost"), F.lit(" limit for "), tier,
             ),
         ),
         (

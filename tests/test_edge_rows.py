@@ -254,6 +254,11 @@ def test_approval_limits(spark):
     ]
 
 
+@pytest.mark.parametrize("value", [5.01, 8.065, 21.715, 7.125, 7.375, 5.995, 1234.5, 100.0, 6.999999, 19.994999999])
+def test_costs_are_rounded_by_their_exact_value(one, value):
+    assert one(G.two_decimals, value, kinds=["double"]) == f"{value:.2f}"
+
+
 def test_zero_score_reads_as_absent(spark):
     df = spark.createDataFrame([(1, 0, datetime(2024, 1, 2, 3, 4, 5)), (2, 7, datetime(2024, 1, 2, 3, 4, 5, 600000))],
                                "article_id int, importance_score int, published_date timestamp_ntz")
