@@ -203,7 +203,14 @@ class LanguageModel:
 def train(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Fits on at most train_rows documents of each language that are not held out."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "doc_id"), "doc_id")
+    counts = known.groupBy("lang").count().collect()  # a row per language
+    # twice the wanted rows of each language by hash, then exactly the first ones: no task sorts a language
+    draw = F.xxhash64(F.lit("language"), "doc_id")
+    share = F.lit(0.0)
+    for lang, n in counts:
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * train_rows / n))).otherwise(share)
+    known = known.where(F.pmod(draw, F.lit(1_000_000)) < share * 1_000_000)
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - F.lit(TRAIN_CHARS), F.lit(0)) + 1).cast("int") + 1
     rows = known.select("doc_id", "lang", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"))
     found = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= train_rows).collect()
