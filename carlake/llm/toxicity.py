@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carlake.llm.common import words_of
@@ -156,8 +156,9 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     """Fits on at most train_rows labelled documents of each kind that are not held out."""
     marked = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     marked = marked.where(~is_held_out(F.col("label_id")))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("toxicity"), "label_id"), "label_id")
-    chosen = marked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= train_rows)  # 2 * train_rows ids
+    first = [F.xxhash64(F.lit("toxicity"), "label_id"), F.col("label_id")]
+    kinds = [marked.where(F.col("toxic") == k).orderBy(*first).limit(train_rows) for k in (0, 1)]
+    chosen = kinds[0].union(kinds[1])  # 2 * train_rows ids
     length = F.greatest(F.length("text") - F.lit(TRAIN_BYTES), F.lit(0))
     start = F.pmod(F.xxhash64("doc_id"), length + 1).cast("int") + 1
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
