@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carlake import rules
-from carlake.session import broadcast_if_small
 
 
 def make_scorecard(
@@ -44,26 +43,6 @@ def make_scorecard(
     )
 
 
-def make_scorecard_joined_first(
-    recalls: DataFrame, ratings: DataFrame, complaints: DataFrame, lo: int = 2015, hi: int = 2025
-) -> DataFrame:
-    """The same answer by joining the rows themselves. Only for checking on small data."""
-    r, s, c = recalls.alias("r"), ratings.alias("s"), complaints.alias("c")
-    return (
-        r.filter(F.col("r.year").between(lo, hi))
-        .join(s, F.upper("r.make") == F.upper("s.make"), "left")
-        .join(c, F.upper("r.make") == F.upper("c.make"), "left")
-        .groupBy(F.col("r.make").alias("make"))
-        .agg(
-            F.count_distinct("r.recall_id").alias("recall_count"),
-            F.avg("s.overall_stars").alias("avg_rating"),
-            F.avg("c.sentiment_score").alias("avg_sentiment"),
-            F.count_distinct("c.complaint_id").alias("complaint_count"),
-        )
-        .filter(F.col("recall_count") > 0)
-    )
-
-
 def inner_count(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of the inner join per key, without building them: the product of the two counts.
 
@@ -78,12 +57,13 @@ def join_vehicle(
 ) -> DataFrame:
     """Equi join on the shared vehicle key, or on make and year.
 
-    ``b`` is broadcast only if its estimated size is small. Else both sides shuffle; with ``salts`` > 1
+    No side is hinted: adaptive execution broadcasts what it has measured to be small and splits skewed
+    partitions. Else both sides shuffle; with ``salts`` > 1
     each key is spread over that many buckets: rows of ``a`` take one bucket each, rows of ``b`` are
     repeated in all of them. Right for inner and left joins, where every row of ``a`` meets its key once."""
     on = [on] if isinstance(on, str) else list(on)
     if salts <= 1:
-        return a.join(broadcast_if_small(b), on, how)
+        return a.join(b, on, how)
     if how not in ("inner", "left"):
         raise ValueError("salted joins are inner or left")
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in a.columns]), F.lit(salts)).cast("int")
@@ -92,6 +72,14 @@ def join_vehicle(
     return joined.drop("_salt")
 
 
+def metadata_join(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Columns with the row count of their table, matched by schema and table name.
+
+    A table without columns keeps one row."""
+    keys = ["schema_name", "table_name"]
+    return tables.select(*keys, "row_count").join(columns, keys, "left")
+
+
 def unknown_refs(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     """References that name no table of the catalog, with or without its schema.
 
@@ -101,7 +89,7 @@ def unknown_refs(refs: DataFrame, catalog: DataFrame) -> DataFrame:
             F.upper("table_name"), F.concat_ws(".", F.upper("schema_name"), F.upper("table_name"))
         )
     ).alias("table_ref")).distinct()
-    return refs.join(broadcast_if_small(known), "table_ref", "left_anti")
+    return refs.join(known, "table_ref", "left_anti")
 
 
 def apply_thresholds(

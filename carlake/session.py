@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sides below this many bytes may be broadcast; beyond it Spark shuffles instead.
+# Sides that adaptive execution has measured to be below this many bytes may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 SETTINGS = {
@@ -47,9 +48,14 @@ def _test_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it; a local one only where it is unset."""
+    """The folder all executors see, as the cluster names it; a local one only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _test_dir()
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _test_dir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -57,30 +63,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Deals an input to ``parts`` tasks before costly work on each row; None leaves its splits alone.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads an input of few, large splits over all cores before costly work on each row.
-
-    A file is read in as many tasks as it has row groups, so a small table may keep one core busy. An
-    input with enough splits for the cores is returned as it is: nothing is shuffled at scale."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = plan_bytes(df)
-    if size >= cores * split // 2:
-        return df
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # a shuffle has spread it already
-    splits = max(len(df.inputFiles()), size // split + 1)
-    return df.repartition(cores) if splits * 2 <= cores else df
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only where the estimated size is within the limit.
-
-    Beyond it the plan is returned unhinted and the join shuffles both sides."""
-    return df.hint("broadcast") if plan_bytes(df) <= limit else df
+    A file is read in as many tasks as it has row groups, so a small table may keep one core busy; a large one
+    has splits enough. The caller knows which it is."""
+    return df if parts is None else df.repartition(parts)

@@ -16,18 +16,44 @@ from pyspark.sql.types import StructType
 from carlake.schemas import text_schema
 
 
-def read_csv(spark: SparkSession, path, schema: StructType | str, charset: str = "ISO-8859-1") -> DataFrame:
-    """Header CSV files under a path or glob, with a declared schema: no pass to infer types."""
-    reader = spark.read.schema(schema).option("header", True).option("charset", charset)
-    return reader.option("enforceSchema", True).csv(path)
+def read_csv(
+    spark: SparkSession,
+    path,
+    schema: StructType | str,
+    charset: str = "ISO-8859-1",
+    multi_line: bool = False,
+    only_present: bool = False,
+) -> DataFrame:
+    """Header CSV files under a path or glob, by column name: the header says where a column stands.
+
+    Only the header line is looked at beforehand. Columns of the schema that the files lack are NULL, or left out with
+    ``only_present``; other columns are dropped. Files whose headers differ from each other are refused, so read
+    each kind by itself and union them by name. Quotes in a quoted cell are doubled. ``multi_line`` allows line breaks
+    in quoted cells; such files are not split."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    options = {"header": True, "enforceSchema": False, "charset": charset, "escape": '"', "multiLine": multi_line}
+    raw = spark.read.options(**options).csv(path)
+    there = set(raw.columns)
+
+    def column(field):
+        cell = F.col(f"`{field.name}`") if field.name in there else F.lit(None)
+        return cell.try_cast(field.dataType).alias(field.name)
+
+    return raw.select(*[column(f) for f in wanted if f.name in there or not only_present])
 
 
 def read_tsv(
-    spark: SparkSession, path, names: Sequence[str], nrows: int | None = None, charset: str = "ISO-8859-1"
+    spark: SparkSession,
+    path,
+    names: Sequence[str],
+    nrows: int | None = None,
+    charset: str = "ISO-8859-1",
+    quote: str = "",
 ) -> DataFrame:
     """Headerless tab-separated files by position. A line with too many fields is skipped, a short one
-    is filled with NULL: one spare column at the end catches what is too much."""
+    is filled with NULL: one spare column at the end catches what is too much. No character quotes, by default."""
     reader = spark.read.schema(text_schema([*names, "_spare"])).option("sep", "\t").option("charset", charset)
+    reader = reader.option("quote", quote)
     rows = reader.csv(path).filter(F.col("_spare").isNull()).select(*names)
     return rows if nrows is None else rows.limit(nrows)
 

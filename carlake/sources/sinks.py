@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 NESTED = ("array", "struct", "map")
@@ -37,7 +37,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     flat = _flat(df)
     writer = (flat.coalesce(1) if single_file else flat).write.mode("overwrite").options(header=True, **TIME_FORMATS)
     # spaces at the ends of a text belong to it
-    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def safe_overwrite(df: DataFrame, path: str) -> None:
@@ -75,7 +75,3 @@ def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
 
 def export_result(df: DataFrame, path: str) -> None:
     write_csv(rounded(df), path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from carlake import rules
 from carlake.operators import upsert as U
+from carlake.operators.filters import select_available
+from carlake.plans import news
 from carlake.schemas import text_schema
 from carlake.session import new_path
 from carlake.sources import catalog, files, markup, series, sinks
 from carlake.streaming.feed import run_feed
 from checks.registry import query
-from checks.tagging import NEWS_CATEGORY, NEWS_SENTIMENT
+from checks.tagging import NEWS_CATEGORY, NEWS_SENTIMENT, TAGGED_EVENTS
 
 AS_OF = datetime(2026, 1, 1)
 RAW = ["CMPLID", "MAKETXT", "MODELTXT", "YEARTXT", "CDESCR", "CITY"]
@@ -31,10 +33,37 @@ def _(t):
     city = F.when(F.col("CMPLID").cast("long") % 2 == 0, "Montréal").otherwise("Zürich")
     df = t("complaints_raw").withColumn("CITY", city).select(*RAW)
     spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(header=True, encoding="ISO-8859-1", **spaces).csv(path)
+    df.write.options(header=True, escape='"', encoding="ISO-8859-1", **spaces).csv(path)
     return files.read_csv(t.spark, path, text_schema(RAW))
 
 
+# a file as others write it: columns in another order and more of them, one missing, doubled quotes, line breaks in cells
+FOREIGN = """SELECT CMPLID, MAKETXT, 'he said "' || MAKETXT || '", then' || chr(10) || 'left' AS CDESCR, CAST(NULL AS VARCHAR) AS CITY
+    FROM {complaints_raw}"""
+
+
+def foreign_file(t):
+    path = new_path(t.spark, "csv")
+    said = F.concat(F.lit('he said "'), "MAKETXT", F.lit('", then\nleft'))
+    df = t("complaints_raw").select(said.alias("CDESCR"), F.lit("x").alias("OTHER"), "MAKETXT", "CMPLID")
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(header=True, escape='"', quoteAll=True, encoding="ISO-8859-1", **spaces).csv(path)
+    return path
+
+
+@query("S01_read_csv_by_name", FOREIGN)
+def _(t):
+    wanted = text_schema(["CMPLID", "MAKETXT", "CDESCR", "CITY"])
+    return files.read_csv(t.spark, foreign_file(t), wanted, multi_line=True)
+
+
+@query("P16_select_available_csv", "SELECT CMPLID, MAKETXT FROM {complaints_raw}")
+def _(t):
+    wanted = text_schema(["CMPLID", "MAKETXT", "CITY"])
+    df = files.read_csv(t.spark, foreign_file(t), wanted, multi_line=True, only_present=True)
+    return select_available(df, ["CMPLID", "CITY", "MAKETXT"])
+
+
 @query(
     "S02_read_tsv",
     """SELECT CAST(l_orderkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b, l_returnflag AS c,
@@ -121,6 +150,16 @@ def _(t):
     return markup.parse_vehicle_xml(vehicle_documents(t), "xml").select(*VEHICLE_COLUMNS)
 
 
+@query(
+    "S04_vehicle_numbers",
+    """SELECT epa_id, TRY_CAST(year AS DOUBLE) AS year, TRY_CAST(coalesce(electric_range, '0') AS DOUBLE) AS electric_range,
+    TRY_CAST(coalesce(mpge_combined, '0') AS DOUBLE) AS mpge_combined, 0.0::DOUBLE AS annual_fuel_cost FROM {fuel_raw}""",
+)
+def _(t):
+    df = markup.vehicle_numbers(markup.parse_vehicle_xml(vehicle_documents(t), "xml"))
+    return df.select("epa_id", "year", "electric_range", "mpge_combined", "annual_fuel_cost")
+
+
 @query(
     "S05_explode_menu",
     """SELECT p_partkey, p_name AS item FROM part UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_partkey % 3 > 0""",
@@ -134,23 +173,22 @@ def _(t):
     return markup.explode_menu(t("part").select("p_partkey", xml.alias("xml")), "xml").drop("xml")
 
 
-@query(
-    "S06_read_rss",
-    """SELECT title, url, published_date, author, summary FROM (
+FEED_ITEMS = """SELECT title, url, published_date, author, summary FROM (
     SELECT CASE WHEN event_id % 11 = 0 THEN '' ELSE event_type || ' ' || event_id END AS title,
       'https://news.example/' || event_id AS url,
       CASE WHEN event_id % 7 = 0 THEN TIMESTAMP '2026-01-01 00:00:00' ELSE date_trunc('second', ts) END AS published_date,
       CASE WHEN event_id % 4 > 0 THEN 'User ' || user_id END AS author, 'A bold ' || event_type || ' story' AS summary,
       row_number() OVER (PARTITION BY event_id - event_id % 200 ORDER BY event_id) AS rn FROM events)
-    WHERE rn <= 100 AND title <> ''""",
-)
-def _(t):
-    # feeds of 200 items each; the reader keeps the first 100 of a feed
+    WHERE {} AND title <> ''"""
+
+
+def feed_files(t):
+    # feeds of 200 items each
     title = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
     date = F.when(F.col("event_id") % 7 == 0, "yesterday").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"))
     author = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("User "), F.col("user_id").cast("string"))).otherwise("")
     item = F.concat(
-        F.lit("<item><title>"), title, F.lit("</title><link>https://news.example/"), F.col("event_id").cast("string"),
+        F.lit('<item><title>'), title, F.lit("</title><link>https://news.example/"), F.col("event_id").cast("string"),
         F.lit("</link><description>A &lt;b&gt;bold&lt;/b&gt; "), F.col("event_type"), F.lit(" story</description><pubDate>"),
         date, F.lit(" +0000</pubDate><dc:creator>"), author, F.lit("</dc:creator></item>"),
     )
@@ -161,7 +199,21 @@ def _(t):
     opening = '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>feed</title>'
     documents = feeds.select("part", F.concat(F.lit(opening), "items", F.lit("</channel></rss>")).alias("value"))
     documents.write.partitionBy("part").text(path)
-    return markup.read_rss(t.spark, path, AS_OF).select("title", "url", "published_date", "author", "summary")
+    return path
+
+
+@query(
+    "S06_read_rss",
+    FEED_ITEMS.format("true"),
+)
+def _(t):
+    return markup.read_rss(t.spark, feed_files(t), AS_OF).select("title", "url", "published_date", "author", "summary")
+
+
+@query("S06_read_rss_first", FEED_ITEMS.format("rn <= 100"))
+def _(t):
+    first = markup.read_rss(t.spark, feed_files(t), AS_OF, cap=100, summary_chars=500)
+    return first.select("title", "url", "published_date", "author", "summary")
 
 
 LINK = '(?s)<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
@@ -184,6 +236,27 @@ def _(t):
     return markup.extract_blocks(df, "html", "https://site.example", r"(?s)<li\b.*?</li>")
 
 
+# pages of trade events as they stand on a site: a headline with its link, then the text that has dates and places
+PAGE_BLURBS = "(SELECT event_id, title, url, title || ' ' || block_text AS block_text FROM {blurbs})"
+
+
+@query(
+    "S07_blocks_to_events",
+    TAGGED_EVENTS.replace("{blurbs}", PAGE_BLURBS),
+)
+def _(t):
+    card = F.format_string(
+        '<div class="event card">\n<h3 class="t"><a class="l" href="%s">%s</a></h3>\n<p>%s</p></div>', "url", "title", "block_text"
+    )
+    numbered = t("blurbs").select(F.expr("event_id div 100").alias("page"), F.struct("event_id", card.alias("card")).alias("c"))
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["card"]), "\n")
+    pages = numbered.groupBy("page").agg(F.concat(F.lit("<html><body><h1>Events</h1>"), cards, F.lit("</body></html>")).alias("html"))
+    blocks = markup.extract_blocks(pages, "html", "https://events.example").drop("page")
+    df = news.tag_events(blocks, AS_OF, raw_chars=100, parts=t.parts)
+    lists = ["key_topics", "participating_manufacturers"]
+    return df.select(*[F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in df.columns])
+
+
 EVENT_JSON = """event_id bigint, title string, date_start date, date_end date, location string,
     participating_manufacturers array<string>, relevance_score double"""
 
@@ -240,7 +313,9 @@ def _(t):
 def _(t):
     path = new_path(t.spark, "parquet")
     df = t("orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
-    sinks.write_parquet(df.repartition("year"), path, ["year"])
+    # a few files a year and no task that gets a whole year
+    dealt = df.repartition(t.parts, "year", F.pmod(F.xxhash64("o_orderkey"), F.lit(t.parts)))
+    sinks.write_parquet(dealt, path, ["year"])
     return t.spark.read.parquet(path)
 
 

@@ -23,6 +23,11 @@ class Tables:
     folder: str
     _seen: dict[str, DataFrame] = field(default_factory=dict)
 
+    @property
+    def parts(self) -> int:
+        """Tasks to deal an input to before costly work on each row: each of these tables is one row group."""
+        return self.spark.sparkContext.defaultParallelism
+
     def __call__(self, name: str) -> DataFrame:
         if name not in self._seen:
             if name in INPUTS:
