@@ -68,6 +68,7 @@ def with_sentiment(
     lexicon: dict[str, int] | None = None,
     negators: Sequence[str] = rules.NEGATORS,
     safety_words: Sequence[str] = rules.SAFETY_WORDS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Adds score, label, confidence, negation count and safety-word count of a text column.
 
@@ -76,7 +77,7 @@ def with_sentiment(
     Tokens and weights are separate projections so that each is computed once per row."""
     lexicon = lexicon or rules.lexicon()
     kept = list(df.columns)
-    df = spread(df).select("*", tokens(F.col(text)).alias("_tokens"))
+    df = spread(df, parts).select("*", tokens(F.col(text)).alias("_tokens"))
     df = df.select("*", _signed_weights(F.col("_tokens"), lexicon, negators).alias("_weights"))
 
     def total(sign: int) -> Column:
@@ -97,9 +98,9 @@ def with_sentiment(
     )
 
 
-def embed_text(df: DataFrame, text: str, dim: int = 768, out: str = "embedding") -> DataFrame:
+def embed_text(df: DataFrame, text: str, dim: int = 768, out: str = "embedding", parts: int | None = None) -> DataFrame:
     """A unit-length hashed bag of words per row; it stands in for a trained encoder."""
-    df = spread(df).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = spread(df, parts).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     df = Tokenizer(inputCol="_text", outputCol="_words").transform(df)
     df = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(df)
     df = Normalizer(inputCol="_tf", outputCol="_unit").transform(df)
@@ -147,11 +148,12 @@ def _without(found: Column, stop: Sequence[str]) -> Column:
 
 
 def _first_sorted(lists: Sequence[Column], n: int) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(F.concat(*lists))), 1, n)
+    found = F.array_sort(F.array_distinct(F.concat(*lists)))
+    return found if n is None else F.slice(found, 1, n)
 
 
-def extract_makers(c: Column, n: int = 10) -> Column:
-    """Company names by context, sorted, at most ``n``."""
+def extract_makers(c: Column, n: int | None = None) -> Column:
+    """Company names by context, sorted; the first ``n`` where it is given."""
     stop = rules.MAKER_STOP_WORDS
     acronyms = F.when(
         c.rlike(UNICODE_ANY_CASE + rules.VEHICLE_CONTEXT),
@@ -170,7 +172,7 @@ def extract_makers(c: Column, n: int = 10) -> Column:
     )
 
 
-def extract_models(c: Column, n: int = 5) -> Column:
+def extract_models(c: Column, n: int | None = None) -> Column:
     hyphened = F.filter(
         _all(c, rules.MODEL_HYPHEN),
         lambda m: ~any_of([F.lower(m).startswith(p) for p in rules.MODEL_NOT_PREFIXES]),
@@ -178,7 +180,7 @@ def extract_models(c: Column, n: int = 5) -> Column:
     return _first_sorted([_all(c, p) for p in rules.MODEL_PATTERNS] + [hyphened], n)
 
 
-def extract_people(c: Column, n: int = 3) -> Column:
+def extract_people(c: Column, n: int | None = None) -> Column:
     speakers = F.filter(
         _all(c, rules.PERSON_SPEAKS),
         lambda m: ~F.element_at(F.split(m, r"\s+"), 1).isin(rules.PERSON_NOT_FIRST),
@@ -190,7 +192,7 @@ def extract_people(c: Column, n: int = 3) -> Column:
     return _first_sorted([_all(c, rules.PERSON_TITLED), titled, speakers], n)
 
 
-def extract_places(c: Column, n: int = 5) -> Column:
+def extract_places(c: Column, n: int | None = None) -> Column:
     return _first_sorted([_all(c, p) for p in rules.PLACE_PATTERNS], n)
 
 
@@ -225,7 +227,7 @@ def _iso_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year, month, F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
-def with_event_dates(df: DataFrame, text: str) -> DataFrame:
+def with_event_dates(df: DataFrame, text: str, parts: int | None = None) -> DataFrame:
     """Adds date_start and date_end from a date range, else a single date, else a bare year; else NULL.
 
     Only the first match of a pattern counts; a month name outside the list falls through. Every pattern
@@ -234,7 +236,7 @@ def with_event_dates(df: DataFrame, text: str) -> DataFrame:
     body = F.regexp_replace(
         F.regexp_replace(text, UNICODE + r"^\s+|\s+$", ""), UNICODE_ANY_CASE + rules.DATE_PREFIX, ""
     )
-    df = spread(df).select("*", body.alias("_body"))
+    df = spread(df, parts).select("*", body.alias("_body"))
 
     def found(pattern: str, group: int) -> Column:
         return F.regexp_extract("_body", UNICODE + pattern, group)
@@ -308,7 +310,7 @@ def split_sentences(c: Column) -> Column:
 
 
 def with_sentences_dropped(
-    df: DataFrame, text: str, patterns: Sequence[str] = rules.OUTSIDE_KNOWLEDGE
+    df: DataFrame, text: str, patterns: Sequence[str] = rules.OUTSIDE_KNOWLEDGE, parts: int | None = None
 ) -> DataFrame:
     """Adds ``clean_text`` without the sentences that match a pattern, and the list ``removed``."""
     joined = UNICODE_ANY_CASE + "|".join(patterns)
@@ -316,7 +318,7 @@ def with_sentences_dropped(
     marked = F.transform(
         split_sentences(F.col(text)), lambda s: F.struct(s.alias("text"), s.rlike(joined).alias("bad"))
     )
-    df = spread(df).select("*", marked.alias("_sentences"))
+    df = spread(df, parts).select("*", marked.alias("_sentences"))
     good = F.array_join(F.filter("_sentences", lambda s: ~s["bad"])["text"], ". ")
     df = df.select("*", good.alias("_good"))
     return df.select(

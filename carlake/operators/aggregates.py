@@ -115,26 +115,29 @@ def sentiment_mix(df: DataFrame, names: Sequence[str], days: int, as_of: datetim
 
 
 def compare_makers(
-    df: DataFrame, names: Sequence[str], days: int, as_of: datetime, cap: int = 50, newest: int = 5
+    df: DataFrame, names: Sequence[str], days: int, as_of: datetime, cap: int | None = None, newest: int = 5
 ) -> DataFrame:
-    """Per maker: mentions among its ``cap`` newest articles, label counts, mean importance, newest titles.
+    """Per maker: mentions, label counts, mean importance and newest titles; of its ``cap`` newest articles if given.
 
-    ``row_number() <= cap`` is applied before the shuffle too, so a maker mentioned everywhere
-    sends at most ``cap`` rows per map task. An importance of 0 counts as unknown."""
+    Counts are aggregated map-side. The rank limits of ``cap`` and ``newest`` are applied before the shuffle too, so a maker
+    mentioned everywhere sends that many rows per map task. An importance of 0 counts as unknown."""
     hits = since(df, "published_date", as_of, days=days).select(
         F.explode(matched_names(names, F.col("title"), F.col("summary"))).alias("maker"),
         "article_id", "title", "published_date", "sentiment", "importance_score",
     )
     newest_first = Window.partitionBy("maker").orderBy(F.desc("published_date"), F.asc("article_id"))
-    capped = hits.withColumn("rank", F.row_number().over(newest_first)).filter(F.col("rank") <= cap)
+    ranked = hits.withColumn("rank", F.row_number().over(newest_first))
     label = F.lower("sentiment")
-    recent = F.sort_array(F.collect_list(F.when(F.col("rank") <= newest, F.struct("rank", "title"))))
-    return capped.groupBy("maker").agg(
+    recent = F.sort_array(F.collect_list(F.struct("rank", "title")))
+    titles = ranked.filter(F.col("rank") <= newest).groupBy("maker").agg(
+        F.transform(recent, lambda r: r["title"]).alias("recent_titles")
+    )
+    counts = (hits if cap is None else ranked.filter(F.col("rank") <= cap)).groupBy("maker").agg(
         F.count("*").alias("total_mentions"),
         *[F.count_if(label == s).alias(s) for s in ("positive", "neutral", "negative")],
         F.coalesce(F.avg(F.nullif(F.col("importance_score"), F.lit(0))), F.lit(0.0)).alias("avg_importance"),
-        F.transform(recent, lambda r: r["title"]).alias("recent_titles"),
     )
+    return counts.join(titles, "maker")  # one row per name on both sides
 
 
 def top_mentions(df: DataFrame, col: str, n: int = 10) -> DataFrame:

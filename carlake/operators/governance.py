@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carlake import rules
-from carlake.functions.derived import first_match
+from carlake.functions.derived import any_of, first_match
 from carlake.functions.text import has_any
 from carlake.operators.aggregates import top_n
 from carlake.operators.joins import apply_thresholds
@@ -255,3 +255,10 @@ def review(queue: DataFrame, decisions: DataFrame) -> DataFrame:
             for c in queue.columns
         ]
     )
+
+
+def limited_sql(sql: Column, n: int = 100) -> Column:
+    """A statement with a limit behind it, unless it has one already or aggregates."""
+    upper = F.upper(sql)
+    free = any_of([F.contains(upper, F.lit(w)) for w in rules.UNLIMITED_SQL])
+    return F.when(free, sql).otherwise(F.concat(F.rtrim(sql, F.lit(";")), F.lit(f" LIMIT {n}")))

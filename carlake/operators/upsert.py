@@ -67,6 +67,12 @@ def upsert_articles(target: DataFrame, updates: DataFrame, sequence: str) -> Dat
     return upsert(target, updates, ["url"], sequence, ARTICLE_FROZEN)
 
 
+def upsert_texts(target: DataFrame, updates: DataFrame, sequence: str, key: str, chars: int | None = None) -> DataFrame:
+    """Texts kept beside their vectors, by id; ``chars`` is how much of a text an index stores."""
+    shown = updates if chars is None else updates.withColumn("text", F.substring("text", 1, chars))
+    return upsert(target, shown, [key], sequence)
+
+
 def upsert_events(target: DataFrame, updates: DataFrame, sequence: str) -> DataFrame:
     return upsert(target, updates, ["title", "date_start"], sequence, null_safe=True)
 

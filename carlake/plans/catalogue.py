@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def _count_by(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def open_investigations(investigations: DataFrame) -> DataFrame:
-    is_open = F.lower("investigation_status") == "open"
+    is_open = F.col("investigation_status").isin("OPEN", "Open", "open")
     return _count_by(investigations.filter(is_open), "make", "open_count")
 
 
@@ -95,7 +96,7 @@ def yearly_sales(economic: DataFrame) -> DataFrame:
 
 
 def sales_since(economic: DataFrame, year: int = 2020) -> DataFrame:
-    return economic.filter(F.year("date") >= year).select("date", "total_vehicle_sales").orderBy("date")
+    return economic.filter(F.col("date") >= F.lit(date(year, 1, 1)).cast(economic.schema["date"].dataType)).select("date", "total_vehicle_sales").orderBy("date")
 
 
 def sentiment_trend(complaints: DataFrame, make: str) -> DataFrame:

@@ -240,7 +240,6 @@ ANALYST_BLOCKED = {
     "FACT_RECALLS": ["recall_summary"],
 }
 MANAGER_BLOCKED = {"FACT_COMPLAINTS": ["vin"]}
-TIERS = ["analyst", "manager", "executive"]
 
 # tier -> (highest cost, highest row estimate, highest table count)
 APPROVAL_LIMITS = {"analyst": (5.0, 500000, 3), "manager": (20.0, 1000000, 5)}
@@ -307,10 +306,6 @@ RATING_FIELDS = [
     "DYNAMIC_BRAKE_SUPPORT", "ADAPTIVE_CRUISE_CONTROL", "DAY_RUN_LIGHTS", "HEAD_SAB", "TORSO_SAB", "PELVIS_SAB",
     "FRNT_TEST_NO", "SIDE_TEST_NO", "POLE_TEST_NO", "PRODUCTION_RELEASE",
 ]
-STAR_FIELDS = [
-    "OVERALL_STARS", "OVERALL_FRNT_STARS", "OVERALL_SIDE_STARS", "ROLLOVER_STARS", "FRNT_DRIV_STARS",
-    "FRNT_PASS_STARS", "SIDE_DRIV_STARS", "SIDE_PASS_STARS", "SIDE_BARRIER_STAR", "SIDE_POLE_STARS",
-]
 ADVANCED_FEATURES = [
     "FRNT_COLLISION_WARNING", "LANE_DEPARTURE_WARNING", "CRASH_IMMINENT_BRAKE", "BLIND_SPOT_DETECTION",
 ]
@@ -338,3 +333,7 @@ def lexicon() -> dict[str, int]:
     for term in SAFETY_WORDS:
         words.setdefault(term, -1)
     return words
+
+
+# fixed values: statements with one of these get no limit of their own
+UNLIMITED_SQL = ["LIMIT", "COUNT(", "SUM(", "AVG(", "MAX(", "MIN(", "GROUP BY"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from carlake.functions import derived as D
 from carlake.operators import aggregates as A
 from carlake.operators import joins as J
+from carlake.sources.catalog import catalog_profile
 from checks.registry import query
 
 NEWS_AS_OF = datetime(2024, 1, 31)
@@ -119,7 +120,7 @@ def _(t):
       count(*) FILTER (lower(sentiment) = 'neutral') AS neutral, count(*) FILTER (lower(sentiment) = 'negative') AS negative,
       round(coalesce(avg(nullif(importance_score, 0)), 0), 6) AS avg_importance,
       string_agg(title, '|' ORDER BY r) FILTER (r <= 5) AS recent_titles
-    FROM ranked WHERE r <= 50 GROUP BY maker""",
+    FROM ranked GROUP BY maker""",
 )
 def _(t):
     report = A.compare_makers(t("articles"), MAKERS, 14, NEWS_AS_OF)
@@ -128,6 +129,19 @@ def _(t):
     )
 
 
+@query(
+    "A12_compare_newest",
+    f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY maker ORDER BY published_date DESC, article_id) AS r
+      FROM {HITS})
+    SELECT maker, count(*) AS total_mentions, count(*) FILTER (lower(sentiment) = 'positive') AS positive,
+      string_agg(title, '|' ORDER BY r) FILTER (r <= 2) AS recent_titles
+    FROM ranked WHERE r <= 50 GROUP BY maker""",
+)
+def _(t):
+    report = A.compare_makers(t("articles"), MAKERS, 14, NEWS_AS_OF, cap=50, newest=2)
+    return report.select("maker", "total_mentions", "positive", F.array_join("recent_titles", "|").alias("recent_titles"))
+
+
 @query(
     "A13_top_mentions",
     """SELECT mention, count(*) AS n FROM (SELECT unnest(participating_manufacturers) AS mention FROM {trade_events})
@@ -298,12 +312,26 @@ def _(t):
 
 @query(
     "J04_metadata_join",
-    """SELECT t.table_name, t.n AS row_count, c.label AS segment, c.m AS segment_rows FROM
-    (SELECT 'customer' AS table_name, count(*) AS n FROM customer) t
-    JOIN (SELECT 'customer' AS table_name, c_mktsegment AS label, count(*) AS m FROM customer GROUP BY 2) c
-    ON t.table_name = c.table_name""",
+    "SELECT c.*, t.row_count FROM (VALUES "
+    + ", ".join(
+        f"('{s}', '{n}', '{c}', {i})"
+        for s, n, columns in [
+            ("sales", "customer", "c_custkey c_name c_nationkey c_acctbal c_mktsegment"),
+            ("web", "documents", "doc_id text lang source n_chars"),
+            ("web", "pages", "page_id url html"),
+            ("web", "labels", "doc_id quality toxic"),
+        ]
+        for i, c in enumerate(columns.split(), 1)
+    )
+    + """) c(schema_name, table_name, column_name, position) JOIN (
+    SELECT 'sales' AS schema_name, 'customer' AS table_name, count(*) AS row_count FROM customer UNION ALL
+    SELECT 'web', 'documents', count(*) FROM documents UNION ALL SELECT 'web', 'pages', count(*) FROM pages UNION ALL
+    SELECT 'web', 'labels', count(*) FROM labels) t USING (schema_name, table_name)""",
 )
 def _(t):
-    tables = t("customer").agg(F.count("*").alias("row_count")).withColumn("table_name", F.lit("customer"))
-    parts = t("customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("segment_rows"))
-    return J.join_vehicle(parts.withColumn("table_name", F.lit("customer")), tables, "table_name")
+    schemas = {"customer": "sales", "documents": "web", "pages": "web", "labels": "web"}
+    profile = catalog_profile({n: t(n) for n in schemas})
+    schema = F.coalesce(*[F.when(F.col("table_name") == n, s) for n, s in schemas.items()]).alias("schema_name")
+    columns = profile.select(schema, "table_name", "column_name", "position")
+    tables = profile.select(schema, "table_name", "row_count").distinct()
+    return J.metadata_join(tables, columns)

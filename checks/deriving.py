@@ -420,14 +420,16 @@ def _(t):
     "U01_union_all",
     """SELECT substr(CAST(ts AS VARCHAR), 1, 10) AS date, value, 'click' AS series_id FROM events WHERE event_type = 'click'
     UNION ALL SELECT substr(CAST(ts AS VARCHAR), 1, 10), value, 'view' FROM events WHERE event_type = 'view'
-    UNION ALL SELECT substr(CAST(ts AS VARCHAR), 1, 10), value, 'error' FROM events WHERE event_type = 'error'""",
+    UNION ALL SELECT substr(CAST(ts AS VARCHAR), 1, 10), value, 'error' FROM events WHERE event_type = 'error'
+    UNION ALL SELECT substr(CAST(ts AS VARCHAR), 1, 10), value, 'purchase' FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT substr(CAST(ts AS VARCHAR), 1, 10), value, 'signup' FROM events WHERE event_type = 'signup'""",
 )
 def _(t):
     def part(kind):
         hits = t("events").filter(F.col("event_type") == kind)
         return hits.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), "value", F.lit(kind).alias("series_id"))
 
-    return R.union_all(part("click"), part("view"), part("error")).orderBy("date", "series_id")
+    return R.union_all(part("click"), part("view"), part("error"), part("purchase"), part("signup")).orderBy("date", "series_id")
 
 
 @query(

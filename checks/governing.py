@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carlake.operators import governance as G
 from carlake.operators import profiling as M
-from carlake.operators.upsert import upsert
+from carlake.operators.upsert import upsert_texts
 from carlake.sources.catalog import catalog_profile
 from checks.inputs import text
 from checks.registry import query
@@ -101,6 +101,16 @@ def _(t):
     return df.select("audit_id", "clean_sql", F.array_join("findings", "|").alias("findings"))
 
 
+@query(
+    "L04_limited_sql",
+    """SELECT audit_id, CASE WHEN regexp_matches(upper(s), 'LIMIT|COUNT\\(|SUM\\(|AVG\\(|MAX\\(|MIN\\(|GROUP BY') THEN s
+    ELSE rtrim(s, ';') || ' LIMIT 50' END AS sql_text FROM (SELECT audit_id, sql_text || ';' AS s FROM {sql_log})""",
+)
+def _(t):
+    ended = F.concat("sql_text", F.lit(";"))
+    return t("sql_log").select("audit_id", G.limited_sql(ended, 50).alias("sql_text"))
+
+
 @query(
     "G05_advise_sql",
     """SELECT audit_id, array_to_string(list_filter([
@@ -238,12 +248,21 @@ EVENT_ROLES = {"event_id": "", "ts": "time", "user_id": "", "event_type": "text"
 
 @query("M01_column_roles", role_rows("lineitem", LINE_ROLES))
 def _(t):
-    return M.column_roles(t("lineitem"))
+    return M.column_roles(t("lineitem"), exact=True)
+
+
+@query(
+    "M01_column_roles_estimated",
+    f"SELECT position, column_name, role, CASE WHEN n_distinct <= 40 THEN n_distinct END AS n_distinct FROM ({role_rows('lineitem', LINE_ROLES)})",
+)
+def _(t):
+    few = F.when(F.col("n_distinct") <= M.EXACT_DISTINCT, F.col("n_distinct")).alias("n_distinct")
+    return M.column_roles(t("lineitem")).select("position", "column_name", "role", few)
 
 
 @query("M01_column_roles_events", role_rows("events", EVENT_ROLES))
 def _(t):
-    return M.column_roles(t("events"))
+    return M.column_roles(t("events"), exact=True)
 
 
 @query(
@@ -313,17 +332,21 @@ def _(t):
     return top.select("vec_id", "label", F.round("score", 4).alias("score"))
 
 
-@query(
-    "M06_vector_upsert",
-    """SELECT coalesce(u.doc_id, d.doc_id) AS doc_id, coalesce(u.text, left(d.text, 1000)) AS text
-    FROM documents d FULL JOIN (SELECT doc_id + 100 AS doc_id, left('new ' || text, 1000) AS text FROM documents) u
-    ON d.doc_id = u.doc_id""",
-)
+def _text_upsert(t, chars):
+    docs = t("documents").select("doc_id", "text")
+    changes = docs.select((F.col("doc_id") + 100).alias("doc_id"), F.concat(F.lit("new "), "text").alias("text"), F.lit(0).alias("seq"))
+    return upsert_texts(docs, changes, "seq", "doc_id", chars)
+
+
+TEXT_UPSERT = """SELECT coalesce(u.doc_id, d.doc_id) AS doc_id, coalesce(u.text, d.text) AS text
+    FROM documents d FULL JOIN (SELECT doc_id + 100 AS doc_id, {} AS text FROM documents) u ON d.doc_id = u.doc_id"""
+
+
+@query("M06_vector_upsert", TEXT_UPSERT.format("'new ' || text"))
 def _(t):
-    docs = t("documents")
-    target = docs.select("doc_id", F.substring("text", 1, 1000).alias("text"))
-    changes = docs.select(
-        (F.col("doc_id") + 100).alias("doc_id"),
-        F.substring(F.concat(F.lit("new "), "text"), 1, 1000).alias("text"), F.lit(0).alias("seq"),
-    )
-    return upsert(target, changes, ["doc_id"], "seq")
+    return _text_upsert(t, None)
+
+
+@query("M06_vector_upsert_short", TEXT_UPSERT.format("left('new ' || text, 1000)"))
+def _(t):
+    return _text_upsert(t, 1000)

@@ -48,7 +48,7 @@ CONFIDENCE = "(p + n) / CAST(p + n + 3 AS DOUBLE)"
     {CONFIDENCE} AS sentiment_confidence FROM sums""",
 )
 def _(t):
-    return T.with_sentiment(t("complaints_raw").select("CMPLID", "CDESCR"), "CDESCR").drop(
+    return T.with_sentiment(t("complaints_raw").select("CMPLID", "CDESCR"), "CDESCR", parts=t.parts).drop(
         "negation_count", "safety_keyword_count"
     )
 
@@ -65,7 +65,7 @@ def _(t):
 def _(t):
     maker = C.first_name(C.standardize_name(F.col("MAKETXT")), C.standardize_name(F.col("MFR_NAME")))
     rows = keep_names(t("complaints_raw").select(maker.alias("make"), "CDESCR"), "make")
-    scored = T.with_sentiment(rows, "CDESCR")
+    scored = T.with_sentiment(rows, "CDESCR", parts=t.parts)
     category = D.sentiment_band(F.col("sentiment_score"))
     return (
         scored.groupBy("make")
@@ -83,7 +83,7 @@ def _(t):
     FROM {{complaints_raw}}""",
 )
 def _(t):
-    return spread(t("complaints_raw").select("CMPLID", "CDESCR")).select(
+    return spread(t("complaints_raw").select("CMPLID", "CDESCR"), t.parts).select(
         "CMPLID", T.count_terms(T.tokens(F.col("CDESCR")), rules.NEGATORS).alias("negation_count")
     )
 
@@ -94,14 +94,14 @@ def _(t):
     FROM {{complaints_raw}}""",
 )
 def _(t):
-    return spread(t("complaints_raw").select("CMPLID", "CDESCR")).select(
+    return spread(t("complaints_raw").select("CMPLID", "CDESCR"), t.parts).select(
         "CMPLID", T.count_terms(T.tokens(F.col("CDESCR")), rules.SAFETY_WORDS).alias("safety_words")
     )
 
 
 @query("T04_embed_text", "SELECT doc_id, 768 AS dim, 1.0::DOUBLE AS norm FROM documents")
 def _(t):
-    df = T.embed_text(t("documents").select("doc_id", "text"), "text", 768)
+    df = T.embed_text(t("documents").select("doc_id", "text"), "text", 768, parts=t.parts)
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return df.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(squares), 4).alias("norm"))
 
@@ -112,7 +112,7 @@ ARTICLE = "(SELECT article_id, title, summary, title || ' ' || summary AS x, low
 
 
 def article(t):
-    df = spread(t("articles_raw").select("article_id", F.concat_ws(" ", "title", "summary").alias("x")))
+    df = spread(t("articles_raw").select("article_id", F.concat_ws(" ", "title", "summary").alias("x")), t.parts)
     return df.select("*", F.lower("x").alias("low"))
 
 
@@ -174,11 +174,12 @@ def without(lst: str, stop) -> str:
     return f"list_filter({lst}, lambda m: m NOT IN {S.in_list(stop)})"
 
 
-def first_sorted(lists, n: int) -> str:
-    return f"array_to_string(list_sort(list_distinct(flatten([{', '.join(lists)}])))[1:{n}], '|')"
+def first_sorted(lists, n: int | None) -> str:
+    cut = "" if n is None else f"[1:{n}]"
+    return f"array_to_string(list_sort(list_distinct(flatten([{', '.join(lists)}]))){cut}, '|')"
 
 
-def makers(x: str = "x") -> str:
+def makers(x: str = "x", n: int | None = None) -> str:
     stop = rules.MAKER_STOP_WORDS
     return first_sorted(
         [
@@ -190,24 +191,22 @@ def makers(x: str = "x") -> str:
             f"CASE WHEN regexp_matches({x}, {lit('(?i)' + rules.VEHICLE_CONTEXT)}) THEN "
             f"{without(found(rules.MAKER_ACRONYM, x=x), rules.ACRONYM_STOP_WORDS)} ELSE [] END",
         ],
-        10,
+        n,
     )
 
 
 PREFIXES = " OR ".join(f"starts_with(lower(m), {lit(p)})" for p in rules.MODEL_NOT_PREFIXES)
-MODELS = first_sorted(
-    [found(p) for p in rules.MODEL_PATTERNS]
-    + [f"list_filter({found(rules.MODEL_HYPHEN)}, lambda m: NOT ({PREFIXES}))"],
-    5,
-)
-PEOPLE = first_sorted(
-    [
-        found(rules.PERSON_TITLED), found(rules.PERSON_APPOSITION, True),
-        f"list_filter({found(rules.PERSON_SPEAKS)}, lambda m: split_part(m, ' ', 1) NOT IN {S.in_list(rules.PERSON_NOT_FIRST)})",
-    ],
-    3,
-)
-PLACES = first_sorted([found(p) for p in rules.PLACE_PATTERNS], 5)
+MODEL_LISTS = [found(p) for p in rules.MODEL_PATTERNS] + [
+    f"list_filter({found(rules.MODEL_HYPHEN)}, lambda m: NOT ({PREFIXES}))"
+]
+PEOPLE_LISTS = [
+    found(rules.PERSON_TITLED), found(rules.PERSON_APPOSITION, True),
+    f"list_filter({found(rules.PERSON_SPEAKS)}, lambda m: split_part(m, ' ', 1) NOT IN {S.in_list(rules.PERSON_NOT_FIRST)})",
+]
+PLACE_LISTS = [found(p) for p in rules.PLACE_PATTERNS]
+MODELS, PEOPLE, PLACES = (first_sorted(lists, None) for lists in (MODEL_LISTS, PEOPLE_LISTS, PLACE_LISTS))
+# how many mentions to keep, where a report wants few
+FEW = {"makers": 2, "models": 1, "people": 1, "places": 1}
 
 
 @query("T09_extract_makers", f"SELECT article_id, {makers()} AS makers FROM {ARTICLE}")
@@ -230,6 +229,16 @@ def _(t):
     return article(t).select("article_id", joined(T.extract_places(F.col("x"))).alias("places"))
 
 
+@query(
+    "T12_extract_few",
+    f"""SELECT article_id, {makers(n=FEW["makers"])} AS makers, {first_sorted(MODEL_LISTS, FEW["models"])} AS models,
+    {first_sorted(PEOPLE_LISTS, FEW["people"])} AS people, {first_sorted(PLACE_LISTS, FEW["places"])} AS places FROM {ARTICLE}""",
+)
+def _(t):
+    finders = {"makers": T.extract_makers, "models": T.extract_models, "people": T.extract_people, "places": T.extract_places}
+    return article(t).select("article_id", *[joined(fn(F.col("x"), FEW[k])).alias(k) for k, fn in finders.items()])
+
+
 EVENT_PLACE = "coalesce(" + ", ".join(
     f"nullif(regexp_extract(block_text, {lit(p)}, 1), '')" for p in rules.EVENT_PLACE_PATTERNS
 ) + ")"
@@ -242,7 +251,7 @@ def _(t):
 
 @query(
     "T12_tag_articles",
-    f"""SELECT a.title, a.url, a.published_date, a.source, a.author, left(a.summary, 500) AS summary, {NEWS_CATEGORY} AS category,
+    f"""SELECT a.title, a.url, a.published_date, a.source, a.author, a.summary, {NEWS_CATEGORY} AS category,
     {NEWS_SENTIMENT} AS sentiment, {IMPORTANCE} AS importance_score, {makers()} AS mentioned_manufacturers,
     {MODELS} AS mentioned_models, {PEOPLE} AS mentioned_executives, {PLACES} AS mentioned_locations,
     {BREAKING} AS is_breaking_news, {NEWS_CATEGORY} = 'recalls' AS is_recall_related, {CRITICAL} AS is_safety_critical,
@@ -250,7 +259,7 @@ def _(t):
     FROM {{articles_raw}} a JOIN {ARTICLE} b USING (article_id)""",
 )
 def _(t):
-    df = news.tag_articles(t("articles_raw"), AS_OF)
+    df = news.tag_articles(t("articles_raw"), AS_OF, parts=t.parts)
     lists = ["mentioned_manufacturers", "mentioned_models", "mentioned_executives", "mentioned_locations"]
     return df.select(*[joined(c).alias(c) if c in lists else F.col(c) for c in df.columns])
 
@@ -261,7 +270,7 @@ EVENT = "(SELECT *, title || ' ' || block_text AS x, lower(title || ' ' || block
 
 
 def event(t):
-    df = spread(t("blurbs")).select("*", F.concat_ws(" ", "title", "block_text").alias("x"))
+    df = spread(t("blurbs"), t.parts).select("*", F.concat_ws(" ", "title", "block_text").alias("x"))
     return df.select("*", F.lower("x").alias("low"))
 
 
@@ -315,7 +324,7 @@ B_START, B_END = dates("block_text")
 
 @query("T15_event_dates", f"SELECT event_id, date_text, {START} AS date_start, {END} AS date_end FROM {{date_texts}}")
 def _(t):
-    return T.with_event_dates(t("date_texts"), "date_text")
+    return T.with_event_dates(t("date_texts"), "date_text", t.parts)
 
 
 RELEVANCE = f"""(SELECT *, least(CAST(0.5 AS DOUBLE) + CASE WHEN d IS NOT NULL THEN CAST(0.2 AS DOUBLE) ELSE 0 END
@@ -344,17 +353,17 @@ def _(t):
     return t("blurbs").select("event_id", T.is_virtual(F.lower("block_text")).alias("is_virtual"))
 
 
-@query(
-    "T17_tag_events",
-    f"""SELECT e.title, e.url, {EVENT_TYPE} AS event_type, '' AS description, {B_START} AS date_start, {B_END} AS date_end,
+TAGGED_EVENTS = f"""SELECT e.title, e.url, {EVENT_TYPE} AS event_type, '' AS description, {B_START} AS date_start, {B_END} AS date_end,
     left(block_text, 100) AS date_raw, {EVENT_PLACE} AS location, {VIRTUAL} AS is_virtual,
     array_to_string({TOPICS}, '|') AS key_topics, {makers()} AS participating_manufacturers,
     round(r, 2) AS relevance_score, CASE WHEN r > CAST(0.7 AS DOUBLE) THEN 'high' WHEN r > 0.5 THEN 'medium' ELSE 'low' END
     AS strategic_importance, 'events_page' AS source, TIMESTAMP '2026-01-01 00:00:00' AS scraped_at
-    FROM {EVENT} e JOIN (SELECT event_id, r FROM {RELEVANCE}) USING (event_id)""",
-)
+    FROM {EVENT} e JOIN (SELECT event_id, r FROM {RELEVANCE}) USING (event_id)"""
+
+
+@query("T17_tag_events", TAGGED_EVENTS)
 def _(t):
-    df = news.tag_events(t("blurbs"), AS_OF)
+    df = news.tag_events(t("blurbs"), AS_OF, raw_chars=100, parts=t.parts)
     lists = ["key_topics", "participating_manufacturers"]
     return df.select(*[joined(c).alias(c) if c in lists else F.col(c) for c in df.columns])
 
@@ -370,7 +379,7 @@ WORDS = "[" + ", ".join(lit(w) for w in rules.SCOPE_WORDS) + "]"
     list_filter({WORDS}, lambda w: contains(lower(question), w)) AS words FROM {{questions}})""",
 )
 def _(t):
-    df = spread(t("questions")).select("question_id", T.scope_words(F.lower("question")).alias("words"))
+    df = spread(t("questions"), t.parts).select("question_id", T.scope_words(F.lower("question")).alias("words"))
     return df.select("question_id", joined("words").alias("words"), (F.size("words") > 0).alias("in_scope"))
 
 
@@ -381,7 +390,7 @@ def _(t):
 )
 def _(t):
     words = T.scope_words(F.lower("question"), word_boundary=True)
-    return spread(t("questions")).select("question_id", joined(words).alias("words"))
+    return spread(t("questions"), t.parts).select("question_id", joined(words).alias("words"))
 
 
 OUTSIDE = lit("(?i)" + "|".join(rules.OUTSIDE_KNOWLEDGE))
@@ -395,7 +404,7 @@ SENTENCES = "list_filter(list_transform(string_split(answer, '.'), lambda s: tri
     array_to_string(list_filter({SENTENCES}, lambda s: regexp_matches(s, {OUTSIDE})), '|') AS removed FROM {{answers}})""",
 )
 def _(t):
-    df = T.with_sentences_dropped(t("answers"), "answer")
+    df = T.with_sentences_dropped(t("answers"), "answer", parts=t.parts)
     return df.select("answer_id", "clean_text", joined("removed").alias("removed"))
 
 
