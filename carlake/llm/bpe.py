@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REMEMBERED_PIECES = 400_000
+REMEMBERED_PIECES = 150_000
 ROW_BYTES = 64  # longest piece merged in a batch
 PART_CHARS = 1_000_000  # text taken at once
 PART_PIECES = 300_000
@@ -230,24 +230,40 @@ def encode(text: Column, ranks, pattern: str) -> Column:
     return run(text)
 
 
+def decode_ids(packed: bytes | None, v: Vocabulary) -> bytes:
+    return b"".join(map(v.tokens.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
+
+
 def decode(ids: Column, ranks) -> Column:
     """The bytes that packed ids stand for."""
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = vocabulary(ranks.value).tokens
+        v = vocabulary(ranks.value)
         for batch in batches:
-            yield pd.Series([b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch], dtype=object)
+            yield pd.Series([decode_ids(x, v) for x in batch], dtype=object)
 
     return run(ids)
 
 
+def round_trip(text: Column, ranks, pattern: str) -> Column:
+    """A struct of token_ids and decoded, the bytes that these ids give back: both in one Python worker."""
+
+    @F.pandas_udf("token_ids binary, decoded binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        v, compiled = vocabulary(ranks.value), regex.compile(pattern)
+        for batch in batches:
+            ids = encode_texts(list(batch), v, compiled)
+            yield pd.DataFrame({"token_ids": ids, "decoded": [decode_ids(x, v) for x in ids]})
+
+    return run(text)
+
+
 def tokenize(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id with token_ids (packed) and n_tokens, and decoded, the text that the ids give back."""
     ranks = load_ranks(documents.sparkSession, path)
-    coded = documents.select("doc_id", encode(F.col("text"), ranks, pattern).alias("token_ids"))
-    back = decode(F.col("token_ids"), ranks).alias("decoded")
-    return coded.select("doc_id", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), back)
+    coded = documents.select("doc_id", round_trip(F.col("text"), ranks, pattern).alias("t")).select("doc_id", "t.*")
+    return coded.select("doc_id", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "decoded")
 
 
 def token_digest(documents: DataFrame, path: str, pattern: str) -> DataFrame:

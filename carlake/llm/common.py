@@ -10,7 +10,7 @@ from carlake.session import new_path
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Words whose hash a worker remembers; beyond it the memory starts anew. Results do not depend on it.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

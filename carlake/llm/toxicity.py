@@ -43,7 +43,7 @@ MIN_WORD_BYTES = 4  # shorter words save nothing
 LEVEL = 13
 MIN_MATCH = 3
 MAX_GAIN = 6
-REMEMBERED_GAINS = 300_000
+REMEMBERED_GAINS = 150_000
 SENTENCE_MARKS = b".,;:!?\"'()[]{}"
 
 

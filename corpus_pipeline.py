@@ -38,11 +38,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
-    ids = bpe.encode(F.col("text"), ranks, public_tokenizers.PATTERN).alias("token_ids")
-    coded = docs.select("doc_id", "lang", "source", ids)
+    made = bpe.round_trip(F.col("text"), ranks, public_tokenizers.PATTERN).alias("t")
+    coded = docs.select("doc_id", "lang", "source", made).select("doc_id", "lang", "source", "t.*")
     return coded.select(
         "doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids",
-        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("token_ids"), ranks), 256).alias("decoded_sha256"),
+        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
