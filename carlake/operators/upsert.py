@@ -89,6 +89,11 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(snapshot_path(root, version))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
     """The newest complete snapshot (one with its success mark), optionally below ``before``."""
     jvm = spark._jvm

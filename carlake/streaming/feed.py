@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carlake.operators.upsert import read_snapshot, upsert_articles, write_snapshot
+from carlake.operators.upsert import exists, latest_version, read_snapshot, upsert_articles, write_snapshot
 from carlake.plans.news import tag_articles
 from carlake.schemas import ARTICLE_DDL, RAW_ARTICLE_DDL
 
@@ -35,7 +35,11 @@ def run_feed(
 
     ``landing`` holds JSON-lines files of raw articles, ``target`` numbered snapshots of the article table.
     Batch n always reads the snapshot before n+1 and writes snapshot n+1, so a replayed batch gives the
-    same table. One feed writes to one target; there is no lock for a second one."""
+    same table. One feed writes to one target; there is no lock for a second one. A target that holds snapshots goes with
+    the checkpoint that wrote them: a new checkpoint would number its batches from the start and is refused."""
+    if latest_version(spark, target) is not None and not exists(spark, f"{checkpoint}/commits"):
+        raise ValueError(f"{target} holds snapshots that {checkpoint} did not write")
+    batches: set[int] = set()
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -44,6 +48,7 @@ def run_feed(
         if current is None:
             current = session.createDataFrame([], ARTICLE_DDL)
         write_snapshot(upsert_articles(current, tagged, SEQUENCE), target, batch_id + 1)
+        batches.add(batch_id)
 
     lines = (
         spark.readStream.schema(RAW_ARTICLE_DDL)
@@ -58,4 +63,4 @@ def run_feed(
         .start()
     )
     query.awaitTermination()
-    return len({p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0})
+    return len(batches)

@@ -4,6 +4,8 @@ import json
 import zipfile
 from datetime import datetime
 
+import pytest
+
 from carlake.sources import files, markup
 from carlake.streaming.feed import run_feed
 from carlake.operators.upsert import read_snapshot
@@ -96,3 +98,36 @@ def test_feed_takes_new_files_only(spark, tmp_path):
     assert run_feed(spark, landing, target, checkpoint, datetime(2026, 1, 1)) == 0
     rows = sorted((r["url"], r["title"], r["author"]) for r in read_snapshot(spark, target).collect())
     assert rows == [("u1", "Ford profit", "Ann"), ("u2", "Quiet", "Cid")]
+
+
+def test_feed_refuses_a_new_checkpoint_on_an_old_target(spark, tmp_path):
+    from carlake.operators.upsert import read_snapshot
+    from carlake.streaming.feed import run_feed
+
+    def deliver(name, url):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(f'{{"title": "t", "url": "{url}", "summary": "s"}}\n')
+
+    places = [str(tmp_path / n) for n in ("in", "out", "check")]
+    deliver("a.json", "u1")
+    assert run_feed(spark, *places, datetime(2026, 1, 1)) == 1
+    deliver("b.json", "u2")
+    with pytest.raises(ValueError):
+        run_feed(spark, *places[:2], str(tmp_path / "new"), datetime(2026, 1, 1))
+    assert run_feed(spark, *places, datetime(2026, 1, 1)) == 1
+    assert sorted(r["url"] for r in read_snapshot(spark, places[1]).collect()) == ["u1", "u2"]
+
+
+def test_csv_headers_that_differ_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,txt\n1,x\n")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path), "txt string, id int, z string").collect()] == [("x", 1, None)]
+    (tmp_path / "b.csv").write_text("txt,id\ny,2\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path), "txt string, id int").collect()
+
+
+def test_quotes_in_csv_and_none_in_tsv(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('z,id,txt\nZ,1,"he said ""stop"", then"\n')
+    assert files.read_csv(spark, str(tmp_path / "q.csv"), "id int, txt string").first()["txt"] == 'he said "stop", then'
+    (tmp_path / "q.tsv").write_text('1\t"loose quote\tx\n')
+    assert tuple(files.read_tsv(spark, str(tmp_path / "q.tsv"), ["a", "b", "c"]).first()) == ("1", '"loose quote', "x")
