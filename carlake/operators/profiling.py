@@ -93,40 +93,41 @@ def chart_rows(df: DataFrame, category: str, measure: str) -> DataFrame:
     return df.select(category, measure).orderBy(F.asc(measure), F.asc(category))
 
 
-def quartiles(df: DataFrame, group: str, value: str, cells: int = 1024) -> DataFrame:
-    """Exact quartiles per group with linear interpolation, for groups of any size.
+def quartiles(df: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact quartiles per group with linear interpolation, for groups of any size and values of any spread.
 
-    Equal values are counted together first. Each group's range is cut into ``cells`` equal cells; their
-    counts tell which few cells hold the wanted ranks, and only those cells are ordered. So no task
-    sorts a whole group."""
+    A sketch per group bounds each quartile by two values that are some 10 / accuracy of the group's rows apart. Values between
+    such bounds are counted one by one, all others in four sums, and only these few rows are ordered. Groups of up to
+    ``accuracy`` rows are ordered whole. A rank outside its bounds would end the query with an error."""
+    shares = (0.25, 0.5, 0.75)
+    margin = 5 / accuracy  # the sketch errs by 1 / accuracy
+    bounds = [b for s in shares for b in (max(0.0, s - margin), min(1.0, s + margin))]
     values = df.filter(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("v"))
-    counted = values.groupBy(group, "v").agg(F.count("*").alias("n"))
-    limits = counted.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("rows"))
-    width = F.col("hi") - F.col("lo")
-    cell = F.least(
-        F.coalesce(F.floor(F.try_divide((F.col("v") - F.col("lo")) * cells, width)), F.lit(0)), F.lit(cells - 1)
+    limits = values.groupBy(F.col(group).alias("_g")).agg(
+        F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.percentile_approx("v", bounds, accuracy).alias("bounds"),
     )
-    limits = limits.withColumnRenamed(group, "_g")
-    placed = counted.join(limits, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("cell", cell)
-    by_cell = placed.groupBy(group, "cell", "rows", "lo", "hi").agg(F.sum("n").alias("cell_rows"))
-    running = Window.partitionBy(group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    by_cell = by_cell.withColumn("before", F.coalesce(F.sum("cell_rows").over(running), F.lit(0)))
+    met = values.join(limits, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    low, high = ([F.col("bounds")[2 * i + k] for i in range(len(shares))] for k in (0, 1))
+    inside = F.col("rows") <= accuracy
+    for a, b in zip(low, high):
+        inside = inside | F.col("v").between(a, b)
+    zone = sum((F.when(F.col("v") > b, 1).otherwise(0) for b in high), F.lit(0))
+    zoned = met.select(group, "v", "rows", "lo", "hi", F.when(inside, F.col("v")).alias("exact"), zone.alias("zone"))
+    # a zone's other values all lie below its exact ones, so its least value gives its place
+    counted = zoned.groupBy(group, "rows", "lo", "hi", "zone", "exact").agg(F.count("*").alias("n"), F.min("v").alias("at"))
+    running = Window.partitionBy(group).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))
 
     def rank(share: float) -> Column:
         return (F.col("rows") - 1) * F.lit(share)
 
-    shares = (0.25, 0.5, 0.75)
-    needed = F.array_distinct(F.concat(*[F.array(F.floor(rank(s)), F.ceil(rank(s))) for s in shares]))
-    held = F.exists(needed, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("cell_rows")))
-    wanted = by_cell.filter(held).select(F.col(group).alias("_g"), F.col("cell").alias("_cell"), "before")
-    inside = placed.join(wanted, F.col(group).eqNullSafe(F.col("_g")) & (F.col("cell") == F.col("_cell")))
-    in_cell = Window.partitionBy(group, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
-
     def at(r: Column) -> Column:
-        return F.max(F.when((r >= F.col("start")) & (r < F.col("start") + F.col("n")), F.col("v")))
+        held = (r >= F.col("start")) & (r < F.col("start") + F.col("n"))
+        exact = F.coalesce("exact", F.raise_error(F.lit("a quartile lies outside its bounds")).cast("double"))
+        return F.max(F.when(held, exact))
 
-    ends = inside.groupBy(group, "rows", "lo", "hi").agg(
+    ends = placed.groupBy(group, "rows", "lo", "hi").agg(
         *[at(f(rank(s))).alias(f"{name}{i}") for i, s in enumerate(shares) for name, f in (("a", F.floor), ("b", F.ceil))]
     )
 

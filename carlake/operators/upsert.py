@@ -37,21 +37,26 @@ def upsert(
 ) -> DataFrame:
     """The target after the batch: matched rows take the batch's values except the frozen columns.
 
-    With ``null_safe`` NULL matches NULL; without it a NULL key never matches, so each such row is inserted.
-    After the fold both sides have one row per key, so no key is hot in the join."""
+    With ``null_safe`` NULL matches NULL; without it a NULL key never matches, so each such row is inserted; these
+    rows, of either side, pass beside the join and are not shuffled. After the fold both sides have one row per
+    key, so no key is hot in the join."""
     columns = target.columns
-    if null_safe:
-        batch = fold_batch(updates, keys, sequence, frozen)
-    else:
-        # rows with a NULL key stay apart from each other through their place in the batch
-        apart = F.when(any_of([F.col(k).isNull() for k in keys]), F.col(sequence))
-        batch = fold_batch(updates.withColumn("_apart", apart), [*keys, "_apart"], sequence, frozen)
+    if not null_safe:
+        keyless = any_of([F.col(k).isNull() for k in keys])
+        apart = target.filter(keyless).unionByName(updates.filter(keyless).select(*columns))
+        merged = _merge(target.filter(~keyless), updates.filter(~keyless), keys, sequence, frozen)
+        return merged.unionByName(apart)
+    return _merge(target, updates, keys, sequence, frozen)
+
+
+def _merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], sequence: str, frozen: Sequence[str]) -> DataFrame:
+    """Full outer join of the target with the folded batch, NULL keys being equal."""
+    batch = fold_batch(updates, keys, sequence, frozen)
     b = batch.withColumn("_in_batch", F.lit(True)).alias("b")
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     on = F.lit(True)
     for k in keys:
-        same = F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) if null_safe else F.col(f"t.{k}") == F.col(f"b.{k}")
-        on = on & same
+        on = on & F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}"))
     joined = t.join(b, on, "full_outer")
     matched, new = F.col("b._in_batch"), F.col("t._in_target").isNull()
 
@@ -60,7 +65,7 @@ def upsert(
             return F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
         return F.when(matched, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
 
-    return joined.select(*[merged(c) for c in columns])
+    return joined.select(*[merged(c) for c in target.columns])
 
 
 def upsert_articles(target: DataFrame, updates: DataFrame, sequence: str) -> DataFrame:

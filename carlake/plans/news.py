@@ -59,8 +59,10 @@ def tag_events(
     raw_chars: int | None = None,
     makers: int | None = None,
     parts: int | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Trade-event records from title, url and block_text. ``raw_chars`` and ``makers`` cut date_raw and the makers."""
+    """Trade-event records from title, url and block_text. ``raw_chars`` and ``makers`` cut date_raw and the makers.
+    ``keep`` names further columns to carry along."""
     df = T.with_event_dates(df, "block_text", parts).select("*", F.concat_ws(" ", "title", "block_text").alias("_text"))
     df = df.select("*", F.lower("_text").alias("_low"))
     df = df.select(
@@ -75,4 +77,5 @@ def tag_events(
         F.round("_relevance", 2).alias("relevance_score"),
         T.strategic_importance(F.col("_relevance")).alias("strategic_importance"),
         F.lit(source).alias("source"), F.lit(as_of).cast("timestamp_ntz").alias("scraped_at"),
+        *keep,
     )

@@ -27,6 +27,7 @@ ARTICLE_DDL = (
     "is_breaking_news boolean, is_recall_related boolean, is_safety_critical boolean, scraped_at timestamp_ntz"
 )
 RAW_ARTICLE_DDL = "title string, url string, published_date timestamp_ntz, source string, author string, summary string"
+RAW_EVENT_DDL = "title string, url string, block_text string"
 EVENT_DDL = (
     "title string, url string, event_type string, description string, date_start date, date_end date, "
     "date_raw string, location string, is_virtual boolean, key_topics array<string>, "

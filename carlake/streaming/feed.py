@@ -1,19 +1,34 @@
-"""Incremental news feed: new files are tagged and merged into the article table."""
+"""Incremental news feed: new files are tagged and merged into the article or the event table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carlake.operators.upsert import exists, latest_version, read_snapshot, upsert_articles, write_snapshot
-from carlake.plans.news import tag_articles
-from carlake.schemas import ARTICLE_DDL, RAW_ARTICLE_DDL
+from carlake.operators.upsert import exists, latest_version, read_snapshot, upsert_articles, upsert_events, write_snapshot
+from carlake.plans.news import tag_articles, tag_events
+from carlake.schemas import ARTICLE_DDL, EVENT_DDL, RAW_ARTICLE_DDL, RAW_EVENT_DDL
 
 SEQUENCE = "_seq"
 
 
+@dataclass(frozen=True)
+class Kind:
+    """What a feed takes in: the landed columns, the table's, the tagging and the merge."""
+
+    landed: str
+    table: str
+    tag: Callable[..., DataFrame]
+    merge: Callable[[DataFrame, DataFrame, str], DataFrame]
+
+
+ARTICLES = Kind(RAW_ARTICLE_DDL, ARTICLE_DDL, tag_articles, upsert_articles)
+EVENTS = Kind(RAW_EVENT_DDL, EVENT_DDL, tag_events, upsert_events)
+
 FILE = ["_file_time", "_file_path", "_file_block"]
 
 
@@ -29,11 +44,19 @@ def _in_file_order(batch: DataFrame) -> DataFrame:
 
 
 def run_feed(
-    spark: SparkSession, landing: str, target: str, checkpoint: str, as_of: datetime, files_per_batch: int = 100
+    spark: SparkSession,
+    landing: str,
+    target: str,
+    checkpoint: str,
+    as_of: datetime,
+    files_per_batch: int = 100,
+    kind: Kind = ARTICLES,
+    arrays: bool = False,
 ) -> int:
     """Takes in all files that arrived since the last run; returns the number of batches.
 
-    ``landing`` holds JSON-lines files of raw articles, ``target`` numbered snapshots of the article table.
+    ``landing`` holds raw records of the kind, one JSON object a line; with ``arrays`` every file is one JSON array
+    (such a file is read by one task). ``target`` holds numbered snapshots of the table.
     Batch n always reads the snapshot before n+1 and writes snapshot n+1, so a replayed batch gives the
     same table. One feed writes to one target; there is no lock for a second one. A target that holds snapshots goes with
     the checkpoint that wrote them: a new checkpoint would number its batches from the start and is refused."""
@@ -43,15 +66,16 @@ def run_feed(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        tagged = tag_articles(_in_file_order(batch), as_of, keep=[SEQUENCE])
+        tagged = kind.tag(_in_file_order(batch), as_of, keep=[SEQUENCE])
         current = read_snapshot(session, target, before=batch_id + 1)
         if current is None:
-            current = session.createDataFrame([], ARTICLE_DDL)
-        write_snapshot(upsert_articles(current, tagged, SEQUENCE), target, batch_id + 1)
+            current = session.createDataFrame([], kind.table)
+        write_snapshot(kind.merge(current, tagged, SEQUENCE), target, batch_id + 1)
         batches.add(batch_id)
 
     lines = (
-        spark.readStream.schema(RAW_ARTICLE_DDL)
+        spark.readStream.schema(kind.landed)
+        .option("multiLine", arrays)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
     )

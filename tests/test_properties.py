@@ -176,12 +176,26 @@ def test_quartiles_are_exact(spark, n):
     rng = np.random.default_rng(n)
     values = [float(v) for v in np.concatenate([rng.normal(size=n), np.full(n, 2.5)])]
     df = spark.createDataFrame([("g", v) for v in values] + [(None, 1.0)], "g string, v double")
-    rows = {r["g"]: r for r in M.quartiles(df, "g", "v", cells=8).collect()}
+    rows = {r["g"]: r for r in M.quartiles(df, "g", "v", accuracy=100).collect()}
     want = np.quantile(values, [0.25, 0.5, 0.75])
     assert [rows["g"][c] for c in ("q1", "median", "q3")] == pytest.approx(list(want))
     assert rows[None]["median"] == 1.0
 
 
+def test_quartiles_of_a_skewed_range_order_few_rows(spark):
+    df = spark.range(100_000).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, 1e12).otherwise(F.col("id")).alias("v"))
+    row = M.quartiles(df, "g", "v").first()
+    assert [row[c] for c in ("q1", "median", "q3", "max")] == [25000.75, 50000.5, 75000.25, 1e12]
+
+
+def test_null_keys_pass_beside_the_join(spark):
+    ddl = "url string, title string, source string, author string"
+    target = spark.createDataFrame([(None, "old", "s", "a"), ("u", "old", "s", "a")], ddl)
+    batch = spark.createDataFrame([article(None, "new", "s1", "a1", 1), article("u", "new", "s1", "a1", 2)], ddl + ", seq int")
+    rows = [tuple(r) for r in U.upsert_articles(target, batch, "seq").collect()]
+    assert sorted(rows, key=str) == sorted([(None, "old", "s", "a"), (None, "new", "s1", "a1"), ("u", "new", "s", "a")], key=str)
+
+
 def test_capped_marks_a_cut_result(spark):
     df = spark.range(5)
     assert {r["truncated"] for r in A.capped(df, [F.asc("id")], 5).collect()} == {False}

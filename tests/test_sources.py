@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 
 from carlake.sources import files, markup
-from carlake.streaming.feed import run_feed
+from carlake.streaming.feed import EVENTS, run_feed
 from carlake.operators.upsert import read_snapshot
 
 
@@ -100,6 +100,21 @@ def test_feed_takes_new_files_only(spark, tmp_path):
     assert rows == [("u1", "Ford profit", "Ann"), ("u2", "Quiet", "Cid")]
 
 
+def test_event_feed_reads_arrays_and_merges(spark, tmp_path):
+    places = [str(tmp_path / d) for d in ("in", "out", "check")]
+    (tmp_path / "in").mkdir()
+
+    def deliver(name, *rows):
+        (tmp_path / "in" / name).write_text(json.dumps([{"title": t, "url": u, "block_text": b} for t, u, b in rows]))
+        return run_feed(spark, *places, datetime(2025, 1, 1), kind=EVENTS, arrays=True)
+
+    dated = "Chicago auto show Feb. 6-7, 2025, held in Detroit, MI"
+    assert deliver("a.json", ("Chicago auto show", "u1", dated), ("Expo", "u2", "no date")) == 1
+    assert deliver("b.json", ("Chicago auto show", "u3", dated), ("Expo", "u4", "no date at all")) == 1
+    rows = sorted((r["title"], r["url"], str(r["date_start"])) for r in read_snapshot(spark, places[1]).collect())
+    assert rows == [("Chicago auto show", "u3", "2025-02-06"), ("Expo", "u4", "None")]
+
+
 def test_feed_refuses_a_new_checkpoint_on_an_old_target(spark, tmp_path):
     from carlake.operators.upsert import read_snapshot
     from carlake.streaming.feed import run_feed
