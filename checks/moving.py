@@ -15,7 +15,7 @@ from carlake.plans import news
 from carlake.schemas import text_schema
 from carlake.session import new_path
 from carlake.sources import catalog, files, markup, series, sinks
-from carlake.streaming.feed import run_feed
+from carlake.streaming.feed import EVENTS, run_feed
 from checks.registry import query
 from checks.tagging import NEWS_CATEGORY, NEWS_SENTIMENT, TAGGED_EVENTS
 
@@ -449,3 +449,14 @@ def _(t):
         run_feed(t.spark, f"{root}/landing", f"{root}/articles", f"{root}/checkpoint", AS_OF)
     table = U.read_snapshot(t.spark, f"{root}/articles")
     return table.select("url", "title", "summary", "published_date", "source", "author", "category", "sentiment")
+
+
+@query("I01_run_feed_events", f"SELECT DISTINCT title, date_start FROM ({TAGGED_EVENTS})")
+def _(t):
+    # three deliveries; of several blurbs with one title and start date one row stays
+    root = new_path(t.spark, "event_feed")
+    for delivery in range(3):
+        part = t("blurbs").filter(F.col("event_id") % 3 == delivery).select("title", "url", "block_text")
+        part.write.mode("append").json(f"{root}/landing")
+        run_feed(t.spark, f"{root}/landing", f"{root}/events", f"{root}/checkpoint", AS_OF, kind=EVENTS)
+    return U.read_snapshot(t.spark, f"{root}/events").select("title", "date_start")

@@ -258,3 +258,17 @@ def test_embedding_has_unit_length(spark):
 def test_vector_search_takes_a_list(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id int, embedding array<float>")
     assert [r["vec_id"] for r in M.vector_topk(df, [1.0, 0.1], 2).collect()] == [1, 3]
+
+
+def test_embedding_counts_hashed_words(spark):
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    place = HashingTF(numFeatures=64)
+    texts = ["ford recall ford", "brake", "a b c d e f g h i j k l m n o p"]
+    rows = T.embed_text(spark.createDataFrame([(x,) for x in texts], "text string"), "text", 64).collect()
+    for row in rows:
+        want = np.zeros(64)
+        for word in row["text"].split():
+            want[place.indexOf(word)] += 1
+        assert row["embedding"] == pytest.approx(list(want / np.linalg.norm(want)), abs=1e-6)
