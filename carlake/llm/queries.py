@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carlake.llm import bpe, decontaminate, langid, quality, sharding, simhash, substrings, toxicity, urls, warc
+from carlake.llm import bpe, decontaminate, langid, quality, sharding, simhash, spelling, sql, substrings, toxicity, urls, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,11 +57,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_read(spark, sf_dir, "documents"), spelling.planted_typos)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_decontamination, op3_simhash, op4_toxicity, op5_substring_dedup, op6_language_id,
-        op7_url_filters, op8_byte_bpe, op9_sharding, op10_warc,
+        op7_url_filters, op8_byte_bpe, op9_sharding, op10_warc, op11_spelling_variants,
     )
 }
 
@@ -129,4 +133,5 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)""",
+    "op11_spelling_variants": sql.OP11,
 }
