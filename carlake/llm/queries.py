@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carlake.llm import bpe, decontaminate, langid, quality, sharding, simhash, spelling, sql, substrings, toxicity, urls, warc
+from carlake.llm import (
+    bpe, decontaminate, jaccard, langid, quality, sharding, simhash, spelling, sql, substrings, toxicity, urls, warc,
+)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,11 +63,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(_read(spark, sf_dir, "documents"), spelling.planted_typos)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_decontamination, op3_simhash, op4_toxicity, op5_substring_dedup, op6_language_id,
         op7_url_filters, op8_byte_bpe, op9_sharding, op10_warc, op11_spelling_variants,
+        op12_jaccard_join,
     )
 }
 
@@ -134,4 +141,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
   sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)""",
     "op11_spelling_variants": sql.OP11,
+    "op12_jaccard_join": sql.OP12,
 }

@@ -41,3 +41,21 @@ chain AS (
   UNION ALL SELECT chain.word, judged.form FROM chain JOIN judged ON judged.word = chain.at WHERE judged.form IS NOT NULL)
 SELECT judged.word, judged.n, judged.n_near, judged.form, judged.form_n, chain.at AS root
 FROM judged JOIN chain ON chain.word = judged.word JOIN judged last ON last.word = chain.at AND last.form IS NULL"""
+
+OP12 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+part AS (
+  SELECT DISTINCT r, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM doc WHERE len(w) > 0)),
+sized AS (SELECT r, count(*) AS n FROM part GROUP BY r),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM part a JOIN part b USING (s) WHERE a.r < b.r GROUP BY ALL),
+link AS (
+  SELECT a, b FROM met JOIN sized x ON x.r = a JOIN sized y ON y.r = b WHERE 100 * met.n >= 90 * (x.n + y.n - met.n)),
+reached AS (
+  SELECT r AS a, r AS b FROM doc
+  UNION SELECT reached.a, l.b FROM reached JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) l ON l.a = reached.b)
+SELECT d.doc_id, coalesce(any_value(sized.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM reached JOIN doc d ON d.r = reached.a JOIN doc o ON o.r = reached.b LEFT JOIN sized ON sized.r = reached.a
+GROUP BY reached.a, d.doc_id"""
