@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from carlake.llm import (
-    bpe, decontaminate, jaccard, langid, quality, sharding, simhash, spelling, sql, substrings, toxicity, urls, warc,
+    bpe, decontaminate, jaccard, langid, quality, sharding, simhash, spelling, sql, substrings, toxicity, trie, urls, warc,
 )
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,12 +67,16 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.borrowed_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_decontamination, op3_simhash, op4_toxicity, op5_substring_dedup, op6_language_id,
         op7_url_filters, op8_byte_bpe, op9_sharding, op10_warc, op11_spelling_variants,
-        op12_jaccard_join,
+        op12_jaccard_join, op13_conversation_trie,
     )
 }
 
@@ -142,4 +146,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (r)""",
     "op11_spelling_variants": sql.OP11,
     "op12_jaccard_join": sql.OP12,
+    "op13_conversation_trie": sql.OP13,
 }

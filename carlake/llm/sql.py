@@ -59,3 +59,32 @@ reached AS (
 SELECT d.doc_id, coalesce(any_value(sized.n), 0) AS n_shingles, min(o.doc_id) AS component_id
 FROM reached JOIN doc d ON d.r = reached.a JOIN doc o ON o.r = reached.b LEFT JOIN sized ON sized.r = reached.a
 GROUP BY reached.a, d.doc_id"""
+
+OP13 = rf"""
+WITH {_CRC_TABLE},
+turn AS (
+  SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, list(t ORDER BY pos) AS own FROM turn GROUP BY conv_id),
+headed AS (SELECT *, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM conv, crc),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(b.own[1:h], []) ELSE [] END, c.own[h + 1:]) AS seq
+  FROM headed c LEFT JOIN conv b ON b.conv_id = c.conv_id - c.conv_id % 100),
+step AS (SELECT conv_id, len(seq) AS n, d, seq[1:d] AS p FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM step GROUP BY d, p),
+child AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+worth AS (
+  SELECT node.d, node.p, n_convs, coalesce(n_children, 0) AS n_children,
+    CASE WHEN node.d > 0 THEN (n_convs - 1) * length(node.p[node.d].text) ELSE 0 END AS value
+  FROM node LEFT JOIN child ON child.d = node.d AND child.p = node.p),
+below AS (
+  SELECT k AS d, p[1:k] AS p, sum(value) AS saved, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM worth) GROUP BY ALL)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, worth.n_children, below.n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN worth ON worth.d = node.d AND worth.p = node.p JOIN below ON below.d = node.d AND below.p = node.p
+LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.p[1:node.d - 1]"""
