@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carlake.functions.derived import any_of
@@ -37,35 +37,52 @@ def upsert(
 ) -> DataFrame:
     """The target after the batch: matched rows take the batch's values except the frozen columns.
 
-    With ``null_safe`` NULL matches NULL; without it a NULL key never matches, so each such row is inserted; these
-    rows, of either side, pass beside the join and are not shuffled. After the fold both sides have one row per
-    key, so no key is hot in the join."""
-    columns = target.columns
-    if not null_safe:
-        keyless = any_of([F.col(k).isNull() for k in keys])
-        apart = target.filter(keyless).unionByName(updates.filter(keyless).select(*columns))
-        merged = _merge(target.filter(~keyless), updates.filter(~keyless), keys, sequence, frozen)
-        return merged.unionByName(apart)
-    return _merge(target, updates, keys, sequence, frozen)
-
-
-def _merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], sequence: str, frozen: Sequence[str]) -> DataFrame:
-    """Full outer join of the target with the folded batch, NULL keys being equal."""
-    batch = fold_batch(updates, keys, sequence, frozen)
-    b = batch.withColumn("_in_batch", F.lit(True)).alias("b")
-    t = target.withColumn("_in_target", F.lit(True)).alias("t")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}"))
-    joined = t.join(b, on, "full_outer")
-    matched, new = F.col("b._in_batch"), F.col("t._in_target").isNull()
-
-    def merged(c: str):
-        if c in frozen:
-            return F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
-        return F.when(matched, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
-
-    return joined.select(*[merged(c) for c in target.columns])
+    With ``null_safe`` NULL matches NULL; without it a NULL key never matches, so each such row is inserted. The target
+    has one row per key. Both sides are read once and meet in one aggregation, which folds the batch on the way, so
+    a key with many updates leaves each task as one row; rows with a NULL key are spread by a number of their own."""
+    return merge_rows(tagged_rows(target, updates, keys, sequence, frozen, null_safe), target.columns, keys, frozen)
+
+
+def tagged_rows(
+    target: DataFrame, updates: DataFrame, keys: Sequence[str], sequence: str, frozen: Sequence[str], null_safe: bool
+) -> DataFrame:
+    """Rows of both sides with their keys, a group number for rows that never match, and the contents as structs."""
+    moving = [c for c in target.columns if c not in {*keys, *frozen}]
+    alone = F.when(any_of([F.col(k).isNull() for k in keys]), F.monotonically_increasing_id() + 1).otherwise(F.lit(0))
+
+    def side(df: DataFrame, sign: int, seq: Column) -> DataFrame:
+        contents = [F.struct(F.lit(1).alias("_one"), *cols).alias(name) for name, cols in (("_moving", moving), ("_frozen", frozen))]
+        apart = F.lit(0).cast("long") if null_safe else (alone * sign).cast("long")
+        return df.select(*keys, apart.alias("_apart"), seq.alias("_seq"), *contents)
+
+    kind = dict(updates.dtypes)[sequence]
+    return side(target, -1, F.lit(None).cast(kind)).unionByName(side(updates, 1, F.col(sequence)))
+
+
+def merge_rows(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], frozen: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per key out of tagged rows; ``by`` are columns that the keys decide."""
+    old = F.col("_seq").isNull()
+    merged = rows.groupBy(*by, *keys, "_apart").agg(
+        F.first(F.when(old, F.col("_moving")), ignorenulls=True).alias("_old_moving"),
+        F.first(F.when(old, F.col("_frozen")), ignorenulls=True).alias("_old_frozen"),
+        F.max_by("_moving", "_seq").alias("_last"),
+        F.min_by("_frozen", "_seq").alias("_first"),
+    )
+    now, kept = F.coalesce("_last", "_old_moving"), F.coalesce("_old_frozen", "_first")
+    shown = {c: (kept if c in frozen else now)[c].alias(c) for c in columns if c not in keys}
+    return merged.select(*by, *[shown.get(c, F.col(c)) for c in columns])
+
+
+def match_keys(target: DataFrame, updates: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """What a merge would do to each key: ``update`` a row, ``insert`` one (n rows of a NULL key that never matches), ``keep`` it."""
+    flags = [F.struct(*keys).alias("_key"), any_of([F.col(k).isNull() for k in keys]).alias("_alone")]
+    both = target.select(*flags, F.lit(1).alias("_old"), F.lit(0).alias("_new")).unionAll(
+        updates.select(*flags, F.lit(0).alias("_old"), F.lit(1).alias("_new"))
+    )
+    side = F.lit(0) if null_safe else F.when(F.col("_alone"), F.col("_new")).otherwise(F.lit(0))
+    met = both.groupBy("_key", side.alias("_side")).agg(F.sum("_old").alias("old"), F.sum("_new").alias("new"))
+    outcome = F.when(F.col("new") == 0, "keep").when(F.col("old") == 0, "insert").otherwise("update")
+    return met.select("_key.*", outcome.alias("outcome"), F.col("new").alias("n_updates"))
 
 
 def upsert_articles(target: DataFrame, updates: DataFrame, sequence: str) -> DataFrame:
@@ -116,5 +133,10 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
 
 
 def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The newest state of a table: of its whole snapshots, or of a bucketed one (``merge_table``)."""
+    if exists(spark, f"{root}/manifest"):
+        from carlake.operators.merge_table import read_table
+
+        return read_table(spark, root, before)
     version = latest_version(spark, root, before)
     return None if version is None else spark.read.parquet(snapshot_path(root, version))

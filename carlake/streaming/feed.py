@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructType
 
-from carlake.operators.upsert import exists, latest_version, read_snapshot, upsert_articles, upsert_events, write_snapshot
+from carlake.operators.merge_table import MergeTable
+from carlake.operators.upsert import ARTICLE_FROZEN, exists, latest_version
 from carlake.plans.news import tag_articles, tag_events
 from carlake.schemas import ARTICLE_DDL, EVENT_DDL, RAW_ARTICLE_DDL, RAW_EVENT_DDL
 
@@ -18,18 +23,23 @@ SEQUENCE = "_seq"
 
 @dataclass(frozen=True)
 class Kind:
-    """What a feed takes in: the landed columns, the table's, the tagging and the merge."""
+    """What a feed takes in: the landed columns, the table's, the tagging, how rows match, and the column that
+    deliveries of one record share."""
 
     landed: str
     table: str
     tag: Callable[..., DataFrame]
-    merge: Callable[[DataFrame, DataFrame, str], DataFrame]
+    keys: Sequence[str]
+    frozen: Sequence[str]
+    null_safe: bool
+    record: str
 
 
-ARTICLES = Kind(RAW_ARTICLE_DDL, ARTICLE_DDL, tag_articles, upsert_articles)
-EVENTS = Kind(RAW_EVENT_DDL, EVENT_DDL, tag_events, upsert_events)
+ARTICLES = Kind(RAW_ARTICLE_DDL, ARTICLE_DDL, tag_articles, ["url"], ARTICLE_FROZEN, False, "url")
+EVENTS = Kind(RAW_EVENT_DDL, EVENT_DDL, tag_events, ["title", "date_start"], [], True, "title")
 
 FILE = ["_file_time", "_file_path", "_file_block"]
+ROW = "_file_row"
 
 
 def _with_file(df: DataFrame) -> DataFrame:
@@ -39,8 +49,68 @@ def _with_file(df: DataFrame) -> DataFrame:
 
 def _in_file_order(batch: DataFrame) -> DataFrame:
     """A row order that a rerun of the batch repeats: file time, file name, then place in the file."""
-    order = F.struct(*FILE, F.monotonically_increasing_id().alias("_row"))
-    return batch.withColumn(SEQUENCE, order).drop(*FILE)
+    row = F.col(ROW) if ROW in batch.columns else F.monotonically_increasing_id()
+    return batch.withColumn(SEQUENCE, F.struct(*FILE, row.alias(ROW))).drop(*FILE, ROW)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a count of the rows in the order the task reads them, which numbers each block of a file."""
+    seen = 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(range(seen, seen + batch.num_rows), pa.int64())], names=[*batch.schema.names, ROW]
+        )
+        seen += batch.num_rows
+
+
+DIGEST, ARRIVED, ARRIVED_MS = "_digest", "_arrived", "_arrived_ms"
+
+
+def changed_only(remember_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Passes the rows of a record's batch on unless the last of them says what was last passed on.
+
+    Of a batch only its first and its last row matter to the merge, so a record with very many rows needs no more
+    memory than one. The state is the digest of the last row."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ends = None
+        for frame in frames:
+            frame = frame if ends is None else pd.concat([ends, frame])
+            if len(frame) > 1:
+                frame = frame.sort_values([*FILE, ROW], kind="stable").iloc[[0, -1]]
+            ends = frame
+        if ends is None or not len(ends):
+            return
+        digest = int(ends[DIGEST].iloc[-1])
+        known = state.getOption if state.exists else None
+        state.update((digest,))
+        state.setTimeoutTimestamp(int(ends[ARRIVED_MS].iloc[-1]) + remember_ms)
+        if known is None or known[0] != digest:
+            yield ends.drop(columns=[DIGEST, ARRIVED, ARRIVED_MS])
+
+    return run
+
+
+def without_repeats(lines: DataFrame, kind: Kind, days: int) -> DataFrame:
+    """The stream without deliveries that repeat what was last passed on for the same url (or title).
+
+    A state store keeps one number for each record and forgets it when the record has not come for some ``days`` days; a
+    repeat that comes later passes, and the merge makes nothing new of it. The watermark runs by the time of the batch, not
+    by that of the files or articles, so no row is ever late by it and a file from long ago is merged like any
+    other. Records that come back in an earlier wording count as changed. Rows whose url (or title) is NULL pass by."""
+    landed = StructType.fromDDL(kind.landed)
+    numbered = lines.mapInArrow(_counted, StructType([*lines.schema.fields]).add(ROW, LongType()))
+    out = StructType([*numbered.schema.fields])
+    now = F.current_timestamp()
+    digested = numbered.withColumns({DIGEST: F.xxhash64(*landed.names), ARRIVED: now, ARRIVED_MS: F.unix_millis(now)})
+    digested = digested.withWatermark(ARRIVED, "1 minute")
+    named = digested.where(F.col(kind.record).isNotNull()).groupBy(kind.record)
+    run = changed_only(days * 86_400_000)
+    passed = named.applyInPandasWithState(run, out, "digest long", "append", GroupStateTimeout.EventTimeTimeout)
+    return passed.unionByName(numbered.where(F.col(kind.record).isNull()))
 
 
 def run_feed(
@@ -52,35 +122,39 @@ def run_feed(
     files_per_batch: int = 100,
     kind: Kind = ARTICLES,
     arrays: bool = False,
+    remember_days: int | None = None,
+    max_file_age: str = "36500d",
 ) -> int:
     """Takes in all files that arrived since the last run; returns the number of batches.
 
     ``landing`` holds raw records of the kind, one JSON object a line; with ``arrays`` every file is one JSON array
-    (such a file is read by one task). ``target`` holds numbered snapshots of the table.
-    Batch n always reads the snapshot before n+1 and writes snapshot n+1, so a replayed batch gives the
-    same table. One feed writes to one target; there is no lock for a second one. A target that holds snapshots goes with
+    (such a file is read by one task). ``target`` is a bucketed table (``merge_table``), read by ``read_snapshot``: a batch
+    rewrites only the buckets that hold its records. Batch n always reads the version before n+1 and writes version
+    n+1, so a replayed batch gives the same table. With ``remember_days`` repeated deliveries are dropped before
+    they are tagged (``without_repeats``); keep to it for the life of a checkpoint, as state belongs to the query.
+    Files that are older than the newest one by ``max_file_age`` are the only ones ever skipped (Spark's default is a week).
+    One feed writes to one target; there is no lock for a second one. A target that holds versions goes with
     the checkpoint that wrote them: a new checkpoint would number its batches from the start and is refused."""
-    if latest_version(spark, target) is not None and not exists(spark, f"{checkpoint}/commits"):
-        raise ValueError(f"{target} holds snapshots that {checkpoint} did not write")
+    if latest_version(spark, f"{target}/manifest") is not None and not exists(spark, f"{checkpoint}/commits"):
+        raise ValueError(f"{target} holds versions that {checkpoint} did not write")
+    table = MergeTable(target, StructType.fromDDL(kind.table), kind.keys, kind.frozen, kind.null_safe)
     batches: set[int] = set()
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         tagged = kind.tag(_in_file_order(batch), as_of, keep=[SEQUENCE])
-        current = read_snapshot(session, target, before=batch_id + 1)
-        if current is None:
-            current = session.createDataFrame([], kind.table)
-        write_snapshot(kind.merge(current, tagged, SEQUENCE), target, batch_id + 1)
+        table.merge(tagged, SEQUENCE, version=batch_id + 1)
         batches.add(batch_id)
 
     lines = (
         spark.readStream.schema(kind.landed)
         .option("multiLine", arrays)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", max_file_age)
         .json(landing)
     )
+    placed = _with_file(lines)
     query = (
-        _with_file(lines)
+        (placed if remember_days is None else without_repeats(placed, kind, remember_days))
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(merge)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from carlake import rules
 from carlake.operators import upsert as U
+from carlake.operators.merge_table import MergeTable
 from carlake.operators.filters import select_available
 from carlake.plans import news
 from carlake.schemas import text_schema
@@ -369,18 +370,39 @@ SELECT url, coalesce(l.title, o.title) AS title, coalesce(l.summary, o.summary)
 FROM old o FULL JOIN last l USING (url) LEFT JOIN first f USING (url)"""
 
 
-@query("K06_upsert_articles", UPSERT)
-def _(t):
+def _articles(t):
+    """A table of early articles, one a url, and a batch of later ones."""
     df = t("articles_raw").select("article_id", "url", "title", "summary", "published_date", "source", "author")
     day = F.col("published_date")
     old = df.filter(day < F.lit(datetime(2024, 1, 16)))
     old = old.groupBy("url").agg(F.min_by(F.struct("title", "summary", "published_date", "source", "author"), "article_id").alias("r"))
-    return U.upsert_articles(old.select("url", "r.*"), df.filter(day >= F.lit(datetime(2024, 1, 14))), "article_id")
+    return old.select("url", "r.*"), df.filter(day >= F.lit(datetime(2024, 1, 14)))
 
 
-@query(
-    "K07_upsert_events",
-    """WITH ev AS (SELECT event_id, title, CASE WHEN event_id % 7 > 0 THEN date_start END AS date_start, location, relevance_score
+@query("K06_upsert_articles", UPSERT)
+def _(t):
+    return U.upsert_articles(*_articles(t), "article_id")
+
+
+def _merged(t, name, old, batches, key, keys, frozen=(), null_safe=False):
+    """The rows of a bucketed table after its first load and the batches."""
+    table = MergeTable(new_path(t.spark, name), old.schema, keys, frozen, null_safe, buckets=16)
+    table.merge(old.withColumn("_first_load", F.lit(0)), "_first_load")
+    for batch in batches:
+        table.merge(batch, key)
+    return table.read(t.spark)
+
+
+@query("K06_merge_table", UPSERT)
+def _(t):
+    # the batch comes in two parts, the second one by the end of the article's number
+    old, new = _articles(t)
+    middle = new.agg(F.avg("article_id")).scalar()
+    batches = [new.filter(F.col("article_id") < middle), new.filter(F.col("article_id") >= middle)]
+    return _merged(t, "articles", old, batches, "article_id", ["url"], U.ARTICLE_FROZEN)
+
+
+EVENT_UPSERT = """WITH ev AS (SELECT event_id, title, CASE WHEN event_id % 7 > 0 THEN date_start END AS date_start, location, relevance_score
       FROM {trade_events}),
   old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, date_start ORDER BY event_id) AS r FROM ev
     WHERE event_id < (SELECT avg(o_orderkey) FROM orders)) WHERE r = 1),
@@ -389,9 +411,10 @@ def _(t):
 SELECT coalesce(l.title, o.title) AS title, coalesce(l.date_start, o.date_start) AS date_start,
   CASE WHEN l.title IS NULL THEN o.location ELSE l.location END AS location,
   CASE WHEN l.title IS NULL THEN o.relevance_score ELSE l.relevance_score END AS relevance_score
-FROM old o FULL JOIN last l ON o.title = l.title AND o.date_start IS NOT DISTINCT FROM l.date_start""",
-)
-def _(t):
+FROM old o FULL JOIN last l ON o.title = l.title AND o.date_start IS NOT DISTINCT FROM l.date_start"""
+
+
+def _events(t):
     df = t("trade_events").select(
         "event_id", "title", F.when(F.col("event_id") % 7 > 0, F.col("date_start")).alias("date_start"), "location",
         "relevance_score",
@@ -400,7 +423,31 @@ def _(t):
     old = df.filter(F.col("event_id") < middle).groupBy("title", "date_start").agg(
         F.min_by(F.struct("location", "relevance_score"), "event_id").alias("r")
     )
-    return U.upsert_events(old.select("title", "date_start", "r.*"), df.filter(F.col("event_id") >= middle), "event_id")
+    return old.select("title", "date_start", "r.*"), df.filter(F.col("event_id") >= middle)
+
+
+@query("K07_upsert_events", EVENT_UPSERT)
+def _(t):
+    return U.upsert_events(*_events(t), "event_id")
+
+
+@query("K07_merge_table", EVENT_UPSERT)
+def _(t):
+    old, new = _events(t)
+    return _merged(t, "events", old, [new], "event_id", ["title", "date_start"], null_safe=True)
+
+
+@query(
+    "J05_match_keys",
+    """WITH ev AS (SELECT event_id, title, CASE WHEN event_id % 7 > 0 THEN date_start END AS date_start FROM {trade_events}),
+  old AS (SELECT DISTINCT title, date_start FROM ev WHERE event_id < (SELECT avg(o_orderkey) FROM orders)),
+  new AS (SELECT title, date_start, count(*) AS n FROM ev WHERE event_id >= (SELECT avg(o_orderkey) FROM orders) GROUP BY ALL)
+SELECT coalesce(old.title, new.title) AS title, coalesce(old.date_start, new.date_start) AS date_start, coalesce(n, 0) AS n_updates,
+  CASE WHEN new.title IS NULL THEN 'keep' WHEN old.title IS NULL THEN 'insert' ELSE 'update' END AS outcome
+FROM old FULL JOIN new ON old.title = new.title AND old.date_start IS NOT DISTINCT FROM new.date_start""",
+)
+def _(t):
+    return U.match_keys(*_events(t), ["title", "date_start"], null_safe=True)
 
 
 @query(
@@ -460,3 +507,17 @@ def _(t):
         part.write.mode("append").json(f"{root}/landing")
         run_feed(t.spark, f"{root}/landing", f"{root}/events", f"{root}/checkpoint", AS_OF, kind=EVENTS)
     return U.read_snapshot(t.spark, f"{root}/events").select("title", "date_start")
+
+
+@query("I01_run_feed_repeats", FEED)
+def _(t):
+    # every delivery brings the one before it again; a state store drops those rows before they are tagged
+    root = new_path(t.spark, "feed")
+    df = t("articles_raw").select("article_id", "title", "url", "published_date", "source", "author", "summary")
+    for delivery in range(3):
+        for part in range(max(0, delivery - 1), delivery + 1):
+            rows = df.filter(F.col("article_id") % 3 == part).drop("article_id")
+            rows.write.mode("append").options(**sinks.TIME_FORMATS).json(f"{root}/landing")
+        run_feed(t.spark, f"{root}/landing", f"{root}/articles", f"{root}/checkpoint", AS_OF, remember_days=7)
+    table = U.read_snapshot(t.spark, f"{root}/articles")
+    return table.select("url", "title", "summary", "published_date", "source", "author", "category", "sentiment")
