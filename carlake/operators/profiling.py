@@ -3,64 +3,97 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carlake.functions.derived import any_of
+from carlake.operators.reshape import union_all
+from carlake.session import new_path
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 TIMES = ("date", "timestamp")
 
 
-EXACT_DISTINCT = 40  # numbers of distinct values up to here decide a role or a chart, and are counted exactly
+SKETCH_LG = 12  # a sketch counts exactly below 2^12 distinct values
+EXACT_DISTINCT = 1 << SKETCH_LG
+ROLE_SKETCHES = "position int, column_name string, kind string, rows long, n_values long, sketch binary"
 
 
-def column_roles(df: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per column: position, role (Time, Quant or Cat) and number of distinct values.
+def role_sketches(df: DataFrame) -> DataFrame:
+    """What a load adds to the role statistics: one row per column with its counts and a sketch of its distinct values.
 
-    All-NULL columns and columns with ID as a word of their name have no role. Numbers with at most ten
-    distinct values (NULL is one) count as Cat when there are more than 50 rows.
+    One aggregation without copies of rows. Columns with ID as a word of their name are left out. Rows of several loads
+    add up (``merge_sketches``), so a new load does not read old rows."""
+    kept = [(i, c, kind) for i, (c, kind) in enumerate(df.dtypes) if "ID" not in c.upper().split("_")]
+    if not kept:
+        return df.sparkSession.createDataFrame([], ROLE_SKETCHES)
+
+    def sketched(c: str, kind: str) -> Column:
+        plain = kind in ("int", "bigint", "float", "double", "string")
+        return F.theta_sketch_agg(F.col(c) if plain else F.col(c).cast("string"), SKETCH_LG)
 
-    One aggregation estimates all counts. Columns estimated at up to EXACT_DISTINCT values are counted exactly in a second
-    one, by their sets of values, so no row is copied per column; larger counts stay estimates (5 % off, as a rule)
-    unless ``exact`` asks for all."""
-    names = [c for c in df.columns if "ID" not in c.upper().split("_")]
-    kinds = dict(df.dtypes)
-    few: set[str] = set()
-    far: dict[str, int] = {}
-    if not exact and names:
-        estimates = df.agg(*[F.approx_count_distinct(F.col(c)).alias(str(i)) for i, c in enumerate(names)]).first()
-        few = {c for i, c in enumerate(names) if estimates[i] <= EXACT_DISTINCT}
-        far = {c: estimates[i] for i, c in enumerate(names) if c not in few}
-
-    def distinct(c: str) -> Column:
-        if exact:
-            return F.count_distinct(F.col(c))
-        return F.size(F.collect_set(F.col(c))).cast("long") if c in few else F.lit(far[c]).cast("long")
-
-    stats = df.agg(
+    one = df.agg(
         F.count("*").alias("rows"),
-        *[F.count(F.col(c)).alias(f"{c}__n") for c in names],
-        *[distinct(c).alias(f"{c}__d") for c in names],
+        *[F.count(F.col(c)).alias(f"n{i}") for i, c, _ in kept],
+        *[sketched(c, kind).alias(f"s{i}") for i, c, kind in kept],
     )
-
-    def role(c: str) -> Column:
-        if "YEAR" in c.upper() or kinds[c].startswith(TIMES):
-            return F.lit("Time")
-        if kinds[c].startswith(NUMERIC):
-            values = F.col(f"{c}__d") + F.when(F.col(f"{c}__n") < F.col("rows"), 1).otherwise(0)
-            return F.when((values <= 10) & (F.col("rows") > 50), "Cat").otherwise("Quant")
-        return F.lit("Cat")
-
     entries = [
         F.struct(
-            F.lit(df.columns.index(c)).alias("position"),
-            F.lit(c.upper()).alias("column_name"),
-            F.when(F.col(f"{c}__n") > 0, role(c)).alias("role"),
-            F.col(f"{c}__d").alias("n_distinct"),
+            F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(kind).alias("kind"), F.col("rows"),
+            F.col(f"n{i}").alias("n_values"), F.col(f"s{i}").alias("sketch"),
         )
-        for c in names
+        for i, c, kind in kept
+    ]
+    return one.select(F.inline(F.array(*entries)))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """One row per column out of the rows of several loads."""
+    return sketches.groupBy("position", "column_name", "kind").agg(
+        F.sum("rows").alias("rows"), F.sum("n_values").alias("n_values"), F.theta_union_agg("sketch", F.lit(SKETCH_LG)).alias("sketch")
+    )
+
+
+def roles_of(sketches: DataFrame) -> DataFrame:
+    """position, column_name, role, n_distinct and is_exact (false: an estimate, some 2 % off) for merged sketches."""
+    counted = sketches.withColumn("n_distinct", F.theta_sketch_estimate("sketch"))
+    kind = F.col("kind")
+    number = kind.rlike("^(" + "|".join(NUMERIC) + ")")
+    time = F.upper("column_name").contains("YEAR") | kind.rlike("^(" + "|".join(TIMES) + ")")
+    values = F.col("n_distinct") + F.when(F.col("n_values") < F.col("rows"), 1).otherwise(0)
+    quantity = F.when((values <= 10) & (F.col("rows") > 50), "Cat").otherwise("Quant")
+    role = F.when(time, "Time").when(number, quantity).otherwise("Cat")
+    return counted.where(F.col("n_values") > 0).select(
+        "position", F.upper("column_name").alias("column_name"), role.alias("role"), "n_distinct",
+        (F.col("n_distinct") < EXACT_DISTINCT).alias("is_exact"),
+    )
+
+
+def column_roles(df: DataFrame, exact: bool = True) -> DataFrame:
+    """One row per column: position, role (Time, Quant or Cat), number of distinct values, and whether it is exact.
+
+    All-NULL columns and columns with ID as a word of their name have no role. Numbers with at most ten
+    distinct values (NULL is one) count as Cat when there are more than 50 rows.
+
+    One aggregation sketches all columns; counts below EXACT_DISTINCT are exact. Columns with more values are counted
+    by a second one, each by itself, or with ``exact=False`` left as estimates and marked so."""
+    roles = roles_of(role_sketches(df))
+    if not exact:
+        return roles
+    found = roles.collect()  # one row a column
+    names = {r["position"]: df.columns[r["position"]] for r in found if not r["is_exact"]}
+    rows = [(r["position"], r["column_name"], r["role"], r["n_distinct"]) for r in found]
+    known = df.sparkSession.createDataFrame(rows, "position int, column_name string, role string, n_distinct long")
+    if not names:
+        return known.withColumn("is_exact", F.lit(True))
+    counts = [
+        df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct().agg(F.lit(i).alias("position"), F.count("*").alias("counted"))
+        for i, c in names.items()
     ]
-    return stats.select(F.inline(F.array(*entries))).filter(F.col("role").isNotNull())
+    met = known.join(union_all(*counts), "position", "left")
+    return met.select("position", "column_name", "role", F.coalesce("counted", "n_distinct").alias("n_distinct"), F.lit(True).alias("is_exact"))
 
 
 def pick_chart(roles: DataFrame) -> DataFrame:
@@ -93,53 +126,111 @@ def chart_rows(df: DataFrame, category: str, measure: str) -> DataFrame:
     return df.select(category, measure).orderBy(F.asc(measure), F.asc(category))
 
 
-def quartiles(df: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
+SHARES = (0.25, 0.5, 0.75)
+FEW = 10_000  # values of a group that are put in order at once
+
+
+def quartiles(df: DataFrame, group: str, value: str, accuracy: int = 10_000, few: int = FEW) -> DataFrame:
     """Exact quartiles per group with linear interpolation, for groups of any size and values of any spread.
 
-    A sketch per group bounds each quartile by two values that are some 10 / accuracy of the group's rows apart. Values between
-    such bounds are counted one by one, all others in four sums, and only these few rows are ordered. Groups of up to
-    ``accuracy`` rows are ordered whole. A rank outside its bounds would end the query with an error."""
-    shares = (0.25, 0.5, 0.75)
+    Selection in rounds: each rank that is looked for has an open interval of values and the number of rows below it. A
+    sketch picks two values around the rank; counting what lies below, on and between them says on which of them
+    or in which of the three intervals the rank is, whatever the sketch was worth. Rounds go on until every interval holds
+    ``few`` rows at most, which then are put in order. So nothing is ever ordered that grows with a group."""
+    spark = df.sparkSession
+    values = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
     margin = 5 / accuracy  # the sketch errs by 1 / accuracy
-    bounds = [b for s in shares for b in (max(0.0, s - margin), min(1.0, s + margin))]
-    values = df.filter(F.col(value).isNotNull()).select(F.col(group), F.col(value).cast("double").alias("v"))
-    limits = values.groupBy(F.col(group).alias("_g")).agg(
-        F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.percentile_approx("v", bounds, accuracy).alias("bounds"),
+    around = [b for s in SHARES for b in (max(0.0, s - margin), min(1.0, s + margin))]
+    stats = values.groupBy("g").agg(
+        F.count("*").alias("rows"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", around, accuracy).alias("s")
+    )
+    ranks = [(q, f((F.col("rows") - 1) * F.lit(s))) for q, s in enumerate(SHARES) for f in (F.floor, F.ceil)]
+    none = F.lit(None).cast("double")
+    state = stats.select(
+        "g", "rows", "least", "most",
+        *[
+            F.struct(
+                rank.cast("long").alias("rank"), F.lit(0).cast("long").alias("below"), F.col("rows").alias("n"), none.alias("lo"),
+                none.alias("hi"), none.alias("found"), F.col("s")[2 * q].alias("a"), F.col("s")[2 * q + 1].alias("b"),
+            ).alias(f"t{i}")
+            for i, (q, rank) in enumerate(ranks)
+        ],
     )
-    met = values.join(limits, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-    low, high = ([F.col("bounds")[2 * i + k] for i in range(len(shares))] for k in (0, 1))
-    inside = F.col("rows") <= accuracy
-    for a, b in zip(low, high):
-        inside = inside | F.col("v").between(a, b)
-    zone = sum((F.when(F.col("v") > b, 1).otherwise(0) for b in high), F.lit(0))
-    zoned = met.select(group, "v", "rows", "lo", "hi", F.when(inside, F.col("v")).alias("exact"), zone.alias("zone"))
-    # a zone's other values all lie below its exact ones, so its least value gives its place
-    counted = zoned.groupBy(group, "rows", "lo", "hi", "zone", "exact").agg(F.count("*").alias("n"), F.min("v").alias("at"))
-    running = Window.partitionBy(group).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("start", F.coalesce(F.sum("n").over(running), F.lit(0)))
-
-    def rank(share: float) -> Column:
-        return (F.col("rows") - 1) * F.lit(share)
-
-    def at(r: Column) -> Column:
-        held = (r >= F.col("start")) & (r < F.col("start") + F.col("n"))
-        exact = F.coalesce("exact", F.raise_error(F.lit("a quartile lies outside its bounds")).cast("double"))
-        return F.max(F.when(held, exact))
-
-    ends = placed.groupBy(group, "rows", "lo", "hi").agg(
-        *[at(f(rank(s))).alias(f"{name}{i}") for i, s in enumerate(shares) for name, f in (("a", F.floor), ("b", F.ceil))]
+    path = new_path(spark, "quartiles")
+    targets = [f"t{i}" for i in range(len(ranks))]
+    for turn in count():
+        state.write.parquet(f"{path}/{turn}")
+        state = spark.read.schema(state.schema).parquet(f"{path}/{turn}")
+        open_above = [F.col(t)["found"].isNull() & (F.col(t)["n"] > few) for t in targets]
+        if not state.where(any_of(open_above)).limit(1).count():
+            break
+        state = _narrowed(values, state, targets, few, turn)
+    met = values.join(_renamed(state), F.col("g").eqNullSafe(F.col("h")))
+    lists = met.groupBy("g").agg(*[F.sort_array(F.collect_list(F.when(_inside(t), F.col("v")))).alias(f"l_{t}") for t in targets])
+    done = state.join(lists.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")), "left")
+    at = [F.coalesce(F.col(t)["found"], F.get(f"l_{t}", (F.col(t)["rank"] - F.col(t)["below"]).cast("int"))) for t in targets]
+
+    def interpolated(q: int) -> Column:
+        place = (F.col("rows") - 1) * F.lit(SHARES[q])
+        return at[2 * q] + (at[2 * q + 1] - at[2 * q]) * (place - F.floor(place))
+
+    return done.select(
+        F.col("g").alias(group), F.col("rows").alias("n"), F.col("least").alias("min"),
+        *[interpolated(q).alias(name) for q, name in enumerate(("q1", "median", "q3"))], F.col("most").alias("max"),
     )
 
-    def interpolated(i: int, share: float) -> Column:
-        part = rank(share) - F.floor(rank(share))
-        return F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part
 
-    return ends.select(
-        group, F.col("rows").alias("n"), F.col("lo").alias("min"),
-        *[interpolated(i, s).alias(name) for i, (s, name) in enumerate(zip(shares, ("q1", "median", "q3")))],
-        F.col("hi").alias("max"),
-    )
+def _renamed(state: DataFrame) -> DataFrame:
+    return state.withColumnRenamed("g", "h").drop("rows", "least", "most")
+
+
+def _inside(t: str) -> Column:
+    """The row's value lies in the target's interval, and the target is not found yet."""
+    lo, hi, v = F.col(t)["lo"], F.col(t)["hi"], F.col("v")
+    return F.col(t)["found"].isNull() & (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
+
+
+def _narrowed(values: DataFrame, state: DataFrame, targets: list[str], few: int, turn: int) -> DataFrame:
+    """The state after one round: the interval of each target cut at two values near its rank."""
+    same = F.col("g").eqNullSafe(F.col("h"))
+    if turn:  # values for the first round come with the counts of the groups
+        met = values.join(_renamed(state), same)
+        grid = [k / 64 for k in range(65)]
+        picked = met.groupBy("g").agg(*[F.percentile_approx(F.when(_inside(t), F.col("v")), grid, 1000).alias(f"s_{t}") for t in targets])
+        state = state.join(picked.withColumnRenamed("g", "h"), same, "left").drop("h")
+
+        def cut(t: str) -> Column:
+            place = ((F.col(t)["rank"] - F.col(t)["below"]) * 64 / F.col(t)["n"]).cast("int")
+            low, high = (F.get(f"s_{t}", p) for p in (F.greatest(place - 1, F.lit(0)), F.least(place + 2, F.lit(64))))
+            return F.col(t).withField("a", low).withField("b", high)
+
+        state = state.withColumns({t: cut(t) for t in targets}).drop(*[f"s_{t}" for t in targets])
+    met = values.join(_renamed(state), same)
+    v, counts = F.col("v"), []
+    for t in targets:
+        a, b = F.col(t)["a"], F.col(t)["b"]
+        tests = {"below": v < a, "on_a": v == a, "between": (v > a) & (v < b), "on_b": (v == b) & (b > a)}
+        counts += [F.count_if(_inside(t) & test).alias(f"{name}_{t}") for name, test in tests.items()]
+    counted = state.join(met.groupBy("g").agg(*counts).withColumnRenamed("g", "h"), same)
+
+    def moved(t: str) -> Column:
+        c = F.col(t)
+        below, on_a, between, on_b = (F.col(f"{name}_{t}") for name in ("below", "on_a", "between", "on_b"))
+        rank = c["rank"] - c["below"]
+        to_b = below + on_a + between
+        into = lambda skipped, n, lo, hi: (
+            c.withField("below", c["below"] + skipped).withField("n", n).withField("lo", lo).withField("hi", hi)
+        )
+        step = (
+            F.when(rank < below, into(F.lit(0), below, c["lo"], c["a"]))
+            .when(rank < below + on_a, c.withField("found", c["a"]))
+            .when(rank < to_b, into(below + on_a, between, c["a"], c["b"]))
+            .when(rank < to_b + on_b, c.withField("found", c["b"]))
+            .otherwise(into(to_b + on_b, c["n"] - to_b - on_b, c["b"], c["hi"]))
+        )
+        return F.when(c["found"].isNotNull() | (c["n"] <= few), c).otherwise(step).alias(t)
+
+    return counted.select("g", "rows", "least", "most", *[moved(t) for t in targets])
 
 
 def schema_docs(catalog: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from carlake.operators import governance as G
 from carlake.operators import profiling as M
+from carlake.operators import vectors as V
 from carlake.operators.upsert import upsert_texts
+from carlake.session import new_path
 from carlake.sources.catalog import catalog_profile
 from checks.inputs import text
 from checks.registry import query
@@ -248,21 +250,37 @@ EVENT_ROLES = {"event_id": "", "ts": "time", "user_id": "", "event_type": "text"
 
 @query("M01_column_roles", role_rows("lineitem", LINE_ROLES))
 def _(t):
-    return M.column_roles(t("lineitem"), exact=True)
+    return M.column_roles(t("lineitem")).drop("is_exact")
 
 
 @query(
     "M01_column_roles_estimated",
-    f"SELECT position, column_name, role, CASE WHEN n_distinct <= 40 THEN n_distinct END AS n_distinct FROM ({role_rows('lineitem', LINE_ROLES)})",
+    f"""SELECT position, column_name, role, CASE WHEN n_distinct < {M.EXACT_DISTINCT} THEN n_distinct END AS n_distinct,
+    n_distinct < {M.EXACT_DISTINCT} AS is_exact FROM ({role_rows('lineitem', LINE_ROLES)})""",
 )
 def _(t):
-    few = F.when(F.col("n_distinct") <= M.EXACT_DISTINCT, F.col("n_distinct")).alias("n_distinct")
-    return M.column_roles(t("lineitem")).select("position", "column_name", "role", few)
+    roles = M.column_roles(t("lineitem"), exact=False)
+    return roles.withColumn("n_distinct", F.when(F.col("is_exact"), F.col("n_distinct")))
+
+
+@query(
+    "M01_merged_loads",
+    f"""SELECT position, column_name, role, CASE WHEN n_distinct < {M.EXACT_DISTINCT} THEN n_distinct END AS n_distinct,
+    n_distinct < {M.EXACT_DISTINCT} AS is_exact FROM ({role_rows('lineitem', LINE_ROLES)})""",
+)
+def _(t):
+    # the statistics of three loads are kept as tables and added up; the second and third load read no old row
+    path = new_path(t.spark, "sketches")
+    for load in range(3):
+        part = t("lineitem").where(F.col("l_orderkey") % 3 == load)
+        M.role_sketches(part).write.mode("append").parquet(path)
+    roles = M.roles_of(M.merge_sketches(t.spark.read.schema(M.ROLE_SKETCHES).parquet(path)))
+    return roles.withColumn("n_distinct", F.when(F.col("is_exact"), F.col("n_distinct")))
 
 
 @query("M01_column_roles_events", role_rows("events", EVENT_ROLES))
 def _(t):
-    return M.column_roles(t("events"), exact=True)
+    return M.column_roles(t("events")).drop("is_exact")
 
 
 @query(
@@ -332,6 +350,58 @@ def _(t):
     return top.select("vec_id", "label", F.round("score", 4).alias("score"))
 
 
+COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query(
+    "M05_vector_topk_many",
+    f"""SELECT query_id, rank, vec_id, round(score, 4) AS score FROM (
+      SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id)::INTEGER AS rank
+      FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 5""",
+)
+def _(t):
+    queries = t("embeddings").filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), "embedding")
+    top = V.vector_topk_many(t("embeddings").repartition(t.parts), queries, 5)
+    return top.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "M05_pivot_topk",
+    """SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 4)
+    AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[],
+    (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) DESC, vec_id LIMIT 5""",
+)
+def _(t):
+    path = new_path(t.spark, "pivots")
+    V.write_pivots(t("embeddings"), path)
+    target = t("embeddings").filter(F.col("vec_id") == 0).first()["embedding"]
+    top, _read = V.pivot_topk(t.spark, path, target, 5)
+    return top.select("vec_id", "label", F.round("score", 4).alias("score"))
+
+
+SPREADS = {
+    "ties": "CAST(l_linenumber AS DOUBLE)", "outlier": "CASE WHEN l_orderkey = 1 THEN 1e300 ELSE l_extendedprice END",
+    "distinct": "CAST(l_orderkey * 8 + l_linenumber AS DOUBLE)",
+}
+
+
+@query(
+    "M03_quartiles_of_any_spread",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS spread, count(*) AS n, min({v}) AS min, round(quantile_cont({v}, 0.25), 4) AS q1,
+        round(quantile_cont({v}, 0.5), 4) AS median, round(quantile_cont({v}, 0.75), 4) AS q3, max({v}) AS max FROM lineitem"""
+        for name, v in SPREADS.items()
+    ),
+)
+def _(t):
+    # coarse sketches and small lists: most ranks take several rounds
+    values = [F.struct(F.lit(name).alias("spread"), F.expr(v).cast("double").alias("v")) for name, v in SPREADS.items()]
+    rows = t("lineitem").select(F.inline(F.array(*values)))
+    q = M.quartiles(rows, "spread", "v", accuracy=50, few=100)
+    return q.select("spread", "n", "min", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "max")
+
+
 def _text_upsert(t, chars):
     docs = t("documents").select("doc_id", "text")
     changes = docs.select((F.col("doc_id") + 100).alias("doc_id"), F.concat(F.lit("new "), "text").alias("text"), F.lit(0).alias("seq"))
