@@ -271,10 +271,11 @@ def linked_classes(documents: DataFrame, classes: DataFrame, size: int, percent:
     wanted = lists.select(F.explode("nodes").alias("node")).distinct().join(classes.select("node", "k1", "k2", "least"), "node")
     wanted = written(wanted, "wanted_classes")
     ids = wanted.select(F.col("least").alias("wanted_id")).distinct()
-    texts = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    # sorted whatever the size: there is no bound on the wanted sets, so none is ever broadcast
+    texts = documents.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     # one row of each class: those of a repeated id that belong to other classes fall out of the join
     own = texts.select("doc_id", "text").mapInArrow(_sets(size), "k1 long, k2 long, items array<long>")
-    sets = own.join(wanted.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("node").agg(F.first("items").alias("items"))
+    sets = own.join(wanted.select("k1", "k2", "node").hint("merge"), ["k1", "k2"]).groupBy("node").agg(F.first("items").alias("items"))
     sets = written(sets, "sets")
     judged = written(_verified(found, sets, percent), "verified_links")
     links = judged.where("linked").select("a", "b")
