@@ -1,7 +1,10 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The URLs that a rule decides are the labelled ones. Trees are fitted on a bounded, hashed sample of
-their features (TRAIN_ROWS) and judge every URL that no rule fits.
+their features (TRAIN_ROWS) and judge every URL that no rule fits. No feature names a host: the suffix statistic is the
+smoothed block rate of the labelled URLs of *other* hosts that end in the same SUFFIX_LABELS labels, more than any rule
+has. A host's own labels never enter its features, in training or after it, so a verdict is carried over to a host by
+the shape of its URLs and by its sister hosts. ``held_out_accuracy`` leaves whole hosts out and tells what that is worth.
 
 Edge cases: a null URL or one without `://` has an empty host and path, fits no rule and is judged by the
 trees; without labelled URLs of both verdicts every unruled URL gets the only known verdict, else `allow`;
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 # rules in the order of their length: (host, path, verdict)
 RULES = [("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("net", "/", "block")]
 TRAIN_ROWS = 20_000  # labelled URLs the trees are fitted on
-SUFFIXES = 1000  # host suffixes whose block rate is remembered, by their count in the sample
+SUFFIX_LABELS = 3  # of a host, for the suffix statistics
+PRIOR = 4  # labelled URLs that the average rate weighs in a suffix statistic
 TREES = 40
 DEPTH = 3
 BINS = 32
@@ -62,8 +67,8 @@ def lexical(url: str | None, host: str, path: str) -> list[float]:
 
 
 def suffix_of(host: str) -> str:
-    """The last two labels of a host."""
-    return ".".join(host.split(".")[-2:])
+    """The last labels of a host."""
+    return ".".join(host.split(".")[-SUFFIX_LABELS:])
 
 
 class Trees:
@@ -123,49 +128,80 @@ class Trees:
 
 
 class UrlModel:
-    """Trees over lexical features and the smoothed block rate of the host's suffix."""
+    """Trees over lexical features and the suffix statistic, from labelled rows (features, host, blocked)."""
 
     def __init__(self, rows: list[tuple[list[float], str, int]]):
         y = np.array([r[2] for r in rows], float)
         self.only = None if len(set(y)) > 1 else (float(y[0]) if len(y) else 0.0)
-        count, blocked = Counter(r[1] for r in rows), Counter(r[1] for r in rows if r[2])
-        self.rate = {s: (blocked[s] + 1) / (n + 2) for s, n in count.most_common(SUFFIXES)}
+        self.average = float(y.mean()) if len(y) else 0.0
+        self.of_host, self.of_suffix = Counter(), Counter()  # labelled URLs, and those blocked
+        for _, host, blocked in rows:
+            for counts, name in ((self.of_host, host), (self.of_suffix, suffix_of(host))):
+                counts[name, "n"] += 1
+                counts[name, "blocked"] += blocked
         if self.only is None:
-            self.trees = Trees(np.array([[*r[0], self.rate.get(r[1], 0.5)] for r in rows]), y)
+            self.trees = Trees(np.array([[*r[0], self.rate(r[1])] for r in rows]), y)
 
-    def score(self, features: list[list[float]], suffixes: list[str]) -> np.ndarray:
+    def rate(self, host: str) -> float:
+        """The block rate of the labelled URLs of other hosts with this suffix, smoothed."""
+        n, blocked = (self.of_suffix[suffix_of(host), c] - self.of_host[host, c] for c in ("n", "blocked"))
+        return (blocked + PRIOR * self.average) / (n + PRIOR)
+
+    def score(self, features: list[list[float]], hosts: list[str]) -> np.ndarray:
         if self.only is not None or not features:
             return np.full(len(features), self.only or 0.0)
-        return self.trees.score(np.array([[*f, self.rate.get(s, 0.5)] for f, s in zip(features, suffixes)]))
+        return self.trees.score(np.array([[*f, self.rate(h)] for f, h in zip(features, hosts)]))
 
 
-def train(parts: DataFrame, train_rows: int = TRAIN_ROWS) -> UrlModel:
-    """Fits on the features of at most train_rows URLs with a rule, chosen by hash (columns url, host, path, verdict)."""
+def labelled_sample(parts: DataFrame, train_rows: int = TRAIN_ROWS) -> list[tuple[list[float], str, int]]:
+    """Features, host and label of at most train_rows URLs with a rule, chosen by hash (columns page_id, url, host, path, verdict)."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [lexical(u, h, p) for u, h, p in zip(b["url"], b["host"], b["path"])]
-            yield pd.DataFrame({"features": made, "suffix": [suffix_of(h)[-100:] for h in b["host"]], "blocked": b["verdict"] == "block"})
+            yield pd.DataFrame({"features": made, "host": b["host"], "blocked": b["verdict"] == "block"})
 
     labelled = parts.where(F.col("verdict").isNotNull())
-    sample = labelled.orderBy(F.xxhash64(F.lit("train"), "url"), "url").limit(train_rows)
-    rows = sample.mapInPandas(features, "features array<double>, suffix string, blocked boolean").collect()
-    return UrlModel([(list(r[0]), r[1], int(r[2])) for r in rows])
+    sample = labelled.orderBy(F.xxhash64(F.lit("train"), "page_id", "url"), "page_id", "url").limit(train_rows)
+    rows = sample.mapInPandas(features, "features array<double>, host string, blocked boolean").collect()
+    return [(list(r[0]), r[1], int(r[2])) for r in rows]
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict and the block score of the trees."""
+def ruled(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, url, host, path, and the rule that fits with its verdict (null where none does)."""
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    parts = parts.select("*", name.alias("rule"), verdict.alias("verdict"))
-    model = train(parts, train_rows)
+    return parts.select("*", name.alias("rule"), verdict.alias("verdict"))
 
-    @F.pandas_udf("double")
-    def block_score(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        made = [lexical(u, h, p) for u, h, p in zip(urls, hosts, paths)]
-        return pd.Series(model.score(made, [suffix_of(h) for h in hosts]), dtype="float64")
 
-    scored = parts.withColumn("score", block_score("url", "host", "path"))
+def held_out_accuracy(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, train_rows: int = TRAIN_ROWS, folds: int = 5) -> tuple[float, float]:
+    """Share of labelled URLs that trees fitted without their host get right, and that of the commoner verdict."""
+    rows = labelled_sample(ruled(pages, rules), train_rows)
+    fold = [crc32(host.encode()) % folds for _, host, _ in rows]
+    right = 0
+    for k in range(folds):
+        model = UrlModel([r for r, f in zip(rows, fold) if f != k])
+        out = [r for r, f in zip(rows, fold) if f == k]
+        scores = model.score([r[0] for r in out], [r[1] for r in out])
+        right += sum((s >= 0.5) == bool(r[2]) for s, r in zip(scores, out))
+    blocked = sum(r[2] for r in rows)
+    return right / max(1, len(rows)), max(blocked, len(rows) - blocked) / max(1, len(rows))
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict and, where no rule fits, the block score of the trees."""
+    parts = ruled(pages, rules)
+    model = UrlModel(labelled_sample(parts, train_rows))
+
+    @F.pandas_udf("double")
+    def block_score(urls: pd.Series, hosts: pd.Series, paths: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = np.full(len(urls), np.nan)
+        at = np.flatnonzero(wanted.to_numpy(bool))
+        made = [lexical(urls.iloc[i], hosts.iloc[i], paths.iloc[i]) for i in at]
+        out[at] = model.score(made, [hosts.iloc[i] for i in at])
+        return pd.Series(out)
+
+    scored = parts.withColumn("score", F.nanvl(block_score("url", "host", "path", F.col("verdict").isNull()), F.lit(None).cast("double")))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
