@@ -1,4 +1,4 @@
-"""Spelling variants, the Jaccard join, the conversation trie and shards against plain versions."""
+"""Spelling variants, the Jaccard join, the conversation trie, shards and URL trees against plain versions."""
 
 import random
 import re
@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carlake.llm import jaccard, sharding, spelling, trie
+from carlake.llm import jaccard, sharding, spelling, trie, urls
 from carlake.session import new_path
 
 DDL = "doc_id long, text string, word string, n long, node long, key string, label string"
@@ -331,3 +331,50 @@ def test_records_move_once(spark):
     lines = [x for x in plan.split("\n") if "Exchange" in x and "record" in x]
     assert not lines
     assert sharding.shard_documents(table(spark, [])).count() == 0
+
+
+# --- URL trees ----------------------------------------------------------------------------------
+
+
+def test_trees_are_worth_something_on_hosts_they_have_not_seen(spark):
+    """Blocked sites have long queries and many digits; whole hosts are left out of the fit."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        bad = i % 2
+        host = f"h{rng.randrange(40)}.{'ads' if bad else 'news'}.test"
+        tail = "?" + "&".join(f"p{k}={rng.randrange(10**6)}" for k in range(rng.randint(2, 5))) if bad else ""
+        rows.append((i, f"https://{host}/{'x/' * rng.randint(0, 3)}{rng.choice(['page', 'story'])}{tail}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = [("ads.test", "/", "block"), ("news.test", "/", "allow")]
+    accuracy, commoner = urls.held_out_accuracy(pages, rules)
+    assert accuracy > 0.95 and commoner < 0.55
+    judged = urls.judge_urls(pages.union(spark.createDataFrame([(9000, "https://new.site/page"), (9001, "https://new.site/page?p0=123456&p1=654321&p2=999")], "page_id long, url string")), rules)
+    assert [r.verdict for r in judged.where("page_id >= 9000").orderBy("page_id").collect()] == ["allow", "block"]
+    assert judged.where("rule is not null and score is not null").count() == 0
+
+
+def test_no_label_of_a_host_enters_its_own_features():
+    rows = [([1.0], "a.b.c.test", 1)] * 5 + [([1.0], "z.b.c.test", 0)] * 3 + [([2.0], "q.test", 0)]
+    model = urls.UrlModel(rows)
+    average = 5 / 9
+    assert model.rate("a.b.c.test") == (0 + urls.PRIOR * average) / (3 + urls.PRIOR)
+    assert model.rate("z.b.c.test") == (5 + urls.PRIOR * average) / (5 + urls.PRIOR)
+    assert model.rate("new.b.c.test") == (5 + urls.PRIOR * average) / (8 + urls.PRIOR)
+    assert model.rate("other.org") == pytest.approx(average)
+
+
+def test_first_split_is_the_best_one():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (80, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(80) < 0.2)).astype(float)
+    trees = urls.Trees(x, y, trees=1, depth=1)
+    feature, cut, _ = trees.trees[0][0]
+    g, h = y - y.mean(), np.full(80, y.mean() * (1 - y.mean()))
+
+    def gain(f, at):
+        left = x[:, f] <= at
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left))
+
+    best = max(gain(f, at) for f in range(3) for at in trees.cuts[f])
+    assert gain(feature, trees.cuts[feature][cut]) == pytest.approx(best)
