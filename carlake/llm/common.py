@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from carlake.session import new_path
 
@@ -76,3 +77,8 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
         run = np.minimum(run[:-length], run[length:])
         length *= 2
     return run if length == n else np.minimum(run[: len(x) - n + 1], run[n - length :])
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none clashes with columns made beside it; ``select("r.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])

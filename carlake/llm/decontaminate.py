@@ -7,8 +7,9 @@ lacks at most floor((1 - CONTAINED) * n) of its shingles, so at least one value
 document's, however long it is: the search loses no document. Candidates are verified by the shingles
 themselves.
 
-Items are taken in blocks of BLOCK_SHINGLES shingles, the size bound of what each task is sent; documents are
-read once per block and never shuffled, so a passage that a third of them hold costs no more than another.
+Items are taken in blocks of BLOCK_SHINGLES shingles, the size bound of what the driver holds and each task is sent;
+documents are read once for each block, in a pass of its own, and never shuffled, so a passage that a third of them hold
+costs no more than another.
 
 Words are runs of letters and digits, in lower case. Edge cases: an item of fewer than five words has one shingle,
 all its words; one without words is in no document; a null text has no shingles; repeated documents and items give a
@@ -21,13 +22,14 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carlake.llm.common import WordHashes, sequence_hashes
+from carlake.llm.common import WordHashes, sequence_hashes, whole_row, written
 
 SHINGLE = 5
 CONTAINED = Fraction(8, 10)
@@ -109,35 +111,54 @@ def item_blocks(benchmark: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> I
         yield ItemBlock(held)
 
 
-def matches(text: Column, block: ItemBlock, broadcast) -> Column:
-    """An array of the items of a block that the text contains."""
-    sent = broadcast(block)
+def _following(blocks: Iterator[ItemBlock]) -> Iterator[tuple[ItemBlock, bool]]:
+    """Every block, and whether another one follows; two blocks are held at most."""
+    held = next(blocks, None)
+    while held is not None:
+        after = next(blocks, None)
+        yield held, after is not None
+        held = after
 
-    @F.pandas_udf("array<struct<item_id: long, n_shared: long, n_shingles: long>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            found = [sent.value.matches(t) for t in batch]
-            yield pd.Series([[{"item_id": i, "n_shared": s, "n_shingles": n} for i, s, n in f] for f in found])
-
-    return run(text)
 
-
-def with_matches(documents: DataFrame, benchmark: DataFrame, name: str, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """The documents and, in column `name`, the items that they contain."""
-    send = documents.sparkSession.sparkContext.broadcast
-    nothing = F.array().cast("array<struct<item_id: long, n_shared: long, n_shingles: long>>")
-    parts = [matches(F.col("text"), block, send) for block in item_blocks(benchmark, block_shingles)]
-    return documents.withColumn(name, F.concat(nothing, *parts))
+PAIRS = "doc_id long, item_id long, n_shared long, n_shingles long"
 
 
 def contaminated_pairs(documents: DataFrame, benchmark: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles and containment of each item in each document that contains it."""
-    found = with_matches(documents.select("doc_id", "text"), benchmark, "found", block_shingles)
-    pairs = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    """doc_id, item_id, n_shared, n_shingles and containment of each item in each document that contains it.
+
+    A pass over the documents for each block of items, with one worker a task and one block in it. With several
+    blocks each pass is written, so neither the driver nor an executor ever holds the blocks of a large benchmark."""
+    spark = documents.sparkSession
+    rows, parts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
+    for block, more in _following(item_blocks(benchmark, block_shingles)):
+        sent = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"]) for m in sent.value.matches(t)]
+                made = pd.DataFrame(found, columns=["doc_id", "item_id", "n_shared", "n_shingles"])
+                yield made.astype({"doc_id": "Int64", "item_id": "Int64"})
+
+        part = rows.mapInPandas(search, PAIRS)
+        parts.append(written(part, "pairs") if more or parts else part)
+    pairs = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], PAIRS)
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    found = with_matches(documents, benchmark, "_items_found")
-    return found.where(F.size("_items_found") == 0).drop("_items_found").select(*documents.columns)
+def clean_documents(documents: DataFrame, benchmark: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The documents that contain no item, with all their columns; each block of items reads what those before it left."""
+    for block, more in _following(item_blocks(benchmark, block_shingles)):
+        rows = documents.select(whole_row(documents).alias("r"))
+        documents = rows.where(_is_clean(F.col("r.text"), block)).select("r.*")
+        documents = written(documents, "clean_documents") if more else documents
+    return documents
+
+
+def _is_clean(text: Column, block: ItemBlock) -> Column:
+    sent = SparkSession.active().sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([not sent.value.matches(t) for t in texts], dtype=bool)
+
+    return run(text)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carlake.llm.common import words_of, written
+from carlake.llm.common import whole_row, words_of, written
 from carlake.llm.components import components
 
 SHINGLE = 3
@@ -160,10 +160,15 @@ def near_duplicates(documents: DataFrame, list_rows: int = LIST_ROWS) -> DataFra
 def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each component: the row of its smallest doc_id, with all its columns.
 
-    Rows of one doc_id stay or go together, and equal texts among them are one; rows without an id stay."""
+    Rows of one doc_id stay or go together; of those with equal texts the one whose columns come first in order stays (null
+    first; a column with a map by its JSON text); rows without an id stay."""
     found = near_duplicates(documents.select("doc_id", "text"))
     first = found.groupBy("component_id").agg(F.min("doc_id").alias("kept_id"))
     kept = written(first.where(F.col("kept_id").isNotNull()).select("kept_id").distinct(), "kept_documents")
     rows = documents.join(kept, documents["doc_id"] == kept["kept_id"], "left_semi")
     unnamed = documents.where(F.col("doc_id").isNull())
-    return rows.dropDuplicates(["doc_id", "text"]).union(unnamed)
+    others = [f"`{c.replace('`', '``')}`" for c, _ in documents.dtypes if c not in ("doc_id", "text")]
+    kinds = [kind for c, kind in documents.dtypes if c not in ("doc_id", "text")]
+    order = F.struct(F.lit(1).alias("one"), *[F.to_json(F.struct(c)) if "map<" in k else F.col(c) for c, k in zip(others, kinds)])
+    least = rows.groupBy("doc_id", "text").agg(F.min_by(whole_row(documents), order).alias("r"))
+    return least.select("r.*").union(unnamed)

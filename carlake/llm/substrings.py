@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carlake.llm.common import WordHashes, sequence_hashes, sliding_min, words_of, written
+from carlake.llm.common import WordHashes, sequence_hashes, sliding_min, whole_row, words_of, written
 
 WINDOW = 50
 ANCHOR = 10
@@ -175,11 +175,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     copies = classes.join(long_texts, F.col("class_key") == F.col("key"), "left").withColumn("is_long", F.col("key").isNotNull())
     changes = copies.drop("key").join(lost, F.col("class_key") == F.col("cut_key"), "left").drop("cut_key")
     changes = written(changes, "changes").select(*(F.col(c).alias(f"_change_{c}") for c in ("class_key", "first_id", "is_long", "kept")))
-    rows = documents.withColumn("_text_key", text_key(F.col("text")))
-    met = rows.join(changes, F.col("_text_key") == F.col("_change_class_key"), "left")
-    copy = (F.col("doc_id") > F.col("_change_first_id")) & F.col("_change_is_long")
-    text = F.when(copy, F.lit("")).when(F.col("doc_id") == F.col("_change_first_id"), F.coalesce("_change_kept", "text")).otherwise(F.col("text"))
-    made = met.withColumn("text", text)
+    rows = documents.select(text_key(F.col("text")).alias("row_key"), whole_row(documents).alias("r"))
+    met = rows.join(changes, F.col("row_key") == F.col("_change_class_key"), "left")
+    doc_id, old = F.col("r.doc_id"), F.col("r.text")
+    copy = (doc_id > F.col("_change_first_id")) & F.col("_change_is_long")
+    text = F.when(copy, F.lit("")).when(doc_id == F.col("_change_first_id"), F.coalesce(F.col("_change_kept"), old)).otherwise(old)
+    made = met.select("r", text.alias("text"))
+    row = F.col("r").withField("text", F.col("text"))
     if "n_chars" in documents.columns:
-        made = made.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return made.select(*documents.columns)
+        row = row.withField("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return made.select(row.alias("r")).select("r.*")

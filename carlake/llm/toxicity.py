@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carlake.llm.common import words_of
+from carlake.llm.common import whole_row, words_of
 
 TRAIN_ROWS = 1500
 TRAIN_BYTES = 12_000
@@ -184,6 +184,9 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, train_rows: int = TR
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
+    """The documents that are not predicted toxic, with all their columns; all of them where fewer than two labels are known."""
     model = train(documents, labels)
-    return documents.withColumn("_toxicity", score(F.col("text"), model)).where(F.col("_toxicity") < THRESHOLD).select(*documents.columns)
+    if model.gains is None:
+        return documents
+    rows = documents.select(whole_row(documents).alias("r"))
+    return rows.withColumn("score", score(F.col("r.text"), model)).where(F.col("score") < THRESHOLD).select("r.*")

@@ -18,6 +18,8 @@ gives no records.
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -153,22 +155,40 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
+DAMAGED = (EOFError, OSError, zlib.error)
+
+
 def parse_archive(content: bytes) -> Iterator[dict]:
-    """The records of a gzipped archive, cut out by their Content-Length."""
+    """The records of a gzipped archive, cut out by their Content-Length.
+
+    Where the archive is damaged, the record at hand gets what could be read of it and the rest is given up. A record
+    without a sound Content-Length gets an empty block, and reading goes on at the next record."""
     stream = gzip.GzipFile(fileobj=BytesIO(content))
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue  # the line breaks between records
-        fields = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[key.strip().lower()] = value.strip()
-        fields["block"] = stream.read(int(fields.get("content-length", 0)))
-        yield fields
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue  # the line breaks between records
+            fields = {"block": b""}
+            try:
+                while (line := stream.readline()) not in (b"\r\n", b""):
+                    key, _, value = line.decode("utf-8", "replace").partition(":")
+                    fields[key.strip().lower()] = value.strip()
+                fields["block"] = stream.read(max(0, _number(fields.get("content-length")) or 0))
+            except DAMAGED:
+                yield fields
+                return
+            yield fields
+    except DAMAGED:
+        return
+
+
+def _number(text: str | None) -> int | None:
+    """A number as records state it; None where it is damaged."""
+    return int(text) if text and re.fullmatch("-?[0-9]{1,18}", text) else None
 
 
 def _record_row(fields: dict) -> dict:
-    number = lambda k: int(fields[k]) if k in fields else None
+    number = lambda k: _number(fields.get(k))
     return {
         "record_id": fields.get("warc-segment-origin-id", fields.get("warc-record-id")), "record_type": fields.get("warc-type"),
         "page_id": number("page-id"), "url": fields.get("warc-target-uri"),
@@ -207,7 +227,7 @@ def payload_of(block: bytes | None) -> tuple[bytes | None, int | None]:
     if fields.get(b"transfer-encoding") == b"chunked":
         body = unchunked(body)
         return body, None if body is None else len(body)
-    return body, int(fields.get(b"content-length", len(body)))
+    return body, _number(fields[b"content-length"].decode("ascii", "replace")) if b"content-length" in fields else len(body)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
