@@ -9,11 +9,13 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from carlake.functions.derived import any_of
 from carlake.schemas import text_schema
+from carlake.sources.archives import ZipMembers
 
 
 def read_csv(
@@ -94,3 +96,68 @@ def _batches(archive: str, member: str, lines: Iterable[str], size: int) -> Iter
 def read_json(spark: SparkSession, path, schema: StructType | str, multi_line: bool = True) -> DataFrame:
     """JSON files: whole arrays (``multi_line``) or one object per line, which also splits large files."""
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+
+
+# --- readers that keep what they cannot read ---------------------------------------------------
+
+REJECTED = "rejected_line"  # the raw line of a record that does not fit; NULL for the others
+CORRUPT, SPARE = "_corrupt_record", "_spare"
+
+
+def _checked(reader, fields: StructType, separator: str, charset: str, options: dict, path) -> DataFrame:
+    """Cells by position, and the raw line where there are more cells than fields.
+
+    One spare column takes the first cell too many. Spark hands on the raw line where the number of cells differs from
+    the schema's; where it does not, there is exactly one too many, and the line is put together again."""
+    schema = StructType([*text_schema([f.name for f in fields]).fields]).add(SPARE, "string").add(CORRUPT, "string")
+    options = {"sep": separator, "charset": charset, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **options}
+    cells = reader.schema(schema).options(**options).csv(path)
+    whole = F.concat_ws(separator, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in [*fields.names, SPARE]])
+    return cells.withColumn(REJECTED, F.when(F.col(SPARE).isNotNull(), F.coalesce(CORRUPT, whole)))
+
+
+def read_csv_checked(
+    spark: SparkSession, path, schema: StructType | str, charset: str = "ISO-8859-1", multi_line: bool = False
+) -> DataFrame:
+    """As ``read_csv``, with the lines that it cannot take in ``rejected_line``: more cells than the header has, or a cell
+    that is not of its column's type. Such a row has NULL in all other columns. ``write_split`` parts the two."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(enforceSchema=False, charset=charset, **options).csv(path).schema
+    cells = _checked(spark.read, header, ",", charset, options, path)
+    quoted = F.concat_ws(",", *[_quoted_cell(F.col(f"`{c}`")) for c in header.names])
+    there = {f.name: F.col(f"`{f.name}`") for f in header}
+    cast = {f.name: there[f.name].try_cast(f.dataType) for f in wanted if f.name in there}
+    bad = [there[c].isNotNull() & value.isNull() for c, value in cast.items()]
+    rejected = F.coalesce(REJECTED, F.when(any_of(bad), quoted)) if bad else F.col(REJECTED)
+    shown = [F.when(rejected.isNull(), cast[f.name] if f.name in cast else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted]
+    return cells.select(*shown, rejected.alias(REJECTED))
+
+
+def _quoted_cell(cell: Column) -> Column:
+    needs = cell.rlike('[",\r\n]')
+    return F.coalesce(F.when(needs, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell), F.lit(""))
+
+
+def read_tsv_checked(spark: SparkSession, path, names: Sequence[str], charset: str = "ISO-8859-1", quote: str = "") -> DataFrame:
+    """As ``read_tsv``, with the lines of too many fields in ``rejected_line`` instead of skipped.
+
+    An empty cell is NULL, so a line that only ends in too many tabs fits; a line of blanks is no record."""
+    cells = _checked(spark.read, text_schema(names), "\t", charset, {"quote": quote}, path)
+    kept = F.col(REJECTED).isNull()
+    return cells.select(*[F.when(kept, F.col(f"`{c}`")).alias(c) for c in names], REJECTED)
+
+
+def read_json_checked(spark: SparkSession, path, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """As ``read_json``, with the records that are no JSON, or whose values do not fit the schema, in ``rejected_line``."""
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = StructType([*wanted.fields]).add(CORRUPT, "string")
+    rows = spark.read.schema(full).options(multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).json(path)
+    kept = F.col(CORRUPT).isNull()
+    return rows.select(*[F.when(kept, F.col(f"`{f.name}`")).alias(f.name) for f in wanted], F.col(CORRUPT).alias(REJECTED))
+
+
+def read_archive_members(spark: SparkSession, path: str, pattern: str = r".*\.(txt|csv)$", charset: str = "ISO-8859-1") -> DataFrame:
+    """As ``read_zip``, with a task for each member of each archive (see ``archives``)."""
+    spark.dataSource.register(ZipMembers)
+    return spark.read.format(ZipMembers.name()).options(pattern=pattern, charset=charset).load(path)

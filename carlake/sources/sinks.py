@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NESTED = ("array", "struct", "map")
 # Text formats that keep microseconds, which the default ones cut off.
@@ -75,3 +76,17 @@ def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
 
 def export_result(df: DataFrame, path: str) -> None:
     write_csv(rounded(df), path)
+
+
+def write_split(df: DataFrame, path: str, rejected: str = "rejected_line") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Writes the rows of a checked reader in one pass: those it could read, and the rejected lines to a quarantine beside them.
+
+    Returns both tables, read back, and the numbers of their rows, counted while writing."""
+    seen, mark = Observation(), "_quarantine"
+    is_bad = F.col(rejected).isNotNull()
+    counted = df.observe(seen, F.count(F.when(~is_bad, 1)).alias("kept"), F.count(F.when(is_bad, 1)).alias("rejected"))
+    counted.withColumn(mark, is_bad).write.mode("overwrite").partitionBy(mark).parquet(path)
+    schema = StructType([*df.schema.fields]).add(mark, "boolean")
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    kept = rows.where(~F.col(mark)).drop(mark, rejected)
+    return kept, rows.where(F.col(mark)).select(rejected), {k: seen.get[k] for k in ("kept", "rejected")}

@@ -138,12 +138,12 @@ def _(t):
 
 @query(
     "P15_norm_label",
-    """SELECT BODY_STYLE, VEHICLE_CLASS, upper(trim(regexp_replace(BODY_STYLE, '[^a-zA-Z0-9\\s]', '_', 'g'))) AS body_style,
+    """SELECT BODY_STYLE AS raw_style, VEHICLE_CLASS AS raw_class, upper(trim(regexp_replace(BODY_STYLE, '[^a-zA-Z0-9\\s]', '_', 'g'))) AS body_style,
     upper(trim(VEHICLE_CLASS)) AS vehicle_class FROM {ratings_raw}""",
 )
 def _(t):
     return t("ratings_raw").select(
-        "BODY_STYLE", "VEHICLE_CLASS", C.norm_label(F.col("BODY_STYLE")).alias("body_style"),
+        F.col("BODY_STYLE").alias("raw_style"), F.col("VEHICLE_CLASS").alias("raw_class"), C.norm_label(F.col("BODY_STYLE")).alias("body_style"),
         C.upper_trim(F.col("VEHICLE_CLASS")).alias("vehicle_class"),
     )
 

@@ -16,8 +16,9 @@ from carlake.plans import news
 from carlake.schemas import text_schema
 from carlake.session import new_path
 from carlake.sources import catalog, files, markup, series, sinks
+from carlake.sources.archives import located
 from carlake.streaming.feed import EVENTS, run_feed
-from checks.registry import query
+from checks.registry import TABLES, query
 from checks.tagging import NEWS_CATEGORY, NEWS_SENTIMENT, TAGGED_EVENTS
 
 AS_OF = datetime(2026, 1, 1)
@@ -94,19 +95,41 @@ def _zip(group):
     return pd.DataFrame({"path": [str(group["part"].iloc[0])], "content": [packed.getvalue()]})
 
 
-@query(
-    "S03_read_zip",
-    """SELECT CAST((o_orderkey - o_orderkey % 500) / 500 AS BIGINT)::VARCHAR AS archive, 'data.txt' AS member,
+ZIPPED = """SELECT CAST((o_orderkey - o_orderkey % 500) / 500 AS BIGINT)::VARCHAR AS archive, 'data.txt' AS member,
     row_number() OVER (PARTITION BY o_orderkey - o_orderkey % 500 ORDER BY o_orderkey) - 1 AS line_no,
-    o_orderkey || chr(9) || o_orderstatus AS line FROM orders""",
-)
-def _(t):
-    # archives of at most 500 lines each, packed from the orders
+    o_orderkey || chr(9) || o_orderstatus AS line FROM orders"""
+
+
+def _archives(t):
+    """Archives of at most 500 lines each, packed from the orders: path and content."""
     lines = t("orders").select(
         "o_orderkey", F.expr("o_orderkey div 500").alias("part"),
         F.concat_ws("\t", F.col("o_orderkey"), F.col("o_orderstatus")).alias("line"),
     )
-    return files.unzip_lines(lines.groupBy("part").applyInPandas(_zip, "path string, content binary"))
+    return lines.groupBy("part").applyInPandas(_zip, "path string, content binary")
+
+
+@query("S03_read_zip", ZIPPED)
+def _(t):
+    return files.unzip_lines(_archives(t))
+
+
+@query("S03_read_archive_members", ZIPPED)
+def _(t):
+    folder = new_path(t.spark, "archives")
+
+    def store(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                place, root = located(folder)
+                place.create_dir(root)
+                with place.open_output_stream(f"{root}/{name}.zip") as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    _archives(t).mapInPandas(store, "path string").count()
+    rows = files.read_archive_members(t.spark, folder)
+    return rows.withColumn("archive", F.regexp_extract("archive", r"([^/]*)\.zip$", 1))
 
 
 VEHICLE_SQL = """SELECT epa_id, year, nullif(trim(make), '') AS make,
@@ -307,6 +330,86 @@ def _(t):
     return catalog.catalog_profile({n: t(n) for n in ("region", "part", "events")})
 
 
+# readers that keep what they cannot read: both parts of a table come back, kept rows and rejected lines
+
+
+def both_parts(t, df):
+    kept, rejected, counts = sinks.write_split(df, new_path(t.spark, "checked"))
+    sizes = [F.lit(counts[k]).cast("long").alias(f"n_{k}") for k in ("kept", "rejected")]
+    return kept.unionByName(rejected, allowMissingColumns=True).select("*", *sizes)
+
+
+COUNTED = """, (SELECT count(*) FROM {0} WHERE NOT ({1})) AS n_kept, (SELECT count(*) FROM {0} WHERE {1}) AS n_rejected"""
+
+
+@query(
+    "S02_read_tsv_checked",
+    f"""SELECT CASE WHEN l_orderkey % 50 <> 0 THEN CAST(l_orderkey AS VARCHAR) END AS a,
+    CASE WHEN l_orderkey % 50 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS b, CASE WHEN l_orderkey % 50 <> 0 THEN l_returnflag END AS c,
+    CASE WHEN l_orderkey % 50 > 1 THEN l_linestatus END AS d,
+    CASE WHEN l_orderkey % 50 = 0 THEN l_orderkey || chr(9) || l_partkey || chr(9) || l_returnflag || chr(9) || l_linestatus || chr(9) || 'too much'
+      || CASE WHEN l_linenumber > 2 THEN chr(9) || 'by far' ELSE '' END END AS rejected_line
+    {COUNTED.format("lineitem", "l_orderkey % 50 = 0")} FROM lineitem""",
+)
+def _(t):
+    path = new_path(t.spark, "tsv")
+    key = F.col("l_orderkey") % 50
+    more = F.when(F.col("l_linenumber") > 2, F.lit("too much\tby far")).otherwise(F.lit("too much"))
+    line = F.concat_ws(
+        "\t", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_returnflag"), F.when(key != 1, F.col("l_linestatus")), F.when(key == 0, more)
+    )
+    t("lineitem").select(line.alias("value")).write.text(path)
+    return both_parts(t, files.read_tsv_checked(t.spark, path, ["a", "b", "c", "d"]))
+
+
+@query(
+    "S01_read_csv_checked",
+    f"""SELECT CASE WHEN o_orderkey % 9 > 1 THEN o_orderkey END AS id, CASE WHEN o_orderkey % 9 > 1 THEN o_orderpriority END AS what,
+    CASE o_orderkey % 9 WHEN 0 THEN o_orderkey || ',' || o_orderpriority || ',more' WHEN 1 THEN 'no' || o_orderkey || ',' || o_orderpriority END AS rejected_line
+    {COUNTED.format("orders", "o_orderkey % 9 < 2")} FROM orders""",
+)
+def _(t):
+    path = new_path(t.spark, "csv")
+    part = F.col("o_orderkey") % 9
+    number = F.when(part == 1, F.concat(F.lit("no"), "o_orderkey")).otherwise(F.col("o_orderkey").cast("string"))
+    line = F.concat_ws(",", number, "o_orderpriority", F.when(part == 0, F.lit("more")))
+    swapped = F.concat_ws(",", "o_orderpriority", number)
+    # two kinds of files: the columns the other way round go to a folder of their own; a tab never occurs, so nothing is quoted
+    t("orders").where(part >= 2).select(swapped.alias("what,id")).write.options(header=True, sep="\t").csv(f"{path}/swapped")
+    t("orders").where(part < 2).select(line.alias("id,what")).write.options(header=True, sep="\t").csv(f"{path}/plain")
+    parts = [files.read_csv_checked(t.spark, f"{path}/{kind}", "id long, what string") for kind in ("swapped", "plain")]
+    return both_parts(t, parts[0].unionByName(parts[1]))
+
+
+@query(
+    "S08_read_json_checked",
+    f"""SELECT CASE WHEN c_custkey % 7 > 1 THEN c_custkey END AS id, CASE WHEN c_custkey % 7 > 1 THEN c_name END AS name,
+    CASE c_custkey % 7 WHEN 0 THEN '{{{{"id": ' || c_custkey || ', "name": ' WHEN 1 THEN '{{{{"id": "x' || c_custkey || '", "name": "n"}}}}' END AS rejected_line
+    {COUNTED.format("customer", "c_custkey % 7 < 2")} FROM customer""".replace("{{", "{").replace("}}", "}"),
+)
+def _(t):
+    path = new_path(t.spark, "json")
+    part = F.col("c_custkey") % 7
+    key = F.col("c_custkey").cast("string")
+    line = (
+        F.when(part == 0, F.concat(F.lit('{"id": '), key, F.lit(', "name": ')))
+        .when(part == 1, F.concat(F.lit('{"id": "x'), key, F.lit('", "name": "n"}')))
+        .otherwise(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))))
+    )
+    t("customer").select(line.alias("value")).write.text(path)
+    return both_parts(t, files.read_json_checked(t.spark, path, "id long, name string"))
+
+
+@query(
+    "S10_catalog_of_files",
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, "
+                       f"(SELECT count(*) FROM duckdb_columns() WHERE table_name = '{n}') AS n_columns" for n in TABLES),
+)
+def _(t):
+    rows = catalog.catalog_of_files(t.spark, {n: f"{t.folder}/{n}.parquet" for n in TABLES})
+    return rows.groupBy("table_name", "row_count").agg(F.count("*").alias("n_columns"))
+
+
 # --- sinks --------------------------------------------------------------------------------
 
 
