@@ -14,7 +14,7 @@ from carlake.functions import derived as D
 from carlake.functions import text as T
 from carlake.operators.filters import filter_year_window, keep_names, select_available, to_fact
 from carlake.operators.reshape import dedup, dedup_documents, pivot_series
-from carlake.sources.sinks import csv_path, write_csv
+from carlake.sources.sinks import csv_path, replace_table, write_csv
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -267,11 +267,11 @@ def run(
 ) -> dict[str, int | float]:
     """Cleans and writes a fact table; two jobs in all. ``partition_by`` (year) lets later reads skip files.
 
-    The counts come out of the write itself. The CSV is made from the written table, so the raw files are
+    The counts come out of the write itself; a run that fails leaves the table of the one before. The CSV is made from the written table, so the raw files are
     read and cleaned once."""
     before, after = Observation(), Observation()
     facts = clean(raw.observe(before, F.count(F.lit(1)).alias("rows")))
-    facts.observe(after, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    replace_table(facts.observe(after, F.count(F.lit(1)).alias("rows")), path, partition_by)
     if csv:
         write_csv(raw.sparkSession.read.parquet(path), csv_path(path) if "/parquet/" in path else path + "-csv")
     initial, final = before.get["rows"], after.get["rows"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -41,11 +42,38 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Replaces a Parquet table: the new one is written beside it, then the two change places.
+
+    A write that fails leaves the old table as it is, and ``df`` may read from it. Of a run that dies between the two
+    renames, the old table is left under ``<path>.old`` and the next call puts it back first. Readers that are
+    under way lose the old files, as with any overwrite."""
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    fresh, old = f"{path}.new-{uuid.uuid4().hex[:12]}", f"{path}.old"
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(place(old)) and not fs.exists(place(path)):
+        fs.rename(place(old), place(path))
+    try:
+        df.write.partitionBy(*partition_by).parquet(fresh)
+    except Exception:
+        fs.delete(place(fresh), True)
+        raise
+    fs.delete(place(old), True)
+    if fs.exists(place(path)):
+        fs.rename(place(path), place(old))
+    if not fs.rename(place(fresh), place(path)):
+        fs.rename(place(old), place(path))
+        raise OSError(f"could not move {fresh} to {path}")
+    fs.delete(place(old), True)
+
+
 def safe_overwrite(df: DataFrame, path: str) -> None:
     """Replaces a cleaned table; any path outside a ``/cleaned/`` folder is refused."""
     if "/cleaned/" not in path:
         raise ValueError(f"refusing to replace {path}: not below /cleaned/")
-    df.write.mode("overwrite").parquet(path)
+    replace_table(df, path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from carlake.session import new_path
 from carlake.sources import catalog, files, sinks
@@ -84,3 +85,27 @@ def test_members_are_read_one_by_one(spark, tmp_path):
 def test_no_archives_no_rows(spark, tmp_path):
     packed(tmp_path / "a.zip", {"skip.pdf": "no"})
     assert files.read_archive_members(spark, str(tmp_path / "*.zip")).count() == 0
+
+
+# --- replacing a table --------------------------------------------------------------------------
+
+
+def test_a_failed_write_leaves_the_old_table(spark):
+    path = new_path(spark, "lake") + "/cleaned/t"
+    sinks.safe_overwrite(spark.range(5), path)
+    bad = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("no"))).otherwise("x").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.safe_overwrite(bad, path)
+    assert spark.read.parquet(path).count() == 5
+    # a table may be made out of itself
+    sinks.safe_overwrite(spark.read.parquet(path).selectExpr("id + 1 as id"), path)
+    assert rows_of(spark.read.parquet(path)) == [(i,) for i in range(1, 6)]
+    parent = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    fs = parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert [f.getPath().getName() for f in fs.listStatus(parent)] == ["t"]
+    # a run that died between the renames
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs.rename(place(path), place(path + ".old"))
+    with pytest.raises(Exception, match="no"):
+        sinks.safe_overwrite(bad, path)
+    assert spark.read.parquet(path).count() == 5
