@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from carlake.functions.text import bind
@@ -39,6 +39,18 @@ def run_summary(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def summarize_step(df: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``run_summary`` of a table before and after a step, in one pass: rows are counted on their way into the step."""
+    seen = Observation()
+    final = step(df.observe(seen, F.count(F.lit(1)).alias("rows"))).agg(F.count("*")).first()[0]
+    initial = seen.get["rows"]
+    counts = df.sparkSession.range(1).select(F.lit(initial).cast("long").alias("a"), F.lit(final).cast("long").alias("b"))
+    return counts.select(
+        F.col("a").alias("initial_rows"), F.col("b").alias("final_rows"), (F.col("a") - F.col("b")).alias("removed_rows"),
+        F.round(F.try_divide(F.col("b") * 100, F.col("a")), 1).alias("retention_pct"),
+    )
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     return df.agg(
         F.count(col).alias("n"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carlake.functions import derived as D
@@ -48,6 +49,15 @@ def _(t):
     return A.run_summary(lines, lines.distinct())
 
 
+@query(
+    "A04_summarize_step",
+    """SELECT a AS initial_rows, b AS final_rows, a - b AS removed_rows, round(b * 100.0 / a, 1) AS retention_pct
+    FROM (SELECT count(*) AS a, count(DISTINCT (l_orderkey, l_linenumber)) AS b FROM lineitem)""",
+)
+def _(t):
+    return A.summarize_step(t("lineitem").select("l_orderkey", "l_linenumber"), DataFrame.distinct)
+
+
 @query(
     "A05_describe",
     """SELECT count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev(o_totalprice), 4) AS stddev,
