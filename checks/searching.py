@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from carlake.operators import search as Q
+from carlake.operators.textindex import candidates, write_index
+from carlake.session import new_path
 from checks.registry import query
 
 NEWS_AS_OF = datetime(2024, 1, 31)
@@ -29,6 +31,17 @@ def _(t):
     return hits.select(*COLS)
 
 
+@query(
+    "Q01_search_index",
+    SELECT + f"10 DAY AND {says('battery plant')} AND ({says('ford')} OR {says('honda')}) AND category = 'ev'" + NEWEST + "20",
+)
+def _(t):
+    path = new_path(t.spark, "articles")
+    write_index(t("articles"), path, ["title", "summary"], F.to_date("published_date"))
+    rows, _read = candidates(t.spark, path, all_of=["Battery plant"], any_of=["Ford", "Honda"])
+    return Q.search_news(rows, NEWS_AS_OF, "Battery plant", ["Ford", "Honda"], "EV", days=10).select(*COLS)
+
+
 @query("Q02_breaking", SELECT + "120 HOUR" + NEWEST + "10")
 def _(t):
     return Q.breaking(t("articles"), NEWS_AS_OF, hours=120).select(*COLS)
