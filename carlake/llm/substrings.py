@@ -1,19 +1,26 @@
 """Substring dedup: relative Lempel-Ziv parsing against reference blocks of all documents.
 
-A reference block is a window of WINDOW words; its reference is the smallest document it starts in. A
-document is parsed greedily from the left: a factor opens where the block at hand has a reference in a smaller
-document and grows by a word as long as the block that ends at its next word, checked across factor boundaries,
-has one too. Every factor is thus WINDOW words or longer, and the words of all factors are the duplicate ones.
+A reference block is a window of WINDOW words; its reference is the smallest document it starts in, and the place
+there. A document is parsed greedily from the left. At the cursor a factor opens with the window there that has a reference in a
+smaller document, and grows word by word while the window ending at the next word lies next in the same reference.
+Then the cursor moves to the factor's end: the last window that starts at it or crosses it, and has a reference, opens
+the next factor; else the next window behind it does. Every factor is thus WINDOW words or longer, has a reference
+document and a place in it, and the words of all factors are the duplicate ones.
+
+The hashes of windows only propose factors. Each factor is cut into pieces at every PIECE words of its reference, and the
+SHA-256 of a piece is held against that of the reference's own words. A text with a piece that differs (a collision of
+96 bits) is parsed anew without the windows of that reference that cover the piece.
 
 Only blocks that can repeat are indexed. Every window holds a run of ANCHOR words whose hash is least in it; equal
 windows have equal anchors, so a window whose anchor occurs in one text only has no copy. Anchors, about
 one in twenty words, are counted over all texts; blocks are indexed, by 96 bits of hash, only where an anchor is
-shared. Equal texts are one class with one indexed text; of a class's later documents every word is
-a duplicate, given WINDOW words. Texts move once, and only those that hold a shared anchor.
+shared, and written once for both passes over them. Equal texts are one class with one indexed text; of a class's later
+documents every word is a duplicate, given WINDOW words. Texts are fetched by key, only those that hold a shared anchor.
 
 Edge cases: a null text is an empty one; a text of fewer than WINDOW words loses nothing; rows may repeat, and rows
 of one doc_id never make each other duplicates; a row without doc_id loses nothing and is no reference; an
-empty table gives no rows; extra columns are carried along by `remove_repeats`.
+empty table gives no rows; extra columns are carried along by `remove_repeats`. A window that occurs at several places of
+its reference may name any of them.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from carlake.llm.common import WordHashes, sequence_hashes, sliding_min, whole_r
 
 WINDOW = 50
 ANCHOR = 10
+PIECE = 64  # words of a reference that are compared at once; it has at most PIECE^2 / 2 distinct pieces
 # odd multipliers of the polynomial hashes: two independent ones for blocks, one for anchors
 BLOCK_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 ANCHOR_BASE = 0xC2B2AE3D27D4EB4F
@@ -66,57 +74,152 @@ def blocks_of(text: str | None, shared: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at.astype(np.int32), first.view(np.int64), (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def spot_of(tag: int, place: np.ndarray) -> np.ndarray:
+    """Tag of a text and a place in it, as one number."""
+    return (np.int64(tag) << np.int64(32)) | place.astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             shared = batch.column("shared")[i].values.to_numpy()
             at, first, second = blocks_of(batch.column("text")[i].as_py(), shared)
             doc, tag = batch.column("doc_id")[i].as_py(), batch.column("tag")[i].as_py()
-            arrays = [pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), tag, np.int32))]
-            arrays += [pa.array(at), pa.array(first), pa.array(second)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tag", "place", "h1", "h2"])
-
+            arrays = [pa.array(np.full(len(at), doc, np.int64)), pa.array(spot_of(tag, at)), pa.array(first), pa.array(second)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "spot", "h1", "h2"])
+
+
+def factors(places: np.ndarray, references: np.ndarray, spots: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy parse: (start, end, reference, spot of the start in it) of the factors, in order.
+
+    The arguments are the windows that have a reference: place, reference document, and tag and place in it."""
+    order = np.argsort(places, kind="stable")
+    places, references, spots = places[order].astype(np.int64), references[order], spots[order]
+    goes_on = (np.diff(places) == 1) & (np.diff(spots) == 1) & (references[1:] == references[:-1])
+    ends = np.append(np.flatnonzero(~goes_on), len(places) - 1)  # last window of each run in one reference
+    found, at = [], 0
+    while at < len(places):
+        last = int(ends[np.searchsorted(ends, at)])
+        end = int(places[last]) + window
+        found.append((int(places[at]), end, int(references[at]), int(spots[at])))
+        crossing = int(np.searchsorted(places, end, side="right")) - 1
+        at = crossing if crossing > last else last + 1
+    return found
+
+
+def digest_of(words: list[bytes]) -> bytes:
+    return sha256(b" ".join(words)).digest()
+
+
+def pieces_of(words: list[bytes], found: list[tuple[int, int, int, int]]) -> list[tuple]:
+    """(place, n, reference, spot, digest) of the factors, cut at every PIECE words of the reference."""
+    pieces = []
+    for start, end, reference, spot in found:
+        place = spot & 0xFFFFFFFF
+        while start < end:
+            n = min(end - start, PIECE - place % PIECE)
+            pieces.append((start, n, reference, spot, digest_of(words[start : start + n])))
+            start, place, spot = start + n, place + n, spot + n
+    return pieces
+
+
+def left_over(words: list[bytes], found: list[tuple[int, int, int, int]]) -> list[bytes]:
+    """The words outside all factors."""
+    kept, at = [], 0
+    for start, end, *_ in found:
+        kept += words[at:start]
+        at = max(at, end)
+    return kept + words[at:]
 
-def factors(places: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy parse: spans [start, end) of the factors, from the places of blocks that have a reference.
 
-    A block that opens inside or right behind the last factor lengthens it; any other opens a new one."""
-    spans: list[tuple[int, int]] = []
-    places = np.sort(places)
-    if len(places):
-        breaks = np.flatnonzero(np.diff(places) > window) + 1
-        for run in np.split(places, breaks):
-            spans.append((int(run[0]), int(run[-1]) + window))
-    return spans
+PARSED = (
+    "key binary, doc_id long, tag int, n_removed long, kept binary, "
+    "factors array<struct<start: int, end: int, reference: bigint, spot: bigint>>, "
+    "pieces array<struct<place: int, n: int, reference: bigint, spot: bigint, digest: binary>>"
+)
+_FACTOR = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("reference", pa.int64()), ("spot", pa.int64())])
+_PIECE = pa.struct([("place", pa.int32()), ("n", pa.int32()), ("reference", pa.int64()), ("spot", pa.int64()), ("digest", pa.binary())])
 
 
-def parse(text: str | None, places: np.ndarray) -> tuple[list[bytes], int]:
-    """The words outside all factors, and the number of words in them."""
-    words = words_of(text)
-    kept, at = [], 0
-    for start, end in factors(places):
-        kept += words[at:start]
-        at = end
-    kept += words[at:]
-    return kept, len(words) - len(kept)
+def _rows_as(kind: pa.DataType, rows: list[list[tuple]]) -> pa.Array:
+    names = [f.name for f in kind]
+    return pa.array([[dict(zip(names, x)) for x in row] for row in rows], pa.list_(kind))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parses texts by their windows that have a reference, without those that `wrong` names."""
     for batch in batches:
-        removed, kept = [], []
+        removed, kept, spans, pieces = [], [], [], []
         for i in range(batch.num_rows):
-            words, n = parse(batch.column("text")[i].as_py(), batch.column("places")[i].values.to_numpy())
-            removed.append(n)
-            kept.append(b" ".join(words))
-        arrays = [batch.column("key"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_removed", "kept"])
+            words = words_of(batch.column("text")[i].as_py())
+            windows = batch.column("windows")[i].values
+            place, reference, spot = (windows.field(k).to_numpy() for k in range(3))
+            if "wrong" in batch.schema.names:
+                wrong = {(x["place"], x["spot"]) for x in batch.column("wrong")[i].as_py()}
+                good = np.array([x not in wrong for x in zip(place.tolist(), spot.tolist())], bool)
+                place, reference, spot = place[good], reference[good], spot[good]
+            found = factors(place, reference, spot)
+            rest = left_over(words, found)
+            removed.append(len(words) - len(rest))
+            kept.append(b" ".join(rest))
+            spans.append(found)
+            pieces.append(pieces_of(words, found))
+        arrays = [batch.column("key"), batch.column("doc_id"), batch.column("tag"), pa.array(removed, pa.int64())]
+        arrays += [pa.array(kept, pa.binary()), _rows_as(_FACTOR, spans), _rows_as(_PIECE, pieces)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "tag", "n_removed", "kept", "factors", "pieces"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pieces asked of each reference, those whose digest is not that of its words."""
+    for batch in batches:
+        wrong = []
+        for i in range(batch.num_rows):
+            words = words_of(batch.column("text")[i].as_py())
+            doc, asked = batch.column("doc_id")[i].as_py(), batch.column("asked")[i].as_py()
+            for piece in asked:
+                at = piece["spot"] & 0xFFFFFFFF
+                if digest_of(words[at : at + piece["n"]]) != piece["digest"]:
+                    wrong.append((doc, piece["spot"], piece["n"], piece["digest"]))
+        columns = list(zip(*wrong)) or [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["reference", "spot", "n", "digest"])
+
+
+def unlike_references(parsed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pieces of factors, as reference, spot, n and digest, that differ from their reference."""
+    pieces = parsed.select(F.explode("pieces").alias("p")).select("p.reference", "p.spot", "p.n", "p.digest").distinct()
+    # many documents may copy one text: the distinct pieces of it are bounded by its words, times PIECE / 2
+    asked = pieces.groupBy(F.col("reference").alias("doc_id"), F.shiftright("spot", 32).cast("int").alias("tag")).agg(
+        F.collect_list(F.struct("spot", "n", "digest")).alias("asked")
+    )
+    met = texts.select("doc_id", "tag", "text").join(asked, ["doc_id", "tag"])
+    return met.mapInArrow(_compare, "reference long, spot long, n int, digest binary")
+
+
+def _settled(parsed: DataFrame, texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """The parses, all of whose pieces equal their references."""
+    faults = None
+    while True:
+        unlike = written(unlike_references(parsed, texts), "unlike_references")
+        if unlike.isEmpty():
+            return parsed
+        pieces = parsed.select("doc_id", "tag", F.explode("pieces").alias("p")).select("doc_id", "tag", "p.*")
+        # the windows of the same reference that cover a word of such a piece
+        steps = F.explode(F.sequence(F.lit(1 - WINDOW), F.col("n") - 1)).alias("k")
+        at_fault = pieces.join(unlike, ["reference", "spot", "n", "digest"]).select("doc_id", "tag", "place", "spot", steps)
+        at_fault = at_fault.select("doc_id", "tag", (F.col("place") + F.col("k")).alias("place"), (F.col("spot") + F.col("k")).alias("spot"))
+        faults = written((at_fault if faults is None else faults.union(at_fault)).distinct(), "faults")
+        wrong = faults.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "spot")).alias("wrong"))
+        again = texts.select("doc_id", "tag", "key", "text").join(windows, ["doc_id", "tag"]).join(wrong, ["doc_id", "tag"])
+        rest = parsed.join(wrong.select("doc_id", "tag"), ["doc_id", "tag"], "left_anti").select(*parsed.columns)
+        parsed = written(rest.union(again.mapInArrow(_parse, PARSED)), "parsed")
 
 
 def duplicate_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(survey, classes, cut): what each document holds, the first document of each text, the parsed texts.
+    """(survey, classes, parsed): what each document holds, the first document of each text, the parsed texts.
 
-    survey: doc_id, key, n_words, all_sha256, anchors; classes: class_key, first_id; cut: key, n_removed, kept,
-    for the texts of `classes` that lose words."""
+    survey: doc_id, key, n_words, all_sha256, anchors; classes: class_key, first_id; parsed: key, doc_id, tag, n_removed,
+    kept, factors and pieces, for the texts of `classes` that lose words."""
     survey_of = F.pandas_udf(_survey, "n_words long, all_sha256 string, anchors array<long>")
     seen = documents.select("doc_id", text_key(F.col("text")).alias("key"), survey_of("text").alias("s"))
     survey = written(seen.select("doc_id", "key", "s.*"), "survey")
@@ -132,23 +235,38 @@ def duplicate_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     wanted = met.groupBy("key", "doc_id").agg(F.collect_set("anchor").alias("shared"))
     texts = documents.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     first = texts.join(wanted, ["key", "doc_id"]).select("key", "doc_id", "text", "shared")
-    first = written(first.dropDuplicates(["key", "doc_id"]), "texts_to_parse")
     # the tag tells texts of one doc_id apart, at a quarter of the key's size
-    first = first.withColumn("tag", F.hash("key"))
-    blocks = first.select("doc_id", "tag", "text", "shared").mapInArrow(_blocks, "doc_id long, tag int, place int, h1 long, h2 int")
-    least = blocks.groupBy("h1", "h2").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("last"))
-    least = written(least.where(F.col("reference") < F.col("last")).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "reference"), "references")
+    first = written(first.dropDuplicates(["key", "doc_id"]).withColumn("tag", F.hash("key")), "texts_to_parse")
+    made = first.select("doc_id", "tag", "text", "shared").mapInArrow(_blocks, "doc_id long, spot long, h1 long, h2 int")
+    blocks = written(made, "blocks")
+    least = blocks.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("reference"), F.max("doc_id").alias("last"), F.min_by("spot", "doc_id").alias("there")
+    )
+    least = least.where(F.col("reference") < F.col("last")).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "reference", "there")
+    least = written(least, "references")
     later = blocks.join(least, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("doc_id") > F.col("reference")))
-    places = later.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))  # bounded by the words of a text
-    parsed = first.select("doc_id", "tag", "key", "text").join(places, ["doc_id", "tag"]).select("key", "text", "places")
-    cut = parsed.mapInArrow(_cut, "key binary, n_removed long, kept binary")
-    return survey, classes, cut
+    window = F.struct(F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), "reference", "there")
+    windows = later.groupBy("doc_id", F.shiftright("spot", 32).cast("int").alias("tag"))
+    windows = written(windows.agg(F.collect_list(window).alias("windows")), "windows")  # bounded by the words of a text
+    parsed = first.select("doc_id", "tag", "key", "text").join(windows, ["doc_id", "tag"]).mapInArrow(_parse, PARSED)
+    return survey, classes, _settled(written(parsed, "parsed"), first, windows)
+
+
+def duplicate_factors(documents: DataFrame) -> DataFrame:
+    """The factors of each parsed text: doc_id, start and n_words there, reference document and start in it.
+
+    A document whose whole text equals that of a smaller one has no rows here; `repeat_digest` counts it."""
+    parsed = duplicate_spans(documents)[2].select("doc_id", F.explode("factors").alias("f"))
+    place = F.col("f.spot").bitwiseAND(0xFFFFFFFF).cast("int")
+    return parsed.select(
+        "doc_id", "f.start", (F.col("f.end") - F.col("f.start")).alias("n_words"), F.col("f.reference").alias("reference"), place.alias("reference_start")
+    )
 
 
 def repeat_digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    survey, classes, cut = duplicate_spans(documents)
-    found = cut.select(F.col("key").alias("cut_key"), F.col("n_removed").alias("cut_words"), F.sha2("kept", 256).alias("cut_sha256"))
+    survey, classes, parsed = duplicate_spans(documents)
+    found = parsed.select(F.col("key").alias("cut_key"), F.col("n_removed").alias("cut_words"), F.sha2("kept", 256).alias("cut_sha256"))
     per_class = classes.join(found, F.col("class_key") == F.col("cut_key"), "left").drop("cut_key")
     per_class = written(per_class, "class_cuts")
     rows = survey.select("doc_id", "key", "n_words", "all_sha256").join(per_class, F.col("key") == F.col("class_key"), "left")
@@ -169,8 +287,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """The documents without their duplicate words: changed texts are the kept words joined by one space.
 
     n_chars, where there is one, follows the text; all other columns and unchanged texts stay as they are."""
-    survey, classes, cut = duplicate_spans(documents.select("doc_id", "text"))
-    lost = written(cut.select(F.col("key").alias("cut_key"), F.col("kept").cast("string").alias("kept")), "cut_texts")
+    survey, classes, parsed = duplicate_spans(documents.select("doc_id", "text"))
+    lost = parsed.select(F.col("key").alias("cut_key"), F.col("kept").cast("string").alias("kept"))
     long_texts = survey.where(F.col("n_words") >= WINDOW).select("key").distinct()
     copies = classes.join(long_texts, F.col("class_key") == F.col("key"), "left").withColumn("is_long", F.col("key").isNotNull())
     changes = copies.drop("key").join(lost, F.col("class_key") == F.col("cut_key"), "left").drop("cut_key")
