@@ -79,6 +79,17 @@ def test_cascade_order_is_by_rejections_per_second():
     assert order[:2] == ["one_word", "symbols"] and set(order) == set(quality.RULES)
 
 
+def test_rules_are_measured_behind_the_base(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good), (2, good + " ###" * 90), (None, "too short ####"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hits = {name: n for name, _, n in quality.measure(df, sample_rows=10)}
+    # the repeated symbols make the second text fail the base already: no rule is credited with it
+    assert set(hits) == set(quality.RULES) and sum(hits.values()) == 0
+    spread = good + " " + " ".join("#" * 3 + str(i) for i in range(90))
+    assert {n: h for n, _, h in quality.measure(df.union(spark.createDataFrame([(5, spread)], df.schema)), sample_rows=10)}["symbols"] == 1
+
+
 def test_verdict_does_not_depend_on_the_order(documents):
     names = list(quality.RULES)
     verdicts = [got(documents.select("doc_id", quality.cascade(F.col("text"), o)["kept"])) for o in (names, names[::-1])]
@@ -216,6 +227,52 @@ def test_one_id_for_two_texts(spark):
     assert got(substrings.repeat_digest(df)) == brute.repeat_rows(rows)
 
 
+def test_greedy_factors_cross_their_boundaries():
+    places = np.array([0, 1, 2, 3, 4, 30, 31, 60, 140])
+    references = np.array([7, 7, 7, 5, 5, 5, 5, 5, 5])
+    spots = np.array([10, 11, 12, 90, 91, 117, 200, 300, 20])
+    # the first factor ends at word 52; of the windows that cross that end the last opens the next factor
+    want = [(0, 52, 7, 10), (31, 81, 5, 200), (60, 110, 5, 300), (140, 190, 5, 20)]
+    assert substrings.factors(places, references, spots) == want
+    words = [b"%d" % i for i in range(200)]
+    assert substrings.left_over(words, want) == words[110:140] + words[190:]
+    pieces = substrings.pieces_of(words, want)
+    assert [p[:4] for p in pieces[:2]] == [(0, 52, 7, 10), (31, 50, 5, 200)] and pieces[1][4] == substrings.digest_of(words[31:81])
+    assert [(p[0], p[1], p[3]) for p in pieces[2:]] == [(60, 20, 300), (80, 30, 320), (140, 44, 20), (184, 6, 64)]
+    assert substrings.factors(places[:0], references[:0], spots[:0]) == []
+
+
+def test_factors_name_their_reference(spark):
+    rng = random.Random(8)
+    a, b, c = some_words(rng, 300), some_words(rng, 90), some_words(rng, 40)
+    texts = {4: a, 6: c + b + c, 8: c + a[100:260] + b[10:75] + c, 9: b[:49], 12: a[:60] + a[:60]}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    found = substrings.duplicate_factors(df).collect()
+    for f in found:
+        own, there = texts[f.doc_id], texts[f.reference]
+        assert f.reference < f.doc_id and f.n_words >= substrings.WINDOW
+        assert own[f.start : f.start + f.n_words] == there[f.reference_start : f.reference_start + f.n_words]
+    spans = sorted((f.doc_id, f.start, f.n_words, f.reference, f.reference_start) for f in found)
+    assert spans == [(8, 40, 160, 4, 100), (8, 200, 65, 6, 50), (12, 0, 60, 4, 0), (12, 60, 60, 4, 0)]
+    assert got(substrings.repeat_digest(df)) == brute.repeat_rows([(d, " ".join(w)) for d, w in texts.items()])
+
+
+def test_pieces_that_differ_from_their_reference_are_no_factors(spark):
+    rng = random.Random(9)
+    a, b = some_words(rng, 120), some_words(rng, 70)
+    texts = spark.createDataFrame(
+        [(1, 0, b"k1", " ".join(a)), (2, 0, b"k2", " ".join(a[:60] + b)), (3, 0, b"k3", " ".join(a))], "doc_id long, tag int, key binary, text string"
+    )
+    # windows as colliding hashes would give them: of document 2 every piece has words that document 1 lacks there
+    claims = [(d, 0, [(p, 1, p) for p in range(n)]) for d, n in ((2, 81), (3, 71))]
+    windows = spark.createDataFrame(claims, "doc_id long, tag int, windows array<struct<place: int, reference: bigint, there: bigint>>")
+    parsed = texts.select("doc_id", "tag", "key", "text").join(windows, ["doc_id", "tag"]).mapInArrow(substrings._parse, substrings.PARSED)
+    assert sorted((u.reference, u.spot, u.n) for u in substrings.unlike_references(parsed, texts).collect()) == [(1, 0, 64), (1, 64, 64), (1, 128, 2)]
+    settled = {r.doc_id: r for r in substrings._settled(parsed, texts, windows).collect()}
+    assert settled[3].n_removed == 120 and settled[2].n_removed == 0
+    assert substrings.unlike_references(substrings._settled(parsed, texts, windows), texts).isEmpty()
+
+
 # --- language ---------------------------------------------------------------------------------
 
 
