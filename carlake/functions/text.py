@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from itertools import chain
 
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from carlake.session import spread
 # Regular expressions see Unicode letters, digits and spaces, and only \n ends a line.
 UNICODE = "(?U)"
 UNICODE_ANY_CASE = "(?iU)"
+WORD = r"[^\x20\x09-\x0D]+"  # maximal runs without ASCII blanks
 
 
 def has_any(low: Column, words: Sequence[str]) -> Column:
@@ -98,13 +99,21 @@ def with_sentiment(
     )
 
 
+def word_bucket(word: Column, dim: int) -> Column:
+    """The number below dim that a word falls on: the first eight hexadecimal digits of its MD5, modulo dim."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dim
+
+
 def embed_text(df: DataFrame, text: str, dim: int = 768, out: str = "embedding", parts: int | None = None) -> DataFrame:
-    """A unit-length hashed bag of words per row; it stands in for a trained encoder."""
-    df = spread(df, parts).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    df = Tokenizer(inputCol="_text", outputCol="_words").transform(df)
-    df = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(df)
+    """A unit-length hashed bag of lower-cased words per row; it stands in for a trained encoder.
+
+    Any engine with MD5 gives the same vector. A text without words, or NULL, is the zero vector."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
+    buckets = F.transform(words, lambda w: word_bucket(w, dim).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_buckets", outputCol="_tf")
+    df = counter.transform(spread(df, parts).withColumn("_buckets", buckets))
     df = Normalizer(inputCol="_tf", outputCol="_unit").transform(df)
-    return df.withColumn(out, vector_to_array("_unit", "float32")).drop("_text", "_words", "_tf", "_unit")
+    return df.withColumn(out, vector_to_array("_unit", "float32")).drop("_buckets", "_tf", "_unit")
 
 
 # --- news --------------------------------------------------------------------

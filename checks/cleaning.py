@@ -137,7 +137,7 @@ def _(t):
 
 
 @query(
-    "P15_norm_label",
+    "P15_label_and_class",
     """SELECT BODY_STYLE AS raw_style, VEHICLE_CLASS AS raw_class, upper(trim(regexp_replace(BODY_STYLE, '[^a-zA-Z0-9\\s]', '_', 'g'))) AS body_style,
     upper(trim(VEHICLE_CLASS)) AS vehicle_class FROM {ratings_raw}""",
 )

@@ -342,7 +342,7 @@ SELECT sha256(CMPLID) AS complaint_id, CMPLID AS nhtsa_complaint_id, {S.key('mak
   year, {S.date8('FAILDATE')} AS fail_date, {S.date8('DATEA')} AS date_added, {S.clamp('MILES', 0, 500000)} AS mileage,
   {S.clamp('VEH_SPEED', 0, 200)} AS vehicle_speed, COMPDESC AS component_description, cr AS crash_flag, fr AS fire_flag,
   inj AS injured, dead AS deaths, coalesce(cr OR fr OR inj > 0 OR dead > 0, false) AS has_incident,
-  {S.severity('dead', 'inj', 'cr', 'fr')} AS severity_level, body AS complaint_description, score AS sentiment_score,
+  {S.severity('dead', 'inj', 'cr', 'fr')} AS severity_level, body AS complaint_description, {T.embedding_sql('body')} AS complaint_embedding, score AS sentiment_score,
   {T.LABEL} AS sentiment_label, {T.CONFIDENCE} AS sentiment_confidence,
   CASE WHEN score < -0.5 THEN 'VERY_NEGATIVE' WHEN score < -0.2 THEN 'NEGATIVE' WHEN score < 0.2 THEN 'NEUTRAL'
     WHEN score < 0.5 THEN 'POSITIVE' WHEN score >= 0.5 THEN 'VERY_POSITIVE' END AS sentiment_category,
@@ -356,7 +356,8 @@ FROM scored"""
 
 @query("P18_complaint_facts", COMPLAINT_FACTS)
 def _(t):
-    return facts.clean_complaints(t("complaints_raw"), AS_OF, embedding_dim=None)
+    made = facts.clean_complaints(t("complaints_raw"), AS_OF, embedding_dim=T.EMBEDDING_DIM)
+    return made.withColumn("complaint_embedding", T.embedding_digest("complaint_embedding"))
 
 
 # --- reshape --------------------------------------------------------------------------------

@@ -99,11 +99,27 @@ def _(t):
     )
 
 
-@query("T04_embed_text", "SELECT doc_id, 768 AS dim, 1.0::DOUBLE AS norm FROM documents")
+EMBEDDING_DIM = 768
+
+
+def embedding_sql(text: str, dim: int = EMBEDDING_DIM) -> str:
+    """Digest of the content: each non-zero place with its value in millionths, in order, as text."""
+    bucket = "CAST('0x' || left(md5(w), 8) AS BIGINT)"
+    return f"""(SELECT coalesce(string_agg(b || ':' || CAST(floor(CAST(CAST(c / sqrt(q) AS FLOAT) AS DOUBLE) * 1e6) AS BIGINT), ',' ORDER BY b), '')
+    FROM (SELECT b, c, sum(c * c) OVER () AS q FROM (SELECT {bucket} % {dim} AS b, CAST(count(*) AS DOUBLE) AS c
+      FROM (SELECT unnest(regexp_extract_all(lower({text}), '[^\\x20\\x09-\\x0D]+')) AS w) GROUP BY b)))"""
+
+
+def embedding_digest(embedding):
+    """The same of an embedding."""
+    kept = F.filter(F.transform(embedding, lambda x, i: F.struct(i.alias("b"), x.alias("x"))), lambda p: p["x"] != 0)
+    return F.array_join(F.transform(kept, lambda p: F.concat_ws(":", p["b"], F.floor(p["x"].cast("double") * 1e6))), ",")
+
+
+@query("T04_embed_text", f"SELECT doc_id, {EMBEDDING_DIM} AS dim, md5(content) AS content FROM (SELECT doc_id, {embedding_sql('text')} AS content FROM documents)")
 def _(t):
-    df = T.embed_text(t("documents").select("doc_id", "text"), "text", 768, parts=t.parts)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return df.select("doc_id", F.size("embedding").alias("dim"), F.round(F.sqrt(squares), 4).alias("norm"))
+    df = T.embed_text(t("documents").select("doc_id", "text"), "text", EMBEDDING_DIM, parts=t.parts)
+    return df.select("doc_id", F.size("embedding").alias("dim"), F.md5(embedding_digest("embedding")).alias("content"))
 
 
 # --- news ---------------------------------------------------------------------------------
