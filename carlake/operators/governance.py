@@ -110,13 +110,8 @@ def screen_sql(df: DataFrame, sql: str) -> DataFrame:
     df = df.select("*", F.upper("clean_sql").alias("_upper"))
     up = F.col("_upper")
     no_where = ~up.rlike(r"\bWHERE\b")
-    findings = [
-        (up.rlike(r"\bDROP\s+TABLE\b"), "DROP TABLE"),
-        (up.rlike(r"\bTRUNCATE\b"), "TRUNCATE"),
-        (up.rlike(r"\b(ALTER|CREATE)\s+(TABLE|DATABASE|SCHEMA)\b"), "SCHEMA CHANGE"),
-        (up.rlike(r"\bDELETE\s+FROM\b") & no_where, "DELETE WITHOUT WHERE"),
-        (up.rlike(r"\bUPDATE\b") & no_where, "UPDATE WITHOUT WHERE"),
-    ]
+    findings = [(up.rlike(pattern), name) for pattern, name in rules.DANGEROUS_SQL]
+    findings += [(up.rlike(pattern) & no_where, name) for pattern, name in rules.DANGEROUS_WITHOUT_WHERE]
     found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in findings]))
     return df.select("*", found.alias("findings")).drop("_upper")
 
@@ -127,19 +122,16 @@ def advise_sql(df: DataFrame, sql: str) -> DataFrame:
     up = F.col("_upper")
     advice = [
         (up.contains("SELECT") & ~up.contains("LIMIT") & ~up.contains("COUNT(*)"), "NO LIMIT"),
-        (up.rlike(r"\bSELECT\s+\*"), "SELECT *"),
-        (up.contains("WHERE") & up.rlike(r"LIKE\s+'%"), "LEADING WILDCARD"),
+        (up.rlike(rules.STAR_SQL), "SELECT *"),
+        (up.contains("WHERE") & up.rlike(rules.LEADING_WILDCARD), "LEADING WILDCARD"),
     ]
     found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in advice]))
     return df.select("*", found.alias("advice")).drop("_upper")
 
 
-TABLE_REFERENCE = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){0,2})"
-
-
 def sql_tables(df: DataFrame, sql: str) -> DataFrame:
     """Adds the distinct tables named after FROM or JOIN: upper case, the last two name parts."""
-    found = F.regexp_extract_all(clean_sql(F.col(sql)), F.lit(TABLE_REFERENCE), F.lit(1))
+    found = F.regexp_extract_all(clean_sql(F.col(sql)), F.lit(rules.TABLE_REFERENCE), F.lit(1))
     last_two = F.transform(found, lambda t: F.substring_index(F.upper(t), ".", -2))
     return df.select("*", F.array_sort(F.array_distinct(last_two)).alias("tables"))
 

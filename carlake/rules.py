@@ -337,3 +337,19 @@ def lexicon() -> dict[str, int]:
 
 # fixed values: statements with one of these get no limit of their own
 UNLIMITED_SQL = ["LIMIT", "COUNT(", "SUM(", "AVG(", "MAX(", "MIN(", "GROUP BY"]
+
+# fixed values: what the screen of statements finds, as (pattern over upper-cased text, name)
+DANGEROUS_SQL = [
+    (r"\bDROP\s+TABLE\b", "DROP TABLE"),
+    (r"\bTRUNCATE\b", "TRUNCATE"),
+    (r"\b(ALTER|CREATE)\s+(TABLE|DATABASE|SCHEMA)\b", "SCHEMA CHANGE"),
+]
+# fixed values: the same, where the statement has no WHERE
+DANGEROUS_WITHOUT_WHERE = [
+    (r"\bDELETE\s+FROM\b", "DELETE WITHOUT WHERE"),
+    (r"\bUPDATE\b", "UPDATE WITHOUT WHERE"),
+]
+# fixed values: patterns of star columns, of a wildcard that leads, and of a table after FROM or JOIN
+STAR_SQL = r"\bSELECT\s+\*"
+LEADING_WILDCARD = r"LIKE\s+'%"
+TABLE_REFERENCE = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){0,2})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from carlake import rules
 from carlake.operators import governance as G
 from carlake.operators import profiling as M
 from carlake.operators import vectors as V
@@ -129,7 +130,7 @@ def _(t):
 @query(
     "G06_sql_tables",
     f"""SELECT audit_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({CLEAN},
-    {text(G.TABLE_REFERENCE)}, 1), lambda x: regexp_replace(upper(x), '^[^.]*\\.([^.]*\\.[^.]*)$', '\\1')))), '|') AS tables
+    {text(rules.TABLE_REFERENCE)}, 1), lambda x: regexp_replace(upper(x), '^[^.]*\\.([^.]*\\.[^.]*)$', '\\1')))), '|') AS tables
     FROM {{sql_log}}""",
 )
 def _(t):
