@@ -347,7 +347,7 @@ def keep_items(items: Column, patterns: Sequence[str] = rules.OUTSIDE_KNOWLEDGE)
     return F.transform(clean, lambda i: F.concat(F.array_join(i, ". "), F.lit(".")))
 
 
-# --- default analysis records -------------------------------------------------------
+# --- default analysis records (fixed values) -----------------------------------------
 
 
 def _empty() -> Column:
