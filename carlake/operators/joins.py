@@ -60,7 +60,9 @@ def join_vehicle(
     No side is hinted: adaptive execution broadcasts what it has measured to be small and splits skewed
     partitions. Else both sides shuffle; with ``salts`` > 1
     each key is spread over that many buckets: rows of ``a`` take one bucket each, rows of ``b`` are
-    repeated in all of them. Right for inner and left joins, where every row of ``a`` meets its key once."""
+    repeated in all of them. Right for inner and left joins, where every row of ``a`` meets its key once.
+    A salted join asks for the merge: the planner takes the repeated side for as small as it was before it was repeated
+    and would broadcast it through the driver."""
     on = [on] if isinstance(on, str) else list(on)
     if salts <= 1:
         return a.join(b, on, how)
@@ -68,7 +70,7 @@ def join_vehicle(
         raise ValueError("salted joins are inner or left")
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in a.columns]), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    joined = a.withColumn("_salt", spread).join(b.withColumn("_salt", copies), [*on, "_salt"], how)
+    joined = a.withColumn("_salt", spread).join(b.withColumn("_salt", copies).hint("merge"), [*on, "_salt"], how)
     return joined.drop("_salt")
 
 

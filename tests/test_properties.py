@@ -99,6 +99,15 @@ def test_salted_join_equals_the_plain_one(spark, how):
     assert sorted(str(tuple(r)) for r in J.join_vehicle(a, b, "k", how, salts=5).collect()) == plain
 
 
+def test_a_salted_side_is_not_broadcast(spark):
+    """The planner does not see that a side was repeated, so it would send all copies through the driver."""
+    a, b = spark.range(200).selectExpr("id % 17 AS k", "id AS v"), spark.range(10).selectExpr("id AS k")
+    joined = J.join_vehicle(a, b, "k", salts=5)
+    assert joined.count() == 120
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_no_side_is_hinted(spark):
     """An exploded side looks small to the planner and is not; only measured sizes may decide."""
     few = spark.range(1000).selectExpr("id", "explode(sequence(0, 99)) AS v").selectExpr("id * 100 + v AS id")
