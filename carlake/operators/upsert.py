@@ -132,6 +132,16 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
     return max(versions, default=None)
 
 
+def drop_snapshots(spark: SparkSession, root: str, before: int) -> None:
+    """Removes the versions below ``before``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(place):
+        name = entry.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < before:
+            fs.delete(entry.getPath(), True)
+
+
 def read_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
     """The newest state of a table: of its whole snapshots, or of a bucketed one (``merge_table``)."""
     if exists(spark, f"{root}/manifest"):

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from time import time
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from carlake.operators.merge_table import MergeTable
-from carlake.operators.upsert import ARTICLE_FROZEN, exists, latest_version
+from carlake.operators.upsert import ARTICLE_FROZEN, drop_snapshots, exists, latest_version, snapshot_path
 from carlake.plans.news import tag_articles, tag_events
 from carlake.schemas import ARTICLE_DDL, EVENT_DDL, RAW_ARTICLE_DDL, RAW_EVENT_DDL
 
@@ -39,7 +37,6 @@ ARTICLES = Kind(RAW_ARTICLE_DDL, ARTICLE_DDL, tag_articles, ["url"], ARTICLE_FRO
 EVENTS = Kind(RAW_EVENT_DDL, EVENT_DDL, tag_events, ["title", "date_start"], [], True, "title")
 
 FILE = ["_file_time", "_file_path", "_file_block"]
-ROW = "_file_row"
 
 
 def _with_file(df: DataFrame) -> DataFrame:
@@ -49,68 +46,56 @@ def _with_file(df: DataFrame) -> DataFrame:
 
 def _in_file_order(batch: DataFrame) -> DataFrame:
     """A row order that a rerun of the batch repeats: file time, file name, then place in the file."""
-    row = F.col(ROW) if ROW in batch.columns else F.monotonically_increasing_id()
-    return batch.withColumn(SEQUENCE, F.struct(*FILE, row.alias(ROW))).drop(*FILE, ROW)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a count of the rows in the order the task reads them, which numbers each block of a file."""
-    seen = 0
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(range(seen, seen + batch.num_rows), pa.int64())], names=[*batch.schema.names, ROW]
-        )
-        seen += batch.num_rows
-
-
-DIGEST, ARRIVED, ARRIVED_MS = "_digest", "_arrived", "_arrived_ms"
-
-
-def changed_only(remember_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Passes the rows of a record's batch on unless the last of them says what was last passed on.
-
-    Of a batch only its first and its last row matter to the merge, so a record with very many rows needs no more
-    memory than one. The state is the digest of the last row."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ends = None
-        for frame in frames:
-            frame = frame if ends is None else pd.concat([ends, frame])
-            if len(frame) > 1:
-                frame = frame.sort_values([*FILE, ROW], kind="stable").iloc[[0, -1]]
-            ends = frame
-        if ends is None or not len(ends):
-            return
-        digest = int(ends[DIGEST].iloc[-1])
-        known = state.getOption if state.exists else None
-        state.update((digest,))
-        state.setTimeoutTimestamp(int(ends[ARRIVED_MS].iloc[-1]) + remember_ms)
-        if known is None or known[0] != digest:
-            yield ends.drop(columns=[DIGEST, ARRIVED, ARRIVED_MS])
-
-    return run
-
-
-def without_repeats(lines: DataFrame, kind: Kind, days: int) -> DataFrame:
-    """The stream without deliveries that repeat what was last passed on for the same url (or title).
-
-    A state store keeps one number for each record and forgets it when the record has not come for some ``days`` days; a
-    repeat that comes later passes, and the merge makes nothing new of it. The watermark runs by the time of the batch, not
-    by that of the files or articles, so no row is ever late by it and a file from long ago is merged like any
-    other. Records that come back in an earlier wording count as changed. Rows whose url (or title) is NULL pass by."""
-    landed = StructType.fromDDL(kind.landed)
-    numbered = lines.mapInArrow(_counted, StructType([*lines.schema.fields]).add(ROW, LongType()))
-    out = StructType([*numbered.schema.fields])
-    now = F.current_timestamp()
-    digested = numbered.withColumns({DIGEST: F.xxhash64(*landed.names), ARRIVED: now, ARRIVED_MS: F.unix_millis(now)})
-    digested = digested.withWatermark(ARRIVED, "1 minute")
-    named = digested.where(F.col(kind.record).isNotNull()).groupBy(kind.record)
-    run = changed_only(days * 86_400_000)
-    passed = named.applyInPandasWithState(run, out, "digest long", "append", GroupStateTimeout.EventTimeTimeout)
-    return passed.unionByName(numbered.where(F.col(kind.record).isNull()))
+    return batch.withColumn(SEQUENCE, F.struct(*FILE, F.monotonically_increasing_id().alias("_file_row"))).drop(*FILE)
+
+
+DAY_MS = 86_400_000
+DIGESTS = "record string, digest long, came long"
+
+
+def without_repeats(rows: DataFrame, kind: Kind, root: str, batch_id: int, days: int, now_ms: int | None = None) -> DataFrame:
+    """The rows of a batch without deliveries that repeat what was last passed on for the same url (or title).
+
+    ``root`` holds a table of one digest for each record and the time it last came. The batch and that table meet in one
+    aggregation, which keeps a record's first and last row, as only these matter to the merge; so a record with very many
+    rows leaves each task as one. It is written once, as the version of this batch: the digests for the batch after
+    it, and beside them the rows that pass. Batch n reads version n, so a replayed batch passes the same rows; where that
+    version is missing (the batch before ran without this), all rows pass.
+
+    A record is forgotten when it has not come for ``days`` days by the time of the batches, not by that of the files or
+    articles, so no row is ever late. A repeat that comes later passes, and the merge makes nothing new of it.
+    Records that come back in an earlier wording count as changed. Rows whose url (or title) is NULL pass by."""
+    spark = rows.sparkSession
+    now_ms = int(time() * 1000) if now_ms is None else now_ms
+    landed = StructType.fromDDL(kind.landed).names
+    record = F.col(kind.record)
+    row = F.struct(*landed, SEQUENCE)
+    row_type = rows.select(row.alias("row")).schema["row"].dataType
+    # a row without a record is a group of its own
+    alone = F.when(record.isNull(), F.monotonically_increasing_id())
+    both = rows.select(
+        record.alias("record"), alone.alias("_apart"), F.xxhash64(*landed).alias("digest"), F.lit(now_ms).alias("came"), row.alias("_row")
+    )
+    if exists(spark, f"{snapshot_path(root, batch_id)}/_SUCCESS"):
+        known = spark.read.schema(DIGESTS).parquet(snapshot_path(root, batch_id))
+        known = known.where(F.col("record").isNotNull() & (F.col("came") >= now_ms - days * DAY_MS))
+        none = [F.lit(None).cast("long").alias("_apart"), F.lit(None).cast(row_type).alias("_row")]
+        both = both.unionByName(known.select("record", "digest", "came", *none))
+    fresh, order = F.col("_row").isNotNull(), F.col("_row")[SEQUENCE]
+    met = both.groupBy("record", "_apart").agg(
+        F.max(F.when(~fresh, F.col("digest"))).alias("known"),
+        F.max("came").alias("came"),
+        F.max_by(F.struct("digest", "_row"), order).alias("last"),
+        F.min_by("_row", order).alias("first"),
+    )
+    last = F.col("last")["_row"]
+    ends = F.when(F.col("first")[SEQUENCE] == last[SEQUENCE], F.array(last)).otherwise(F.array("first", last))
+    changed = F.col("last").isNotNull() & ~F.col("known").eqNullSafe(F.col("last")["digest"])
+    digest = F.coalesce(F.col("last")["digest"], "known")
+    written = snapshot_path(root, batch_id + 1)
+    met.select("record", digest.alias("digest"), "came", F.when(changed, ends).alias("passed")).write.mode("overwrite").parquet(written)
+    drop_snapshots(spark, root, before=batch_id)
+    return spark.read.schema(StructType().add("passed", ArrayType(row_type))).parquet(written).select(F.inline("passed"))
 
 
 def run_feed(
@@ -131,7 +116,7 @@ def run_feed(
     (such a file is read by one task). ``target`` is a bucketed table (``merge_table``), read by ``read_snapshot``: a batch
     rewrites only the buckets that hold its records. Batch n always reads the version before n+1 and writes version
     n+1, so a replayed batch gives the same table. With ``remember_days`` repeated deliveries are dropped before
-    they are tagged (``without_repeats``); keep to it for the life of a checkpoint, as state belongs to the query.
+    they are tagged (``without_repeats``), by digests that lie beside the checkpoint.
     Files that are older than the newest one by ``max_file_age`` are the only ones ever skipped (Spark's default is a week).
     One feed writes to one target; there is no lock for a second one. A target that holds versions goes with
     the checkpoint that wrote them: a new checkpoint would number its batches from the start and is refused."""
@@ -141,7 +126,10 @@ def run_feed(
     batches: set[int] = set()
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        tagged = kind.tag(_in_file_order(batch), as_of, keep=[SEQUENCE])
+        rows = _in_file_order(batch)
+        if remember_days is not None:
+            rows = without_repeats(rows, kind, f"{checkpoint}/digests", batch_id, remember_days)
+        tagged = kind.tag(rows, as_of, keep=[SEQUENCE])
         table.merge(tagged, SEQUENCE, version=batch_id + 1)
         batches.add(batch_id)
 
@@ -152,9 +140,8 @@ def run_feed(
         .option("maxFileAge", max_file_age)
         .json(landing)
     )
-    placed = _with_file(lines)
     query = (
-        (placed if remember_days is None else without_repeats(placed, kind, remember_days))
+        _with_file(lines)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(merge)

@@ -11,8 +11,9 @@ from pyspark.sql.types import StructType
 
 from carlake.operators import merge_table as M
 from carlake.operators.upsert import match_keys, read_snapshot
+from carlake.schemas import RAW_EVENT_DDL
 from carlake.session import new_path
-from carlake.streaming.feed import EVENTS, run_feed
+from carlake.streaming.feed import EVENTS, SEQUENCE, run_feed, without_repeats
 
 DDL = "a string, b int, kept string, value string"
 SCHEMA = StructType().add("a", "string").add("b", "integer").add("kept", "string").add("value", "string")
@@ -181,3 +182,24 @@ def test_repeated_events(spark, feed):
     for name in ("a.json", "b.json", "c.json"):
         rows = feed(name, blurb, kind=EVENTS)
     assert [(r.title, str(r.date_start)) for r in rows.collect()] == [("Chicago auto show", "2025-02-06")]
+
+
+def test_digests_are_kept_by_batch_and_forgotten_by_time(spark, tmp_path):
+    """Batches as tables: no state store and no Python a record; a replay passes the same rows."""
+    root, day = str(tmp_path / "digests"), 86_400_000
+
+    def passed(batch_id, now, *rows):
+        numbered = [(*r, (k,)) for k, r in enumerate(rows)]
+        df = spark.createDataFrame(numbered, f"{RAW_EVENT_DDL}, {SEQUENCE} struct<k: int>")
+        kept = without_repeats(df, EVENTS, root, batch_id, 7, now)
+        assert "InPandas" not in kept._jdf.queryExecution().toString()
+        assert kept.columns == df.columns
+        return sorted((r["title"] or "none", r["block_text"]) for r in kept.collect())
+
+    a, b, lost = ("a", "u", "one"), ("b", "u", "one"), (None, "u", "lost")
+    assert passed(0, 0, a, b, lost, lost) == [("a", "one"), ("b", "one"), ("none", "lost"), ("none", "lost")]
+    assert passed(1, day, a, ("b", "u", "two")) == [("b", "two")]
+    assert passed(1, day, a, ("b", "u", "two")) == [("b", "two")]  # a replay
+    assert passed(2, 2 * day, ("b", "u", "one"), ("b", "u", "x"), ("b", "u", "two")) == []  # its last row says nothing new
+    assert passed(3, 8 * day + 1, a, ("b", "u", "two")) == [("a", "one")]  # a last came on day 1
+    assert passed(7, 9 * day, a) == [("a", "one")]  # the batch before this one kept no digests
