@@ -159,12 +159,11 @@ def quartiles(df: DataFrame, group: str, value: str, accuracy: int = 10_000, few
     path = new_path(spark, "quartiles")
     targets = [f"t{i}" for i in range(len(ranks))]
     for turn in count():
-        state.write.parquet(f"{path}/{turn}")
-        state = spark.read.schema(state.schema).parquet(f"{path}/{turn}")
+        state = _stored(state, f"{path}/{turn}")
         open_above = [F.col(t)["found"].isNull() & (F.col(t)["n"] > few) for t in targets]
         if not state.where(any_of(open_above)).limit(1).count():
             break
-        state = _narrowed(values, state, targets, few, turn)
+        state = _narrowed(values, state, targets, few, turn, f"{path}/{turn}-cut")
     met = values.join(_renamed(state), F.col("g").eqNullSafe(F.col("h")))
     lists = met.groupBy("g").agg(*[F.sort_array(F.collect_list(F.when(_inside(t), F.col("v")))).alias(f"l_{t}") for t in targets])
     done = state.join(lists.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")), "left")
@@ -190,7 +189,14 @@ def _inside(t: str) -> Column:
     return F.col(t)["found"].isNull() & (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
 
 
-def _narrowed(values: DataFrame, state: DataFrame, targets: list[str], few: int, turn: int) -> DataFrame:
+def _stored(state: DataFrame, path: str) -> DataFrame:
+    """The state as a table: its size is then known, so the values meet it where they lie. A join whose size the planner
+    only guesses would send all values of a group to one task and sort them there."""
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
+
+
+def _narrowed(values: DataFrame, state: DataFrame, targets: list[str], few: int, turn: int, path: str) -> DataFrame:
     """The state after one round: the interval of each target cut at two values near its rank."""
     same = F.col("g").eqNullSafe(F.col("h"))
     if turn:  # values for the first round come with the counts of the groups
@@ -204,7 +210,7 @@ def _narrowed(values: DataFrame, state: DataFrame, targets: list[str], few: int,
             low, high = (F.get(f"s_{t}", p) for p in (F.greatest(place - 1, F.lit(0)), F.least(place + 2, F.lit(64))))
             return F.col(t).withField("a", low).withField("b", high)
 
-        state = state.withColumns({t: cut(t) for t in targets}).drop(*[f"s_{t}" for t in targets])
+        state = _stored(state.withColumns({t: cut(t) for t in targets}).drop(*[f"s_{t}" for t in targets]), path)
     met = values.join(_renamed(state), same)
     v, counts = F.col("v"), []
     for t in targets:
