@@ -158,6 +158,6 @@ def read_json_checked(spark: SparkSession, path, schema: StructType | str, multi
 
 
 def read_archive_members(spark: SparkSession, path: str, pattern: str = r".*\.(txt|csv)$", charset: str = "ISO-8859-1") -> DataFrame:
-    """As ``read_zip``, with a task for each member of each archive (see ``archives``)."""
+    """As ``read_zip``, with a task for each member of each archive, or for many small archives (see ``archives``)."""
     spark.dataSource.register(ZipMembers)
     return spark.read.format(ZipMembers.name()).options(pattern=pattern, charset=charset).load(path)

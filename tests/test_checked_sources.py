@@ -82,6 +82,19 @@ def test_members_are_read_one_by_one(spark, tmp_path):
         files.read_archive_members(spark, str(tmp_path / "c.zip")).count()
 
 
+def test_many_small_archives_share_tasks(spark, tmp_path):
+    for k in range(300):
+        packed(tmp_path / f"{k:03d}.zip", {"x.txt": f"one of {k}\r\ntwo", "skip.pdf": "no", "y.csv": f"three of {k}"})
+    found = files.read_archive_members(spark, str(tmp_path))
+    assert 40 <= found.rdd.getNumPartitions() < 150
+    old = files.read_zip(spark, str(tmp_path))
+    assert rows_of(found.select("member", "line_no", "line")) == rows_of(old.select("member", "line_no", "line"))
+    assert found.select("archive").distinct().count() == 300
+    (tmp_path / "bad.zip").write_bytes(b"not an archive")
+    with pytest.raises(Exception, match="bad.zip is no sound archive"):
+        files.read_archive_members(spark, str(tmp_path)).count()
+
+
 def test_no_archives_no_rows(spark, tmp_path):
     packed(tmp_path / "a.zip", {"skip.pdf": "no"})
     assert files.read_archive_members(spark, str(tmp_path / "*.zip")).count() == 0
