@@ -57,7 +57,7 @@ def without_repeats(rows: DataFrame, kind: Kind, root: str, batch_id: int, days:
     """The rows of a batch without deliveries that repeat what was last passed on for the same url (or title).
 
     ``root`` holds a table of one digest for each record and the time it last came. The batch and that table meet in one
-    aggregation, which keeps a record's first and last row, as only these matter to the merge; so a record with very many
+    aggregation, which keeps a record's first and last row (all that the merge of articles needs); so a record with very many
     rows leaves each task as one. It is written once, as the version of this batch: the digests for the batch after
     it, and beside them the rows that pass. Batch n reads version n, so a replayed batch passes the same rows; where that
     version is missing (the batch before ran without this), all rows pass.
