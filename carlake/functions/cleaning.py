@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from carlake import rules
 
 
+def _to_double(c: Column) -> Column:
+    """``try_cast`` to double. The parser throws and catches an exception for each text that is no number, so texts
+    without a digit, infinity or NaN are sorted out first."""
+    return F.when(c.rlike("[0-9]|[iI][nN][fF]|[nN][aA][nN]"), c.try_cast("double"))
+
+
 def to_int(c: Column) -> Column:
     """Whole number from text; a fraction is cut off ('2020.0' -> 2020), other text gives NULL."""
-    return c.try_cast("double").try_cast("int")
+    return _to_double(c).try_cast("int")
 
 
 def to_number(c: Column) -> Column:
@@ -38,10 +44,12 @@ def clean_year(c: Column, lo: int = 1990, hi: int = 2030, sentinels: Sequence[in
 
 
 def parse_yyyymmdd(c: Column) -> Column:
-    """Date from eight digits. The parser throws and catches an exception for each bad text, so texts that
-    cannot be a date are sorted out first."""
-    plausible = c.rlike(r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$")
-    return F.when(plausible & (F.length(c) == 8), F.try_to_date(c, "yyyyMMdd"))
+    """Date from eight digits. Parsers throw and catch an exception for each bad text, so texts that cannot be a date
+    are sorted out first, and the day is counted from the first of its month."""
+    plausible = c.rlike(r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$") & (F.length(c) == 8)
+    year, month, day = (F.substring(c, start, n).try_cast("int") for start, n in ((1, 4), (5, 2), (7, 2)))
+    first = F.make_date(year, month, F.lit(1))
+    return F.when(plausible, F.when(day <= F.day(F.last_day(first)), F.date_add(first, day - 1)))
 
 
 def clean_date(c: Column, fmt: str = "yyyyMMdd", min_year: int = 1990) -> Column:
@@ -82,7 +90,7 @@ def null_to_zero_int(c: Column) -> Column:
 
 
 def clamp_null(c: Column, lo: float, hi: float) -> Column:
-    value = c.try_cast("double")
+    value = _to_double(c)
     return F.when(value.between(lo, hi), value)
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
+from hashlib import md5
 from itertools import chain
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from carlake import rules
 from carlake.functions.derived import any_of, first_match
@@ -99,21 +101,42 @@ def with_sentiment(
     )
 
 
-def word_bucket(word: Column, dim: int) -> Column:
-    """The number below dim that a word falls on: the first eight hexadecimal digits of its MD5, modulo dim."""
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dim
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: bytes) -> int:
+    """The first eight hexadecimal digits of a word's MD5, as a number."""
+    return int.from_bytes(md5(word, usedforsecurity=False).digest()[:4], "big")
+
+
+BAG_ROWS = 128  # rows whose words a task holds at once
+
+
+def _bags(texts: pa.Array, dim: int) -> pa.Array:
+    """Unit-length counts of the words of each text by bucket, as lists of ``dim`` floats."""
+    bags = np.zeros((len(texts), dim), np.float32)
+    for start in range(0, len(texts), BAG_ROWS):
+        # blanks of bytes are just the six that WORD leaves out
+        words = [text.split() for text in texts.slice(start, BAG_ROWS).to_pylist()]
+        sizes = [len(w) for w in words]
+        hashes = np.fromiter(map(_word_hash, chain.from_iterable(words)), np.int64, sum(sizes))
+        cells = np.repeat(np.arange(len(words)) * dim, sizes) + hashes % dim
+        counts = np.bincount(cells, minlength=len(words) * dim).reshape(len(words), dim)
+        length = np.sqrt((counts * counts).sum(axis=1))
+        bags[start : start + BAG_ROWS] = counts / np.maximum(length, 1.0)[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(bags.ravel()))
 
 
 def embed_text(df: DataFrame, text: str, dim: int = 768, out: str = "embedding", parts: int | None = None) -> DataFrame:
     """A unit-length hashed bag of lower-cased words per row; it stands in for a trained encoder.
 
+    A word falls on the place below ``dim`` that the first eight hexadecimal digits of its MD5 give, modulo ``dim``.
     Any engine with MD5 gives the same vector. A text without words, or NULL, is the zero vector."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    buckets = F.transform(words, lambda w: word_bucket(w, dim).cast("string"))
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_buckets", outputCol="_tf")
-    df = counter.transform(spread(df, parts).withColumn("_buckets", buckets))
-    df = Normalizer(inputCol="_tf", outputCol="_unit").transform(df)
-    return df.withColumn(out, vector_to_array("_unit", "float32")).drop("_buckets", "_tf", "_unit")
+
+    def bags(texts: pa.Array) -> pa.Array:
+        return _bags(texts, dim)
+
+    embed = F.arrow_udf(bags, ArrayType(FloatType(), containsNull=False))
+    low = F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary")
+    return spread(df, parts).withColumn(out, embed(low))
 
 
 # --- news --------------------------------------------------------------------

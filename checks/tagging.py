@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from carlake import rules
 from carlake.functions import cleaning as C
@@ -110,10 +114,20 @@ def embedding_sql(text: str, dim: int = EMBEDDING_DIM) -> str:
       FROM (SELECT unnest(regexp_extract_all(lower({text}), '[^\\x20\\x09-\\x0D]+')) AS w) GROUP BY b)))"""
 
 
-def embedding_digest(embedding):
+@F.arrow_udf(StringType())
+def embedding_digest(embedding: pa.Array) -> pa.Array:
     """The same of an embedding."""
-    kept = F.filter(F.transform(embedding, lambda x, i: F.struct(i.alias("b"), x.alias("x"))), lambda p: p["x"] != 0)
-    return F.array_join(F.transform(kept, lambda p: F.concat_ws(":", p["b"], F.floor(p["x"].cast("double") * 1e6))), ",")
+    sizes = pc.list_value_length(embedding).fill_null(0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    values = embedding.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(values)
+    rows = np.searchsorted(starts, at, side="right") - 1
+    millionths = np.floor(values[at].astype(float) * 1e6).astype(np.int64)
+    places = pa.array(at - starts[rows], pa.int64())
+    items = pc.binary_join_element_wise(places.cast("string"), pa.array(millionths).cast("string"), ":")
+    ends = np.searchsorted(rows, np.arange(len(embedding) + 1))
+    joined_items = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items), ",")
+    return pc.if_else(embedding.is_null(), pa.scalar(None, pa.string()), joined_items)
 
 
 @query("T04_embed_text", f"SELECT doc_id, {EMBEDDING_DIM} AS dim, md5(content) AS content FROM (SELECT doc_id, {embedding_sql('text')} AS content FROM documents)")

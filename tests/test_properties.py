@@ -1,6 +1,6 @@
 """Properties of the operators, skew and plan shape."""
 
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import DataFrame
@@ -283,3 +283,41 @@ def test_embedding_counts_hashed_words(spark):
         assert row["embedding"] == pytest.approx(list(want / np.linalg.norm(want)), abs=1e-6)
     blank = T.embed_text(spark.createDataFrame([(None,), (" \n",)], "text string"), "text", 8).collect()
     assert [row["embedding"] for row in blank] == [[0.0] * 8] * 2
+
+
+def test_embedding_digest_takes_whole_vectors(spark):
+    """The digest is made of blocks of rows; place by place through a lambda it was most of the time of the complaint facts."""
+    from checks.tagging import embedding_digest
+
+    given = [([0.0, 0.6, 0.0, 0.8],), (None,), ([0.0, 0.0],), ([],), ([1.0],)]
+    df = spark.createDataFrame(given, "v array<float>").coalesce(1).select(embedding_digest("v").alias("d"))
+    assert [r["d"] for r in df.collect()] == ["1:600000,3:800000", None, "", "", "0:1000000"]
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_embedding_is_made_in_one_step_with_its_digest(spark):
+    """The vectors of a digest never come back to the JVM: one evaluation by Arrow, and no vector type between."""
+    from checks.tagging import embedding_digest
+
+    words = [" ".join(f"w{i}" for i in range(n % 300)) for n in range(300)]
+    df = spark.createDataFrame([(w,) for w in words], "text string").coalesce(1)
+    made = T.embed_text(df, "text", 32, "v")
+    plan = made.withColumn("v", embedding_digest("v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    # more rows than one block of words
+    lengths = [sum(x * x for x in r["v"]) for r in made.collect()]
+    assert lengths == pytest.approx([0.0 if w == "" else 1.0 for w in words], abs=1e-5)
+
+
+def test_dates_are_counted_and_not_parsed(spark):
+    """No parser that throws for each day that is missing in its month."""
+    days = ["20230229", "20240229", "19000229", "20000229", "20230431", "20231231", "00000101", "2023123", "20231301", None]
+    want = [None, date(2024, 2, 29), None, date(2000, 2, 29), None, date(2023, 12, 31), "year 0", None, None, None]
+    df = spark.createDataFrame([(d,) for d in days], "d string").select("d", C.parse_yyyymmdd(F.col("d")).alias("x"))
+    got = {r["d"]: r["x"] for r in df.where("d <> '00000101' OR d IS NULL").collect()}
+    assert got == {d: w for d, w in zip(days, want) if w != "year 0"}
+    assert df.where("d = '00000101' AND x = DATE'0000-01-01'").count() == 1
+    assert "gettimestamp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    numbers = ["x", "abc", "", " 12 ", "1e3", "NaN", "-inf", "N/A", "5d", None]
+    df = spark.createDataFrame([(n,) for n in numbers], "n string")
+    assert df.where(~C._to_double(F.col("n")).eqNullSafe(F.col("n").try_cast("double"))).count() == 0
