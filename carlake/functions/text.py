@@ -21,6 +21,19 @@ from carlake.session import spread
 UNICODE = "(?U)"
 UNICODE_ANY_CASE = "(?iU)"
 WORD = r"[^\x20\x09-\x0D]+"  # maximal runs without ASCII blanks
+# Beginnings of patterns, and the same matches with less trying: the letter is looked at before the word boundary, and
+# a leading word, which a blank or stop must follow, is tried from its first letter and as a whole only.
+QUICK = {
+    r"\b([A-Z]": r"(?=[A-Z])\b([A-Z]",
+    r"\b(Model": r"(?=M)\b(Model",
+    r"\b(20": r"(?=20)\b(20",
+    r"(\w+)\.?\s+": r"(?<!\w)(\w++)\.?\s+",
+}
+
+
+def quick(pattern: str) -> str:
+    slow = next((head for head in QUICK if pattern.startswith(head)), "")
+    return QUICK.get(slow, "") + pattern[len(slow) :]
 
 
 def has_any(low: Column, words: Sequence[str]) -> Column:
@@ -172,7 +185,7 @@ def importance(low: Column, category: Column, breaking: Column) -> Column:
 
 def _all(c: Column, pattern: str, flags: str = UNICODE) -> Column:
     """First group of every match."""
-    return F.regexp_extract_all(c, F.lit(flags + pattern), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(flags + quick(pattern)), F.lit(1))
 
 
 def _without(found: Column, stop: Sequence[str]) -> Column:
@@ -180,7 +193,7 @@ def _without(found: Column, stop: Sequence[str]) -> Column:
 
 
 def _first_sorted(lists: Sequence[Column], n: int) -> Column:
-    found = F.array_sort(F.array_distinct(F.concat(*lists)))
+    found = F.sort_array(F.array_distinct(F.concat(*lists)))
     return found if n is None else F.slice(found, 1, n)
 
 
@@ -271,7 +284,7 @@ def with_event_dates(df: DataFrame, text: str, parts: int | None = None) -> Data
     df = spread(df, parts).select("*", body.alias("_body"))
 
     def found(pattern: str, group: int) -> Column:
-        return F.regexp_extract("_body", UNICODE + pattern, group)
+        return F.regexp_extract("_body", UNICODE + quick(pattern), group)
 
     df = df.select(
         "*", found(rules.DATE_RANGE, 0).alias("_span"), found(rules.DATE_SINGLE, 0).alias("_single"),
@@ -279,7 +292,7 @@ def with_event_dates(df: DataFrame, text: str, parts: int | None = None) -> Data
     )
 
     def part(match: str, pattern: str, group: int) -> Column:
-        return F.regexp_extract(match, UNICODE + pattern, group)
+        return F.regexp_extract(match, UNICODE + quick(pattern), group)
 
     df = df.select(
         "*", _month_number(part("_span", rules.DATE_RANGE, 1)).alias("_span_month"),

@@ -321,3 +321,33 @@ def test_dates_are_counted_and_not_parsed(spark):
     numbers = ["x", "abc", "", " 12 ", "1e3", "NaN", "-inf", "N/A", "5d", None]
     df = spark.createDataFrame([(n,) for n in numbers], "n string")
     assert df.where(~C._to_double(F.col("n")).eqNullSafe(F.col("n").try_cast("double"))).count() == 0
+
+
+def test_quick_patterns_find_the_same(spark):
+    """Patterns with their quick beginnings, against the patterns as they stand, in texts with odd letters and boundaries."""
+    from carlake import rules
+
+    texts = [
+        "Media days Sept. 12-15, 2026", "xMay 3, 2024 or June 4 - 9 2027", "étéJan. 1-2, 2030", "Maí 5 2024", "\U0001d400bc 7, 2025",
+        "abc.  1 2, 2020", "_May_ 1,2021", "GM's new Model 3, X5 and F-150A", "ÉF-1 aBC-2 ́GM GḾ AB", "ModelModel Model 7 s2024 2024 20245 ٣2024",
+        "Volvo Motors said  Kia will", "", "ſUV EV's car", None,
+    ]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for p in [*rules.MODEL_PATTERNS, rules.MAKER_COMPANY, rules.MAKER_VERB, rules.MAKER_OWNER, rules.MAKER_ACRONYM,
+              rules.DATE_RANGE, rules.DATE_SINGLE, rules.DATE_YEAR]:
+        assert T.quick(p) != p
+
+        def found(pattern):
+            return F.regexp_extract_all("t", F.lit(T.UNICODE + pattern), F.lit(1))
+
+        assert df.where(~found(T.quick(p)).eqNullSafe(found(p))).count() == 0, p
+
+
+def test_dates_behind_a_long_word_cost_one_pass(spark):
+    """A word of n letters was tried from each of its letters; the time grew with n x n."""
+    from time import perf_counter
+
+    df = spark.createDataFrame([("a" * 200_000 + "- June 3, 2024",)], "t string")
+    start = perf_counter()
+    assert T.with_event_dates(df, "t").first()["date_start"] == date(2024, 6, 3)
+    assert perf_counter() - start < 15
